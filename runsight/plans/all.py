@@ -1,3 +1,3 @@
 """Imports every query module, which registers its queries."""
 
-from runsight.plans import feature_queries, stability_queries  # noqa: F401
+from runsight.plans import feature_queries, log_queries, stability_queries  # noqa: F401

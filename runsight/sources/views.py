@@ -39,6 +39,41 @@ SELECT event_id,
                    WHEN 3 THEN 'NullPointerException in handler'
                    ELSE 'fatal: out of memory on heap' END END AS errors
 FROM events""",
+    # what a runner would have logged: suite lines, starts, errors, ends, and lines of no use
+    "log_lines": """
+SELECT file_name AS file_path, file_name, event_id * 10 AS position,
+       concat('[', CAST(start_time AS STRING), '] INFO: Test suite started - ', suite_name) AS line
+FROM executions WHERE event_id % 5 = 0
+UNION ALL
+SELECT file_name, file_name, event_id * 10 + 1,
+       concat('  [', CAST(start_time AS STRING), '] INFO: Starting test: ', test_name, ' ')
+FROM executions
+UNION ALL
+SELECT file_name, file_name, event_id * 10 + 2,
+       concat('[', CAST(start_time AS STRING), '] ERROR: ', errors)
+FROM executions WHERE errors IS NOT NULL
+UNION ALL
+SELECT file_name, file_name, event_id * 10 + 3,
+       concat('[', CAST(start_time AS STRING), '] ERROR: retried ', CAST(event_id AS STRING))
+FROM executions WHERE errors IS NOT NULL AND event_id % 3 = 0
+UNION ALL
+SELECT file_name, file_name, event_id * 10 + 4, CASE WHEN event_id % 2 = 0 THEN '   ' ELSE 'no prefix' END
+FROM executions WHERE event_id % 4 = 0
+UNION ALL
+SELECT file_name, file_name, event_id * 10 + 5,
+       concat('[', CAST(start_time AS STRING), '] INFO: Test ', result, ': ',
+              CASE WHEN event_id % 19 = 0 THEN 'other_test' ELSE test_name END, ' - Execution time: ',
+              CASE WHEN event_id % 23 = 0 THEN 'slow' ELSE CAST(execution_time AS STRING) END, 's')
+FROM executions WHERE event_id % 17 <> 0
+UNION ALL
+SELECT file_name, file_name, event_id * 10 + 6,
+       concat('[', CAST(start_time AS STRING), '] ERROR: late ', CAST(event_id AS STRING))
+FROM executions WHERE event_id % 13 = 0
+UNION ALL
+SELECT file_name, file_name, event_id * 10 + 7,
+       concat('[', CAST(start_time AS STRING), '] WARNING: Test suite completed - ', suite_name, ' - ',
+              CAST(event_id % 7 AS STRING), '/7 tests passed')
+FROM executions WHERE event_id % 5 = 4""",
     # the same with holes, for imputation
     "executions_gaps": """
 SELECT event_id, test_id, test_name, start_time, result, status, file_name, errors,
