@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runsight.operators.ordering import carry_forward
+from runsight.session import cut
 
 # --- fixed values -----------------------------------------------------------
 TIMESTAMP = r"(?d)\[(.*?)\]"
@@ -62,19 +61,20 @@ def extract_executions(events: DataFrame, block: int = 5_000_000) -> DataFrame:
     A start opens a test and forgets errors; the first end of the same name closes it. So a
     start and what follows up to the next start is one island, carried forward along the file.
     """
-    used = events.where(F.col("event_type").isin("suite_started", "test_start", "error", "test_end")).select(
+    # cut here: the text is scanned and parsed once, though events are read more than once below
+    used = cut(events.where(F.col("event_type").isin("suite_started", "test_start", "error", "test_end")).select(
         "file_path", "file_name", "position", "event_type", "timestamp", "test_name", "test_result",
         "execution_time", "error_message", "suite_name",
-    )
+    ))
     event = F.col("event_type")
-    carried = carry_forward(
+    carried = cut(carry_forward(
         used, "file_path", "position",
         {
             "suite": F.when(event == "suite_started", F.col("suite_name")),
             "start": F.when(event == "test_start", F.struct("position", "test_name", "timestamp")),
         },
         block,
-    ).where(F.col("start").isNotNull()).withColumn("island", F.col("start.position"))
+    ).where(F.col("start").isNotNull()).withColumn("island", F.col("start.position")))
     last = F.struct(
         "file_name", "suite", "start", "position", "timestamp", "execution_time", "test_result"
     )

@@ -1,3 +1,5 @@
 """Imports every query module, which registers its queries."""
 
-from runsight.plans import feature_queries, log_queries, stability_queries  # noqa: F401
+from runsight.plans import (  # noqa: F401
+    feature_queries, log_queries, schedule_queries, stability_queries,
+)
