@@ -111,6 +111,13 @@ SELECT s_suppkey AS test_id, s_name AS test_name,
        (s_suppkey % 13 + 1) * 1.5 AS avg_execution_time,
        (s_suppkey % 10) / CAST(10 AS DOUBLE) AS recent_failure_rate
 FROM supplier""",
+    # runs of the same tests by month; a quarter of them break in 1995 together, with some noise
+    "supplier_history": """
+SELECT l_suppkey AS test_id, CAST(CAST(date_trunc('month', l_shipdate) AS DATE) AS STRING) AS execution_id,
+       CASE WHEN l_suppkey % 4 = 0 THEN
+                 CASE WHEN year(l_shipdate) < 1995 OR l_orderkey % 997 = 0 THEN 'PASS' ELSE 'FAIL' END
+            WHEN l_returnflag = 'R' THEN 'FAIL' ELSE 'PASS' END AS status
+FROM lineitem""",
     # acyclic: a test depends on a smaller id
     "dependencies": """
 SELECT p_partkey AS test_id, CAST(floor(p_partkey / 2) AS BIGINT) AS dep FROM part WHERE p_partkey > 0""",
