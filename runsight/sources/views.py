@@ -111,6 +111,36 @@ SELECT s_suppkey AS test_id, s_name AS test_name,
        (s_suppkey % 13 + 1) * 1.5 AS avg_execution_time,
        (s_suppkey % 10) / CAST(10 AS DOUBLE) AS recent_failure_rate
 FROM supplier""",
+    # one change per document: its lines as a replaced block, and a second block with functions
+    "diffs": """
+SELECT doc_id AS diff_id,
+       CASE doc_id % 7
+         WHEN 0 THEN concat('src/core/m', CAST(doc_id % 3 AS STRING), '.py')
+         WHEN 1 THEN concat('./src/ui/v', CAST(doc_id AS STRING), '.js')
+         WHEN 2 THEN concat('lib/Db/q', CAST(doc_id AS STRING), '.java')
+         WHEN 3 THEN concat('config/', CAST(doc_id AS STRING), '.yml')
+         WHEN 4 THEN concat('native/x', CAST(doc_id AS STRING), '.CPP')
+         WHEN 5 THEN concat('docs/', source, '/README')
+         ELSE concat('tools/t', CAST(doc_id AS STRING), '.py') END AS file_path,
+       concat('diff --git a/x b/x', chr(10), '--- a/x', chr(10), '+++ b/x', chr(10),
+              '@@ -3 +', CAST(doc_id % 50 + 1 AS STRING), ' @@ top', chr(10), '-',
+              replace(text, chr(10), concat(chr(10), CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END)), chr(10),
+              '@@ -90,2 +', CAST(200 + doc_id % 7 AS STRING), ',3 @@', chr(10),
+              '+def f_', CAST(doc_id % 9 AS STRING), '(x):', chr(10),
+              '-  public static int g', CAST(doc_id % 4 AS STRING), '(int y) {', chr(10),
+              ' kept', chr(10),
+              '+const h', CAST(doc_id % 5 AS STRING), ' = function(', chr(10),
+              '+int k', CAST(doc_id % 3 AS STRING), ' (void)', chr(10),
+              CASE WHEN doc_id % 10 = 0 THEN '+  DROP  TABLE t' ELSE '-  remove()' END) AS diff
+FROM documents""",
+    # the covering tests with the components that paths name
+    "component_tests": """
+SELECT test_id, CASE test_id % 5 WHEN 0 THEN 'db' WHEN 1 THEN 'ui' WHEN 2 THEN 'core' WHEN 3 THEN 'payments' END
+           AS component, avg_execution_time AS execution_time FROM covering_tests""",
+    # modules of the covered files
+    "module_deps": """
+SELECT DISTINCT concat('src.core.m', CAST(p_partkey % 20 AS STRING)) AS module,
+       concat('src.core.m', CAST((p_partkey * 3 + 1) % 20 AS STRING)) AS dep FROM part WHERE p_partkey % 20 > 9""",
     # runs of the same tests by month; a quarter of them break in 1995 together, with some noise
     "supplier_history": """
 SELECT l_suppkey AS test_id, CAST(CAST(date_trunc('month', l_shipdate) AS DATE) AS STRING) AS execution_id,
@@ -168,6 +198,7 @@ class Tables:
         full = expand(text)
         used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", full, re.I)]
         bound = re.sub(
-            rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", full, flags=re.I
+            rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", full.replace("{", "{{").replace("}", "}}"),
+            flags=re.I,
         )
         return self.spark.sql(bound, **{t: self.table(t) for t in used})
