@@ -111,6 +111,21 @@ SELECT s_suppkey AS test_id, s_name AS test_name,
        (s_suppkey % 13 + 1) * 1.5 AS avg_execution_time,
        (s_suppkey % 10) / CAST(10 AS DOUBLE) AS recent_failure_rate
 FROM supplier""",
+    # one result and one log per document
+    "text_results": """
+SELECT doc_id AS test_id, doc_id AS seq, source AS component,
+       CASE WHEN doc_id % 8 = 7 THEN 'PASS' ELSE 'FAIL' END AS status FROM documents""",
+    "text_logs": """
+SELECT doc_id AS test_id, CASE doc_id % 6
+    WHEN 0 THEN concat('INFO start', chr(10), 'ERROR: ', text)
+    WHEN 1 THEN concat('FAIL: ', replace(text, chr(10), concat(chr(10), 'FAIL: ')))
+    WHEN 2 THEN concat('Traceback (most recent call last):', chr(10), '  File "a.py", line 3, in f', chr(10),
+                       '  File "b.py", line ', CAST(doc_id % 10 AS STRING), ', in g', chr(10), 'ValueError: ', text)
+    WHEN 3 THEN concat('Exception in thread "main" java.lang.NullPointerException: x', chr(10),
+                       '    at a.B(C.java:1)', chr(10), '    at d.E(F.java:', CAST(doc_id % 10 AS STRING), ')', chr(10), text)
+    WHEN 4 THEN concat(text, chr(10), 'a timeout came before the crash in ', source, chr(10), 'Terminated: crash after Timeout')
+    ELSE concat('AssertionError: ', text, chr(10), 'Error ', source) END AS body
+FROM documents""",
     # one change per document: its lines as a replaced block, and a second block with functions
     "diffs": """
 SELECT doc_id AS diff_id,
