@@ -157,7 +157,7 @@ def impact_totals(t):
 
 MINUTES = 4
 _PLAN = f"""WITH RECURSIVE {_CHANGED},
-ranked AS (SELECT i.test_id, i.confidence, coalesce(m.execution_time, 1.0) AS execution_time,
+ranked AS MATERIALIZED (SELECT i.test_id, i.confidence, coalesce(m.execution_time, 1.0) AS execution_time,
                   row_number() OVER (ORDER BY i.confidence DESC, i.test_id) AS place
            FROM impacted i LEFT JOIN component_tests m ON m.test_id = i.test_id WHERE i.confidence >= 0.5),
 fit AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, FALSE AS taken

@@ -92,7 +92,7 @@ def categorize_error(t):
 
 # similar pairs by shared words, then a walk through the texts in order
 _PATTERNS = f"""WITH RECURSIVE {_ERRORS}, {_FALLBACK},
-items AS (SELECT row_number() OVER (ORDER BY seq, test_id, regex_no, match_no) AS item, * FROM (
+items AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq, test_id, regex_no, match_no) AS item, * FROM (
     SELECT test_id, seq, component, regex_no, match_no, error_text, FALSE AS forced FROM errors
     UNION ALL SELECT test_id, seq, component, 6, 0, error_text, TRUE FROM fallback)),
 sized AS (SELECT item, forced, {_WORDS.format(c='error_text')} AS words FROM items),
@@ -101,7 +101,7 @@ near AS (SELECT b.item, list(a.item ORDER BY a.item) AS earlier FROM (
         SELECT x.item AS i, y.item AS j, count(*) AS n FROM tokens x JOIN tokens y ON x.w = y.w AND x.item < y.item GROUP BY 1, 2)
     JOIN sized a ON a.item = i JOIN sized b ON b.item = j
     WHERE n * 1.0 / (len(a.words) + len(b.words) - n) > 0.7 GROUP BY b.item),
-steps AS (SELECT s.item, s.forced, coalesce(earlier, CAST([] AS BIGINT[])) AS earlier FROM sized s LEFT JOIN near n ON n.item = s.item),
+steps AS MATERIALIZED (SELECT s.item, s.forced, coalesce(earlier, CAST([] AS BIGINT[])) AS earlier FROM sized s LEFT JOIN near n ON n.item = s.item),
 walk AS (SELECT CAST(0 AS BIGINT) AS item, CAST(0 AS BIGINT) AS pattern_id, CAST([] AS BIGINT[]) AS leaders
     UNION ALL
     SELECT s.item,
@@ -109,7 +109,7 @@ walk AS (SELECT CAST(0 AS BIGINT) AS item, CAST(0 AS BIGINT) AS pattern_id, CAST
            CASE WHEN s.forced OR len(list_filter(s.earlier, lambda e: list_contains(w.leaders, e))) = 0
                 THEN list_append(w.leaders, s.item) ELSE w.leaders END
     FROM walk w JOIN steps s ON s.item = w.item + 1),
-assigned AS (SELECT i.*, w.pattern_id FROM items i JOIN walk w ON w.item = i.item),
+assigned AS MATERIALIZED (SELECT i.*, w.pattern_id FROM items i JOIN walk w ON w.item = i.item),
 patterns AS (SELECT pattern_id, count(*) AS occurrences, count(DISTINCT test_id) AS test_count,
                     count(DISTINCT component) AS component_count FROM assigned GROUP BY pattern_id),
 typed AS (SELECT p.*, error_text AS pattern, CASE WHEN forced THEN 'generic_error' ELSE {_category('error_text')} END AS error_type

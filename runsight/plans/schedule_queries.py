@@ -22,7 +22,7 @@ raw AS (SELECT *, 0.3 * CASE WHEN (SELECT max(avg_execution_time) FROM tests) >
 ends AS (SELECT min(raw_score) AS lo, max(raw_score) AS hi FROM raw),
 scored AS (SELECT raw.*, CASE WHEN hi > lo THEN (raw_score - lo) / (hi - lo) ELSE raw_score END AS priority_score
            FROM raw, ends),
-ranked AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, test_id) AS priority_rank,
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY priority_score DESC, test_id) AS priority_rank,
                   CAST(round(avg_execution_time * 1000000) AS BIGINT) AS cost FROM scored)
 """
 _RANKED_OUT = """

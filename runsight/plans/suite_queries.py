@@ -56,7 +56,7 @@ def coverage_similarity(t):
 
 # one row per test with the tests it would group with; the walk visits tests in order
 _WALK = """
-{name}_near AS (SELECT id, list(other) AS others, row_number() OVER (ORDER BY id) AS i FROM ({edges}) GROUP BY id),
+{name}_near AS MATERIALIZED (SELECT id, list(other) AS others, row_number() OVER (ORDER BY id) AS i FROM ({edges}) GROUP BY id),
 {name}_walk AS (
     SELECT CAST(0 AS BIGINT) AS i, CAST([] AS {type}[]) AS seen, CAST([] AS {type}[]) AS leaders
     UNION ALL
@@ -239,7 +239,7 @@ def coverage_subset(t):
 
 SECONDS = 3600
 _HEURISTIC = f"""
-WITH RECURSIVE ranked AS (SELECT test_id, CAST(round(avg_execution_time * 1000000) AS BIGINT) AS cost,
+WITH RECURSIVE ranked AS MATERIALIZED (SELECT test_id, CAST(round(avg_execution_time * 1000000) AS BIGINT) AS cost,
     row_number() OVER (ORDER BY CASE lower(priority) WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2
                                 WHEN 'low' THEN 1 ELSE 2 END DESC, test_id) AS place FROM metadata),
 fit AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, FALSE AS taken
