@@ -111,6 +111,30 @@ SELECT s_suppkey AS test_id, s_name AS test_name,
        (s_suppkey % 13 + 1) * 1.5 AS avg_execution_time,
        (s_suppkey % 10) / CAST(10 AS DOUBLE) AS recent_failure_rate
 FROM supplier""",
+    # numeric frame for selection and models; "doubled" repeats a column, "tiny" hardly varies
+    "model_frame": """
+SELECT event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed,
+       value AS execution_time, CAST(hour(ts) AS DOUBLE) AS hour_of_day,
+       CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS DOUBLE)
+           + CASE WHEN event_type = 'error' THEN 25 ELSE 0 END AS churn,
+       CAST(user_id % 10 AS DOUBLE) AS suite_no, value * 2 + 1 AS doubled,
+       (event_id % 2) * 0.001 AS tiny
+FROM events""",
+    # scored predictions with ties
+    "predictions": """
+SELECT event_id, failed AS y, churn / 125 AS score, CASE WHEN churn / 125 >= 0.5 THEN 1 ELSE 0 END AS yhat
+FROM model_frame""",
+    # requests of the batch scorer, some of them broken
+    "score_requests": """
+SELECT concat('t', CAST(p_partkey AS STRING)) AS test_id,
+       CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_name END AS test_name, p_type AS component,
+       CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE 'high' END AS priority,
+       CASE WHEN p_partkey % 17 = 0 THEN 'soon' ELSE CAST(p_retailprice AS STRING) END AS avg_execution_time,
+       CAST((p_partkey % 120) / CAST(100 AS DOUBLE) AS STRING) AS recent_failure_rate,
+       CASE WHEN p_partkey % 19 = 0 THEN '1.5' ELSE CAST(p_size AS STRING) END AS recent_runs,
+       CAST(NULL AS STRING) AS code_churn, CAST(p_size AS STRING) AS test_age_days,
+       CASE WHEN p_partkey % 23 = 0 THEN 'many' ELSE CAST(3 AS STRING) END AS dependencies
+FROM part""",
     # one result and one log per document
     "text_results": """
 SELECT doc_id AS test_id, doc_id AS seq, source AS component,
