@@ -284,10 +284,10 @@ def permutation_importance(
         c: F.when(F.col("_feature") == c, F.col(f"_o_{c}")).otherwise(F.col(c)) for c in columns
     }).select(key, "y", "_feature", F.col("_p.r").alias("_r"), *columns)
     hit = (F.col("predicted_result") == F.col("y").cast("int")).cast("double")
-    base = predict_failures(model, ranked.select(key, "y", *columns)).agg(F.avg(hit)).scalar()
+    base = predict_failures(model, ranked.select(key, "y", *columns)).agg(F.avg(hit)).first()[0]
     scores = predict_failures(model, variants).groupBy("_feature", "_r").agg(F.avg(hit).alias("s"))
     return scores.groupBy(F.col("_feature").alias("feature")).agg(
-        F.avg(base - F.col("s")).alias("importance"), F.stddev_pop("s").alias("importance_sd")
+        F.avg(F.lit(base) - F.col("s")).alias("importance"), F.stddev_pop("s").alias("importance_sd")
     ).orderBy(F.desc("importance"), "feature")
 
 

@@ -145,7 +145,8 @@ def _tree(t):
 def analyze_model(t):
     model, test = _tree(t)
     measures, top = models.analyze_model(model, test, COLUMNS)
-    return rounded(top.join(measures), 4)  # one row of measures beside the features
+    beside = measures.agg(F.struct(*[F.first(c).alias(c) for c in measures.columns])).scalar()
+    return rounded(top.withColumn("measures", beside).select("feature", "importance", "measures.*"), 4)
 
 
 @query("model_store")
