@@ -363,13 +363,14 @@ def dependency_levels(tests: DataFrame, dependencies: DataFrame) -> DataFrame:
         .join(ids, "test_id", "left_semi")
         .join(ids.withColumnRenamed("test_id", "dep"), "dep", "left_semi")
     )
-    waiting = cut(edges.select("test_id").distinct())
-    levels = ids.join(waiting, "test_id", "left_anti").withColumn("level", F.lit(0))
-    free, level = cut(levels.select("test_id")), 0
-    while not waiting.isEmpty():
+    waiting = edges.select("test_id").distinct()
+    free, level = ids.join(waiting, "test_id", "left_anti"), 0
+    levels = free.withColumn("level", F.lit(0))
+    while not edges.isEmpty():
+        # everything else in a round is a short plan over this and the round before
         edges = cut(edges.join(free.withColumnRenamed("test_id", "dep"), "dep", "left_anti"))
-        still = cut(edges.select("test_id").distinct())
-        free = cut(waiting.join(still, "test_id", "left_anti"))
+        still = edges.select("test_id").distinct()
+        free = waiting.join(still, "test_id", "left_anti")
         if free.isEmpty():
             return ids.withColumn("level", F.lit(0))
         level += 1
