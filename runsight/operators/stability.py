@@ -11,10 +11,12 @@ BUCKET_SECONDS = 600
 
 def recent_results(history: DataFrame, as_of: Column | None = None, days: int = DAYS) -> DataFrame:
     """Rows of the last ``days`` days before ``as_of`` (default: newest row); all rows if none."""
-    newest = as_of if as_of is not None else history.agg(F.max("timestamp")).scalar()
-    cutoff = newest - F.expr(f"INTERVAL '{int(days)}' DAY")
-    some = history.agg(F.max("timestamp")).scalar() >= cutoff
-    return history.where((F.col("timestamp") >= cutoff) | ~F.coalesce(some, F.lit(False)))
+    newest = history.agg(F.max("timestamp")).scalar()
+    back = F.expr(f"INTERVAL '{int(days)}' DAY")
+    if as_of is None:  # the newest row is always recent
+        return history.where(F.col("timestamp") >= newest - back)
+    some = F.coalesce(newest >= as_of - back, F.lit(False))
+    return history.where((F.col("timestamp") >= as_of - back) | ~some)
 
 
 def test_stability(
