@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from runsight.session import cut
 
+HOT = 10_000  # sets with one element in common that may still be compared through it alone
+
 
 def _rarest_first(sets: DataFrame, tokens: str) -> DataFrame:
     """Replace each token array by [(frequency, token)] sorted from rare to common."""
@@ -26,48 +28,68 @@ def _rarest_first(sets: DataFrame, tokens: str) -> DataFrame:
     )
 
 
-def _prefix(ordered: DataFrame, length: Column) -> DataFrame:
-    """One row per prefix element with its 1-based place."""
-    return ordered.select(
-        *[c for c in ordered.columns if c != "sorted"],
-        F.posexplode(F.slice("sorted", F.lit(1), length)).alias("place", "el"),
-    ).select(
-        *[c for c in ordered.columns if c != "sorted"],
-        (F.col("place") + 1).alias("place"), F.col("el.token").alias("token"),
+def _keys(ordered: DataFrame, keep: Column, hot: int) -> DataFrame:
+    """Join keys of each set: elements of its prefix, where ``keep`` is its least overlap.
+
+    Sets with an overlap of at least ``keep`` share an element of their ``size - keep + 1`` rarest.
+    Elements in more than ``hot`` sets would bring too many sets together. If there are such, the
+    prefix is one longer, in which two elements are shared: either one that is not hot, or a pair
+    of hot ones, so hot elements are used in pairs only. (Sets that may share just one element
+    have their whole content as prefix and also use hot elements alone.)
+    """
+    other = [c for c in ordered.columns if c != "sorted"]
+    common = not ordered.where(F.exists("sorted", lambda e: e.n > hot)).isEmpty()
+    length = F.least(F.col("size"), F.col("size") - keep + (2 if common else 1))
+    prefix = ordered.withColumn("_p", F.slice("sorted", F.lit(1), length))
+    alone = F.transform(F.col("_p"), lambda e, i: F.struct(
+        F.array(e.token.cast("string")).alias("key"), (i + 1).alias("place"), (e.n <= hot).alias("rare")
+    ))
+    if not common:
+        return prefix.select(*other, F.inline(alone)).drop("rare")
+    single = prefix.select(*other, F.inline(alone), (keep == 1).alias("_one")).where(
+        F.col("rare") | F.col("_one")
+    ).drop("rare", "_one")
+    hots = F.transform(F.filter("_p", lambda e: e.n > hot), lambda e: e.token.cast("string"))
+    pairs = (
+        prefix.withColumn("_h", hots).where(F.size("_h") > 1)
+        .select(*other, "_h", F.posexplode("_h").alias("_i", "_first"))
+        .select(*other, "_first", F.explode(F.slice("_h", F.col("_i") + 2, F.size("_h"))).alias("_second"))
+        .select(*other, F.array("_first", "_second").alias("key"), F.lit(None).cast("int").alias("place"))
     )
+    return single.unionByName(pairs)
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+def jaccard_pairs(sets: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
     """All pairs of distinct sets with Jaccard similarity above ``threshold``.
 
     ``sets``: unique ``id`` and ``tokens`` (array without repeats, not empty).
     Returns ``a < b`` and ``similarity``.
     """
     sets = cut(sets.select("id", "tokens", F.size("tokens").alias("size")).where("size > 0"))
-    ordered = _rarest_first(sets, "tokens").withColumn("size", F.size("sorted"))
+    ordered = cut(_rarest_first(sets, "tokens").withColumn("size", F.size("sorted")))
     t = F.lit(float(threshold))
     # one less than an exact product, so rounding never shortens the prefix
     keep = F.greatest(F.lit(1), F.ceil(t * F.col("size") - F.lit(1e-9)).cast("int"))
-    prefixes = _prefix(ordered, F.col("size") - keep + 1)
+    prefixes = _keys(ordered, keep, hot)
     # similar sets have sizes within a factor of 1/threshold, so size classes split a common token
     step = math.log(1.0 / threshold) if threshold < 1.0 else 1.0
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int")
     small = prefixes.select(
-        F.col("id").alias("i"), F.col("size").alias("si"), F.col("place").alias("pi"), "token",
+        F.col("id").alias("i"), F.col("size").alias("si"), F.col("place").alias("pi"), "key",
         band.alias("band"),
     )
     large = prefixes.select(
-        F.col("id").alias("j"), F.col("size").alias("sj"), F.col("place").alias("pj"), "token",
+        F.col("id").alias("j"), F.col("size").alias("sj"), F.col("place").alias("pj"), "key",
         F.explode(F.array(band - 2, band - 1, band)).alias("band"),
     )
     need = F.lit(float(threshold) / (1 + float(threshold))) * (F.col("si") + F.col("sj")) - 1e-9
     found = (
-        small.join(large, ["token", "band"])
+        small.join(large, ["key", "band"])
         .where(
             ((F.col("si") < F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j"))))
             & (F.col("si") >= t * F.col("sj") - 1e-9)
-            # holds at the first common element, which is all that is needed
-            & (F.least(F.col("si") - F.col("pi"), F.col("sj") - F.col("pj")) + 1 >= need)
+            # no more can be shared than up to this element and after it
+            & F.coalesce(F.least("pi", "pj") + F.least(F.col("si") - F.col("pi"), F.col("sj") - F.col("pj")) >= need, F.lit(True))
         )
         .select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
         .distinct()
@@ -82,7 +104,7 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def correlated_pairs(vectors: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
+def correlated_pairs(vectors: DataFrame, runs: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
     """Pairs of distinct 0/1 vectors with Pearson correlation above ``threshold`` and below 1.
 
     ``vectors``: unique ``id`` and ``ones`` (array of the runs where it is 1); ``runs``: all runs.
@@ -107,19 +129,19 @@ def correlated_pairs(vectors: DataFrame, runs: DataFrame, threshold: float) -> D
     def side(name: str, sets: DataFrame) -> DataFrame:
         # a side is used by pairs with at most as many elements here as on the other side
         sized = sets.withColumn("size", F.size("tokens")).where(p + low <= 1.0 + 1e-9)
-        ordered = _rarest_first(sized, "tokens").withColumn("size", F.size("sorted"))
+        ordered = cut(_rarest_first(sized, "tokens").withColumn("size", F.size("sorted")))
         keep = F.greatest(F.lit(1), F.ceil(n * low - F.lit(1e-9)).cast("int"))
-        prefix = _prefix(ordered, F.col("size") - keep + 1)
+        prefix = _keys(ordered, keep, hot)
         return prefix.withColumns({"side": F.lit(name), "low": n * low, "high": n * high})
 
     ones = side("ones", vectors.select("id", F.col("ones").alias("tokens")))
     zeros = side("zeros", vectors.select("id", F.array_except(all_runs, F.col("ones")).alias("tokens")))
     prefixes = ones.unionByName(zeros)
-    left = prefixes.select("side", "token", F.col("id").alias("a"), F.col("size").alias("sa"), "low", "high")
-    right = prefixes.select("side", "token", F.col("id").alias("b"), F.col("size").alias("sb"))
+    left = prefixes.select("side", "key", F.col("id").alias("a"), F.col("size").alias("sa"), "low", "high")
+    right = prefixes.select("side", "key", F.col("id").alias("b"), F.col("size").alias("sb"))
     total = F.col("sa") + F.col("sb")
     found = (
-        left.join(right, ["side", "token"])
+        left.join(right, ["side", "key"])
         .where(
             (F.col("a") < F.col("b"))
             & F.col("sb").between(F.col("low") - 1e-6, F.col("high") + 1e-6)

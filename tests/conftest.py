@@ -16,7 +16,7 @@ def make_session() -> SparkSession:
     return prepare(
         SparkSession.builder.master("local[8]")
         .appName("runsight-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -95,8 +95,8 @@ def test_leaders_as_in_sequence(spark, seed):
     assert {r["id"] for r in out.collect()} == joined
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8])
-def test_jaccard_pairs(spark, threshold):
+@pytest.mark.parametrize("threshold,hot", [(0.3, 100), (0.3, 12), (0.6, 100), (0.6, 5), (0.8, 0)])
+def test_jaccard_pairs(spark, threshold, hot):
     rng = random.Random(4)
     sets = {frozenset(rng.sample("abcdefghijkl", rng.randint(1, 9))) for _ in range(60)}
     sets = list(enumerate(sets))
@@ -104,11 +104,11 @@ def test_jaccard_pairs(spark, threshold):
         (i, j) for i, a in sets for j, b in sets if i < j and len(a & b) / len(a | b) > threshold
     }
     df = frame(spark, [(i, sorted(s)) for i, s in sets], "id long, tokens array<string>")
-    assert {(r["a"], r["b"]) for r in setjoin.jaccard_pairs(df, threshold).collect()} == want
+    assert {(r["a"], r["b"]) for r in setjoin.jaccard_pairs(df, threshold, hot).collect()} == want
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.8])
-def test_correlated_pairs(spark, threshold):
+@pytest.mark.parametrize("threshold,hot", [(0.5, 100), (0.5, 4), (0.8, 100), (0.8, 0)])
+def test_correlated_pairs(spark, threshold, hot):
     rng = np.random.default_rng(5)
     base = rng.random((6, 24)) < rng.choice([0.1, 0.5, 0.9], (6, 1))
     flips = rng.random((60, 24)) < 0.05
@@ -120,4 +120,4 @@ def test_correlated_pairs(spark, threshold):
     }
     df = frame(spark, [(i, [k for k, x in enumerate(v) if x]) for i, v in vectors], "id long, ones array<long>")
     runs = spark.range(24).withColumnRenamed("id", "run")
-    assert want and {(r["a"], r["b"]) for r in setjoin.correlated_pairs(df, runs, threshold).collect()} == want
+    assert want and {(r["a"], r["b"]) for r in setjoin.correlated_pairs(df, runs, threshold, hot).collect()} == want
