@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import base64
 from collections.abc import Callable, Iterator
 
@@ -76,67 +77,36 @@ def lower_bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-class TokenCache(dict):
-    """Text chunk -> little-endian uint16 ids. A chunk is a space and what follows up to the next space
-    before a non-space; the tokenizer never joins text across such a place."""
+class Tokenizer:
+    """Ids as little-endian uint16 bytes, equal to the JSON file's without added special tokens; its rank file,
+    which lies beside it, is faster to apply."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str):
         import tiktoken
+        from public_tokenizers import PATTERN
 
-        self.limit = limit
-        pattern = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-        with open(path, "rb") as f:
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, chunk: str) -> bytes:
-        import array
-
-        ids = array.array("H", self.encoding.encode_ordinary(chunk)).tobytes()
-        if len(self) >= self.limit:
-            self.clear()
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        """Ids of a text; the end-of-text string is the special id, as in the JSON file."""
+        """The end-of-text string is the special id, as in the JSON file."""
         if SPECIAL not in text:
-            return self.plain(text)
-        return SPECIAL_ID.to_bytes(2, "little").join(self.plain(x) for x in text.split(SPECIAL))
-
-    def plain(self, text: str) -> bytes:
-        parts = text.split(" ")
-        chunks = [parts[0]] if parts[0] else []
-        chunks += [" " + p for p in parts[1:]]
-        if "  " in text or text.endswith(" ") or any(p[:1].isspace() for p in parts if p[:1] <= " " or p[:1] > "\x7f"):
-            chunks = _joined(chunks)
-        return b"".join(map(self.__getitem__, chunks))
-
-
-def _joined(chunks: list[str]) -> list[str]:
-    """Chunks whose space is followed by white space or the end belong to the chunk before them."""
-    out: list[str] = []
-    for c in chunks:
-        if out and c[0] == " " and (len(c) == 1 or c[1].isspace()):
-            out[-1] += c
-        else:
-            out.append(c)
-    return out
+            return array.array("H", self.encoding.encode_ordinary(text)).tobytes()
+        return SPECIAL_ID.to_bytes(2, "little").join(map(self.ids, text.split(SPECIAL)))
 
 
 #: Fixed values of the tokenizer file.
 SPECIAL, SPECIAL_ID, END_ID = "<|endoftext|>", 50256, 0
 
-_CACHES: dict[str, TokenCache] = {}
+_LOADED: dict[str, Tokenizer] = {}
 
 
-def token_cache(path: str) -> TokenCache:
-    """One cache per worker process. ``path``: the JSON file; its rank file lies beside it."""
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if ranks not in _CACHES:
-        _CACHES[ranks] = TokenCache(ranks)
-    return _CACHES[ranks]
+def loaded(path: str) -> Tokenizer:
+    """One tokenizer per worker process and file."""
+    if path not in _LOADED:
+        _LOADED[path] = Tokenizer(path)
+    return _LOADED[path]
 
 
 def default_tokenizer() -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import licences, quality, secrets, sharding
+from runsight.llm import licences, packing, quality, repair, secrets, sharding
 from runsight.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(documents(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.file_report(documents(spark, sf_dir))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_licences, op5_quality, op6_sharding, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_licences, op5_quality, op6_sharding, op8_packing, op9_token_files, op10_secrets)}
 ORACLES: dict[str, str] = {}
