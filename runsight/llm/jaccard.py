@@ -23,13 +23,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsight.llm.common import arrow_schema, lower_bytes, per_batch, small_batches, texts_of, written
+from runsight.llm.common import arrow_schema, key_groups, lower_bytes, per_batch, small_batches, texts_of, written
 from runsight.llm.components import components
 
 #: Groups of the count vectors.
@@ -90,6 +89,10 @@ class Levels:
         return differ, 1 + differ // 8
 
 
+def _seed(level: int, by: np.uint64) -> np.uint64:
+    return np.uint64((level + 1) * int(by) & 0xFFFFFFFFFFFFFFFF)
+
+
 def block_keys(own: np.ndarray, levels: Levels) -> np.ndarray:
     """The blocks of a set, as 64-bit keys."""
     n, out = len(own), []
@@ -100,10 +103,10 @@ def block_keys(own: np.ndarray, levels: Levels) -> np.ndarray:
         groups = np.uint64(differ + 1 + spare)
         group = ((own >> np.uint64(32)) * groups) >> np.uint64(32)  # ranges of hashes: ordered as the set is
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        out.append(mix(np.add.reduceat(mix(own), first) + mix(group[first] + np.uint64(level + 1) * _MIX)))
+        out.append(mix(np.add.reduceat(mix(own), first) + mix(group[first] + _seed(level, _MIX))))
         if int(groups) - len(first) > spare:
             prefix = n - -(-levels.at_least * n // 100) + 1
-            out.append(mix(own[:prefix] + np.uint64(level + 1) * _SALT))
+            out.append(mix(own[:prefix] + _seed(level, _SALT)))
     return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
@@ -271,25 +274,31 @@ def across_groups(members: DataFrame, vectors: DataFrame, groups: DataFrame, at_
     labelled = (members.select("block", "node").distinct().join(groups, "node", "left")
                 .select("block", "node", F.coalesce("component", "node").alias("component")))
     mixed = (labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-             .filter("lo < hi").select("block", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
-    # a large block is compared chunk by chunk, so that no task holds more than two chunks
+             .filter("lo < hi AND n > 2").select("block", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
+    # the pair of a block of two is compared already; a large block is compared chunk by chunk, so that no task holds more than two chunks
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     rows = (labelled.join(mixed, "block").join(vectors, "node").withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
             .select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "vector"))
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        points = np.frombuffer(b"".join(group["vector"]), dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
-        node, label, own = (group[c].to_numpy() for c in ("node", "component", "own"))
-        tree, a, b = RTree(points), [], []
-        for k in range(len(node)):
-            near = tree.search(points[k], at_least)
-            near = near[(label[near] != label[k]) & (node[near] > node[k]) & ((own[near] != own[k]) | (group["i"].iat[0] == group["j"].iat[0]))]
-            a += [node[k]] * len(near)
-            b += node[near].tolist()
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
-
-    return rows.groupBy("block", "i", "j").applyInPandas(search, "a long, b long").distinct()
+    schema = arrow_schema(members, "a long, b long")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_groups(batches, ["block", "i", "j"]):
+            points = np.frombuffer(b"".join(group.column("vector").to_pylist()), dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
+            node, label, part = (group.column(c).to_numpy() for c in ("node", "component", "own"))
+            within = group.column("i")[0] == group.column("j")[0]
+            tree, a, b = RTree(points), [], []
+            for k in range(len(node)):
+                near = tree.search(points[k], at_least)
+                near = near[(label[near] != label[k]) & (node[near] > node[k]) & (within | (part[near] != part[k]))]
+                a += [node[k]] * len(near)
+                b += node[near].tolist()
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
+
+    dealt = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
 def link_groups(docs: DataFrame, width: int = 4, at_least: int = 85) -> DataFrame:
