@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import decontaminate, jaccard, licences, packing, quality, repair, secrets, sharding
+from runsight.llm import decontaminate, jaccard, licences, packing, quality, repair, repeats, secrets, sharding
 from runsight.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(documents(spark, sf_dir))
+
+
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(documents(spark, sf_dir))
 
@@ -44,5 +48,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_licences, op4_decontaminate, op5_quality, op6_sharding, op7_jaccard, op8_packing, op9_token_files, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_repeats, op2_licences, op4_decontaminate, op5_quality, op6_sharding, op7_jaccard, op8_packing, op9_token_files, op10_secrets)}
 ORACLES: dict[str, str] = {}
