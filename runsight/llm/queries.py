@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import decontaminate, jaccard, licences, packing, quality, repair, repeats, secrets, sharding
+from runsight.llm import brown, decontaminate, jaccard, licences, packing, quality, repair, repeats, secrets, sharding
 from runsight.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(documents(spark, sf_dir))
 
 
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(documents(spark, sf_dir))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), decontaminate.benchmark(spark, sf_dir))
 
@@ -48,5 +52,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_repeats, op2_licences, op4_decontaminate, op5_quality, op6_sharding, op7_jaccard, op8_packing, op9_token_files, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_repeats, op2_licences, op3_brown, op4_decontaminate, op5_quality, op6_sharding, op7_jaccard, op8_packing, op9_token_files, op10_secrets)}
 ORACLES: dict[str, str] = {}
