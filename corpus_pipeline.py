@@ -1,10 +1,15 @@
-"""A training corpus from the documents table, in stages that are written and read again."""
+"""A packed training corpus from the documents table, in stages that are written and read again.
+
+Documents that fail the quality rules go; of each group of near copies the smallest doc_id stays; documents that leak
+benchmark items go; secrets are replaced by a mark; what is left is packed into token sequences. All stages but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import quality, secrets
+from runsight.llm import decontaminate, jaccard, packing, quality, secrets
 from runsight.llm.common import documents, written
 
 
@@ -12,13 +17,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_quality(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shingles of five words and a similarity of 0.8, as for all near-duplicate stages."""
+    return jaccard.keep_one(docs, width=5, at_least=80)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaks(docs, decontaminate.benchmark(spark, sf_dir))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("secret scans", secret_scans)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("secret scans", secret_scans),
+    ("packing", packed),
+]
 
-#: Sketches, similarity joins and packing are beyond SQL; tests compare run() with a plain version.
+#: Similarity groups, randomness tests and tokens are beyond SQL; tests compare run() with a plain version.
 ORACLE_SQL = None
 
 
