@@ -126,7 +126,7 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, ma
     after, before = after.copy(), before.copy()
     after[own] -= twice
     before[own] -= twice
-    rows, columns = rest.sum(axis=1), rest.sum(axis=0)
+    rows, columns = rest.sum(axis=1) + before, rest.sum(axis=0) + after  # the others' totals do not move
     k = np.arange(classes)
     gain = (_xlogx(rest[:classes] + after) - _xlogx(rest[:classes])).sum(axis=1)
     gain += (_xlogx(rest[:, :classes] + before[:, None]) - _xlogx(rest[:, :classes])).sum(axis=0)

@@ -155,7 +155,7 @@ def repeated(pieces: list[bytes], weights: np.ndarray, length: int, unit: int, s
     _, symbols = np.unique(h[whole], return_inverse=True)
     index = np.full(len(data) + unit, -1)
     index[whole] = np.arange(len(whole))
-    follow = index[whole + unit]
+    follow = np.where(whole + 2 * unit <= ends[owner[whole]], index[whole + unit], -1)
     starts = (ends - sizes)[owner[whole]]
     has = whole - unit >= starts
     before = np.where(has, symbols[np.maximum(index[np.maximum(whole - unit, 0)], 0)], -1)
