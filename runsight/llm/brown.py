@@ -2,8 +2,8 @@
 
 P(text) = product of P(class | class before) * P(word | class), with an end token that also precedes the first word.
 Words are assigned to classes by exchange: from counts of neighbouring words, each word moves to the class that raises
-the likelihood of the class bigrams most; all words are tried at once, half of them in each round, and the best
-assignment is kept. The ``clustered`` most frequent words take part; all others belong to classes by their ending,
+the likelihood of the class bigrams most. A round tries all words at once and makes the best few moves out of and into
+each class, since moves disturb each other; the best assignment is kept. The ``clustered`` most frequent words take part; all others belong to classes by their ending,
 which also stand as contexts. Counts of words, classes and transitions cover the whole training part of the table, and
 probabilities are smoothed by adding one.
 
@@ -116,8 +116,8 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(axis=0)).sum() - _xlogx(matrix.sum(axis=1)).sum())
 
 
-def best_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, matrix: np.ndarray, classes: int) -> int:
-    """The class to which a word's move raises the likelihood most. after, before: counts of the word's neighbours by
+def best_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, matrix: np.ndarray, classes: int) -> tuple[int, float]:
+    """The class to which a word's move raises the likelihood most, and by how much. after, before: counts of the word's neighbours by
     class; twice: how often it follows itself."""
     rest = matrix.copy()
     rest[own] -= after
@@ -135,7 +135,7 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, ma
     out, into = after.sum() + twice, before.sum() + twice
     gain -= _xlogx(rows[:classes] + out) - _xlogx(rows[:classes]) + _xlogx(columns[:classes] + into) - _xlogx(columns[:classes])
     best = int(gain.argmax())
-    return best if gain[best] > gain[own] + 1e-9 else own
+    return best, float(gain[best] - gain[own])
 
 
 def class_matrix(pairs: DataFrame, of: np.ndarray) -> np.ndarray:
@@ -160,7 +160,9 @@ def _classed(pairs: DataFrame, of: np.ndarray) -> DataFrame:
 def exchange(pairs: DataFrame, clustered: int, classes: int, rounds: int) -> np.ndarray:
     """Class of every symbol: clustered words by exchange, then a class for each ending and for the end token."""
     fixed = np.arange(classes, classes + ENDINGS + 1)
-    of = np.concatenate((np.arange(clustered) % classes, fixed)).astype(np.int32)
+    # at first, words of like frequency are a class
+    of = np.concatenate((np.arange(clustered) * classes // max(1, clustered), fixed)).astype(np.int32)
+    few = max(1, clustered // (3 * classes))
     width = classes + ENDINGS + 1
     best, best_value = of, -math.inf
     for step in range(rounds + 1):
@@ -171,11 +173,10 @@ def exchange(pairs: DataFrame, clustered: int, classes: int, rounds: int) -> np.
         if step == rounds or not clustered:
             break
         rows = _classed(pairs, of)
-        moving = (F.col("word") + step) % 2 == 0
         after = rows.select(F.col("a").alias("word"), F.col("cb").alias("class"), "n", F.lit(0).alias("side"))
         before = rows.select(F.col("b").alias("word"), F.col("ca").alias("class"), "n", F.lit(1).alias("side"))
         twice = rows.filter("a = b").select(F.col("a").alias("word"), F.lit(0).alias("class"), "n", F.lit(2).alias("side"))
-        sides = (after.union(before).union(twice).filter((F.col("word") < clustered) & moving)
+        sides = (after.union(before).union(twice).filter(F.col("word") < clustered)
                  .groupBy("word", "side", "class").agg(F.sum("n").alias("n"))
                  .groupBy("word").agg(F.collect_list(F.struct("side", "class", "n")).alias("sides")))  # 2 * classes + 1 at most
         shared = pairs.sparkSession.sparkContext.broadcast((of, matrix))
@@ -188,11 +189,16 @@ def exchange(pairs: DataFrame, clustered: int, classes: int, rounds: int) -> np.
                 for s in own:
                     side[s["side"], s["class"]] = s["n"]
                 chosen.append(best_class(int(now[word]), side[0], side[1], float(side[2, 0]), counts, classes))
-            return {"word": batch.column("word"), "class": chosen}
-
-        of = of.copy()
-        for r in per_batch(sides, move, "word int, class int").collect():  # a number for each clustered word
-            of[r["word"]] = r["class"]
+            return {"word": batch.column("word"), "class": [c for c, _ in chosen], "gain": [g for _, g in chosen]}
+
+        moves = per_batch(sides, move, "word int, class int, gain double").filter("gain > 1e-9")
+        of, into, out = of.copy(), Counter(), Counter()
+        for r in sorted(moves.collect(), key=lambda r: (-r["gain"], r["word"])):  # a row for each clustered word at most
+            old = int(of[r["word"]])
+            if into[r["class"]] < few and out[old] < few:
+                of[r["word"]] = r["class"]
+                into[r["class"]] += 1
+                out[old] += 1
     return best
 
 
@@ -215,7 +221,7 @@ class Model:
         self.transition = np.log10((matrix + 1) / (matrix.sum(axis=1, keepdims=True) + len(matrix)))
 
 
-def train(docs: DataFrame, clustered: int = 5000, classes: int = 64, rounds: int = 6, head: int = 200_000) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, clustered: int = 5000, classes: int = 64, rounds: int = 8, head: int = 200_000) -> tuple[Model, DataFrame]:
     """The model, and (word, c) of all training words."""
     training = docs.filter(~held_out())
     counts = written(word_counts(training), "word-counts")

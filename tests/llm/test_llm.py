@@ -171,9 +171,10 @@ def test_exchange_gain_is_the_likelihood_gained():
 
     for w in range(words):
         after, before = (np.bincount(of, weights=x, minlength=classes) for x in (pairs[w], pairs[:, w]))
-        best = brown.best_class(int(of[w]), after, before, pairs[w, w], matrix(of), classes)
+        best, gain = brown.best_class(int(of[w]), after, before, pairs[w, w], matrix(of), classes)
         values = [brown.likelihood(matrix(np.where(np.arange(words) == w, k, of))) for k in range(classes)]
         assert math.isclose(values[best], max(values), rel_tol=1e-12)
+        assert math.isclose(gain, max(values) - values[of[w]], abs_tol=1e-6)
 
 
 def test_brown_probabilities_sum_to_one(spark):
