@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from runsight.functions.columns import PRIORITY_LEVEL, contains_flag, lookup, ratio
 from runsight.operators.scalars import exact_median, group_stats, most_common, scalar_stats
 
-MAX_CATEGORIES = 1_000
-
 
 def parse_timestamps(df: DataFrame, columns: Sequence[str] = ("start_time", "end_time")) -> DataFrame:
     """Text columns to timestamps; a column with any unreadable value stays text, as a whole."""
@@ -136,27 +134,29 @@ def engineer_features(df: DataFrame) -> DataFrame:
     return out
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list[str]:
-    """Sorted distinct values for one column each; refuses a column that is too wide."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; use one_hot_vectors instead")
-    return sorted(r[0] for r in rows)
-
-
 def dummy_columns(column: Column, prefix: str, values: Sequence[str]) -> dict[str, Column]:
     return {f"{prefix}_{v}": F.coalesce((column == v).cast("int"), F.lit(0)) for v in values}
 
 
+def with_dummies(df: DataFrame, column: str, prefix: str, values: Sequence[str] | None = None) -> DataFrame:
+    """0/1 columns for the values the caller lists; else one sparse column, a map from the row's value to 1.
+
+    The map has one form whatever the number of values, so nothing is collected.
+    """
+    if values is not None:
+        return df.withColumns(dummy_columns(F.col(column), prefix, values))
+    none = F.from_json(F.lit("{}"), "map<string,int>")
+    return df.withColumn(f"{prefix}_dummies", F.when(F.col(column).isNotNull(), F.create_map(F.col(column), F.lit(1))).otherwise(none))
+
+
 def one_hot_encode(
-    df: DataFrame, columns: Sequence[str], known: dict[str, list[str]] | None = None
+    df: DataFrame, columns: Sequence[str], known: dict[str, Sequence[str]] | None = None
 ) -> DataFrame:
-    """One 0/1 column per category, NULL as ``unknown``; values not in ``known`` give all zeros."""
-    filled = df.withColumns({c: F.coalesce(F.col(c), F.lit("unknown")) for c in columns})
-    known = known or {c: categories(filled, c) for c in columns}
-    return filled.withColumns(
-        {k: v for c in columns for k, v in dummy_columns(F.col(c), c, known[c]).items()}
-    ).drop(*columns)
+    """The columns as dummies, NULL as ``unknown``: 0/1 columns for ``known`` values (others give all zeros), else maps."""
+    out = df.withColumns({c: F.coalesce(F.col(c), F.lit("unknown")) for c in columns})
+    for c in columns:
+        out = with_dummies(out, c, c, (known or {}).get(c))
+    return out.drop(*columns)
 
 
 def one_hot_vectors(columns: Sequence[str]) -> list:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runsight.functions.columns import PRIORITY_LEVEL, bins, contains_flag, lookup, ratio
-from runsight.operators.clean import categories, clean_executions, dummy_columns
+from runsight.operators.clean import clean_executions, dummy_columns, with_dummies
 from runsight.operators.ordering import PLACE, range_ordered, with_previous
 from runsight.operators.scalars import group_stats, scalar_stats
 from runsight.session import cut
@@ -87,14 +89,17 @@ def test_age_category(df: DataFrame) -> DataFrame:
     )
 
 
-def component_dummies(df: DataFrame) -> DataFrame:
-    return df.withColumns(dummy_columns(F.col("component"), "component", categories(df, "component")))
+def component_dummies(df: DataFrame, values: Sequence[str] | None = None) -> DataFrame:
+    return with_dummies(df, "component", "component", values)
 
 
-def tests_in_suite(df: DataFrame) -> DataFrame:
+def tests_in_suite(df: DataFrame, suites: Sequence[str] | None = None) -> DataFrame:
     counted = group_stats(df, ["suite_name"], F.count(F.lit(1)).alias("tests_in_suite"))
-    return counted.withColumns(dummy_columns(F.col("suite_name"), "suite", categories(df, "suite_name")))
+    return with_dummies(counted, "suite_name", "suite", suites)
+
 
+#: Rows of a test are windowed in buckets of ten minutes.
+BUCKET_MICROS = 600_000_000
 
 _HISTORY = {
     "avg_historical_execution_time": lambda: F.avg("execution_time"),
@@ -114,14 +119,17 @@ def historical_performance(df: DataFrame, as_of: bool = False) -> DataFrame:
     """
     if not as_of:
         return group_stats(df, ["test_name"], *[make().alias(name) for name, make in _HISTORY.items()])
-    x = F.col("execution_time").cast("double")
+    # moments of distances from the test's mean: squares of the times themselves would lose small deviations
+    df = group_stats(df, ["test_name"], F.avg("execution_time").alias("_mean"))
+    x = F.col("execution_time").cast("double") - F.col("_mean")
+    t = F.col("execution_time").cast("double")
     passed = F.coalesce((F.col("result") == "passed").cast("int"), F.lit(0))
-    bucket = F.date_trunc("hour", F.col("start_time").cast("timestamp"))
+    bucket = F.floor(F.unix_micros(F.col("start_time").cast("timestamp")) / BUCKET_MICROS)
     rows = df.withColumn("_bucket", bucket)
     parts = {
         "n": (F.sum, F.when(x.isNotNull(), 1).otherwise(0)), "rows": (F.sum, F.lit(1)),
         "s": (F.sum, F.coalesce(x, F.lit(0.0))), "q": (F.sum, F.coalesce(x * x, F.lit(0.0))),
-        "lo": (F.min, x), "hi": (F.max, x), "p": (F.sum, passed),
+        "lo": (F.min, t), "hi": (F.max, t), "p": (F.sum, passed),
     }
     inner = Window.partitionBy("test_name", "_bucket").orderBy("start_time", "event_id").rowsBetween(
         Window.unboundedPreceding, -1
@@ -142,13 +150,13 @@ def historical_performance(df: DataFrame, as_of: bool = False) -> DataFrame:
     n, total, squares = both("n"), both("s"), both("q")
     variance = F.when(n > 1, F.greatest(F.lit(0.0), (squares - total * total / n) / (n - 1)))
     return out.withColumns({
-        "avg_historical_execution_time": F.try_divide(total, n),
+        "avg_historical_execution_time": F.try_divide(total, n) + F.col("_mean"),
         "std_historical_execution_time": F.sqrt(variance),
         "min_historical_execution_time": F.least("_i_lo", "_c_lo"),
         "max_historical_execution_time": F.greatest("_i_hi", "_c_hi"),
         "historical_execution_count": n.cast("long"),
         "historical_pass_rate": F.try_divide(both("p"), both("rows")),
-    }).drop("_bucket", *[f"_{p}_{k}" for p in ("i", "c") for k in parts])
+    }).drop("_bucket", "_mean", *[f"_{p}_{k}" for p in ("i", "c") for k in parts])
 
 
 def execution_deviation(df: DataFrame) -> DataFrame:
@@ -206,9 +214,13 @@ def complexity_score(df: DataFrame) -> DataFrame:
     )
 
 
-def all_features(df: DataFrame, as_of: bool = False, with_errors: bool = True) -> DataFrame:
+def all_features(
+    df: DataFrame, as_of: bool = False, with_errors: bool = True, values: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
     """Clean, then time, error, metadata, history and context features, where columns exist.
 
+    ``values``: components and suites that get 0/1 columns, by ``component`` and ``suite_name``; else they are maps.
+
     Error features give the result away; leave them out when training.
     """
     out = cut(clean_executions(df))  # read by several aggregates below
@@ -223,9 +235,9 @@ def all_features(df: DataFrame, as_of: bool = False, with_errors: bool = True) -
     if "priority" in has:
         out = out.withColumn("priority_level", lookup(F.col("priority"), PRIORITY_LEVEL, 3))
     if "component" in has:
-        out = component_dummies(out)
+        out = component_dummies(out, (values or {}).get("component"))
     if "suite_name" in has:
-        out = tests_in_suite(out)
+        out = tests_in_suite(out, (values or {}).get("suite_name"))
     if {"test_name", "start_time"} <= has:
         out = execution_zscore(execution_deviation(historical_performance(out, as_of)))
     if timed:

@@ -278,7 +278,7 @@ def permutation_importance(
     plans = F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip("rab", s)]) for s in steps]))
     other = ranked.select(F.col("_i").alias("_partner"), *[F.col(c).alias(f"_o_{c}") for c in columns])
     paired = ranked.withColumn("_p", plans).withColumn(
-        "_partner", F.pmod(F.col("_p.a") * F.col("_i") + F.col("_p.b"), F.lit(n)) + 1
+        "_partner", F.pmod(F.col("_p.a").cast("decimal(19,0)") * F.col("_i") + F.col("_p.b"), F.lit(n)).cast("long") + 1
     ).join(other, "_partner")
     variants = paired.withColumn("_feature", F.explode(F.array(*[F.lit(c) for c in columns]))).withColumns({
         c: F.when(F.col("_feature") == c, F.col(f"_o_{c}")).otherwise(F.col(c)) for c in columns
@@ -328,7 +328,7 @@ def train_many(
             rows.append((kind, *evaluate(model, test).first(), None))
             models[kind] = model
         except Exception as err:  # one bad model must not stop the others
-            rows.append((kind, *[None] * 6, str(err)[:200]))
+            rows.append((kind, *[None] * 6, str(err)))
     table = df.sparkSession.createDataFrame(
         rows, "model_type string, accuracy double, precision double, recall double, f1 double, roc_auc double, "
         "average_precision double, error string",

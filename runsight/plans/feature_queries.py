@@ -145,7 +145,7 @@ _PRIORITIES = ("critical", "high", "low", "medium", "odd", "unknown")
 @query("one_hot_encode", f"""
 SELECT event_id, {_dummy("coalesce(priority, 'unknown')", 'priority', _PRIORITIES)} FROM executions_gaps""")
 def one_hot_encode(t):
-    return clean.one_hot_encode(t.view("executions_gaps").select("event_id", "priority"), ["priority"])
+    return clean.one_hot_encode(t.view("executions_gaps").select("event_id", "priority"), ["priority"], {"priority": _PRIORITIES})
 
 
 @query("prepare_for_modeling", """
@@ -240,17 +240,21 @@ def test_age_category(t):
     return out.select("event_id", "test_age_category", *[f"age_{x}" for x in features.AGE_LABELS])
 
 
+COMPONENTS = [f"component_{i}" for i in range(5)]
+SUITES = [f"suite_{i}" for i in range(10)]
+
+
 @query("component_dummies", f"""
-SELECT event_id, {_dummy('component', 'component', [f'component_{i}' for i in range(5)])} FROM executions""")
+SELECT event_id, {_dummy('component', 'component', COMPONENTS)} FROM executions""")
 def component_dummies(t):
-    return features.component_dummies(t.view("executions").select("event_id", "component")).drop("component")
+    return features.component_dummies(t.view("executions").select("event_id", "component"), COMPONENTS).drop("component")
 
 
 @query("tests_in_suite", f"""
 SELECT event_id, count(*) OVER (PARTITION BY suite_name) AS tests_in_suite,
-       {_dummy('suite_name', 'suite', [f'suite_{i}' for i in range(10)])} FROM executions""")
+       {_dummy('suite_name', 'suite', SUITES)} FROM executions""")
 def tests_in_suite(t):
-    return features.tests_in_suite(t.view("executions").select("event_id", "suite_name")).drop("suite_name")
+    return features.tests_in_suite(t.view("executions").select("event_id", "suite_name"), SUITES).drop("suite_name")
 
 
 _HISTORY = """
@@ -348,4 +352,4 @@ def complexity_score(t):
 @query("all_features")
 def all_features(t):
     """Whole feature table; its columns are checked one by one by the queries above."""
-    return features.all_features(_modified(t))
+    return features.all_features(_modified(t), values={"component": COMPONENTS, "suite_name": SUITES})

@@ -64,13 +64,13 @@ def model_dummy(t):
 
 
 _model_query("model_logistic_regression", "logistic_regression")
-_model_query("model_random_forest", "random_forest", max_depth=10)
-_model_query("model_gradient_boosting", "gradient_boosting", n_estimators=10)
+_model_query("model_random_forest", "random_forest")
+_model_query("model_gradient_boosting", "gradient_boosting")
 _model_query("model_svm", "svm")
 _model_query("model_decision_tree", "decision_tree")
 _model_query("model_naive_bayes", "naive_bayes")
-_model_query("model_neural_network", "neural_network", max_iter=100)
-_model_query("model_factory", "no_such_model", n_estimators=20, max_depth=5)
+_model_query("model_neural_network", "neural_network")
+_model_query("model_factory", "no_such_model")
 
 _PARTS = """
 e AS (SELECT vec_id, embedding, label % 2 AS y FROM embeddings),
@@ -103,26 +103,24 @@ def grid_search_cv(t):
 
 @query("tree_importances")
 def tree_importances(t):
-    model = models.train_model(_frame(t), "random_forest", {"n_estimators": 20, "max_depth": 5}, COLUMNS)
+    model = models.train_model(_frame(t), "random_forest", {}, COLUMNS)
     return rounded(models.tree_importances(model, COLUMNS, t.spark))
 
 
 @query("permutation_importance")
 def permutation_importance(t):
     df = cut(_frame(t))
-    model = models.train_model(df, "decision_tree", {"max_depth": 5}, COLUMNS)
+    model = models.train_model(df, "decision_tree", {}, COLUMNS)
     return rounded(models.permutation_importance(model, df, "event_id", COLUMNS))
 
 
 @query("learning_curve")
 def learning_curve(t):
-    out = models.learning_curve(
-        _frame(t), "decision_tree", "event_id", {"max_depth": 3}, COLUMNS, sizes=(0.25, 0.5, 1.0), folds=3
-    )
+    out = models.learning_curve(_frame(t), "decision_tree", "event_id", {}, COLUMNS)
     return rounded(out, 4)
 
 
-_SOME = {"logistic_regression": {}, "decision_tree": {"max_depth": 5}, "naive_bayes": {}}
+_SOME = {"logistic_regression": {}, "decision_tree": {}, "naive_bayes": {}}
 
 
 @query("train_many")
@@ -138,7 +136,7 @@ def compare_models(t):
 def _tree(t):
     split = cut(split_rows(_frame(t), "y", "event_id"))
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
-    return models.train_model(train, "decision_tree", {"max_depth": 5}, COLUMNS), test
+    return models.train_model(train, "decision_tree", {}, COLUMNS), test
 
 
 @query("analyze_model")

@@ -91,13 +91,25 @@ def test_cleaning_edges(spark):
     assert clean.complexity_minmax(one).first()["complexity_score"] == 0.0
     bad = spark.createDataFrame([("2024-01-01 10:00:00",), ("soon",)], "start_time string")
     assert clean.parse_timestamps(bad).schema["start_time"].dataType.simpleString() == "string"
-    with pytest.raises(ValueError):
-        clean.categories(spark.range(20).select(F.col("id").cast("string").alias("c")), "c", limit=10)
+    wide = spark.range(1500).select(F.col("id").cast("string").alias("component"), F.concat(F.lit("s"), "id").alias("suite_name"))
+    assert features.component_dummies(wide).filter("component_dummies[component] = 1 AND size(component_dummies) = 1").count() == 1500
+    counted = features.tests_in_suite(wide.union(wide))
+    assert counted.filter("tests_in_suite = 2 AND suite_dummies[suite_name] = 1").count() == 3000
+    assert clean.one_hot_encode(wide, ["suite_name"]).filter("size(suite_name_dummies) = 1").count() == 1500
     known = {"suite_name": ["a"]}
     encoded = clean.one_hot_encode(df.where("suite_name = 'b'"), ["suite_name"], known)
     assert {r["suite_name_a"] for r in encoded.collect()} == {0}
 
 
+def test_history_as_of_keeps_small_deviations(spark):
+    rows = [(i, "t", f"2024-01-01 {i:02d}:00:00", 1e9 + i % 2, "passed") for i in range(10)]
+    df = spark.createDataFrame(rows, "event_id int, test_name string, start_time string, execution_time double, result string")
+    out = features.historical_performance(df.withColumn("start_time", F.to_timestamp("start_time")), as_of=True)
+    last = out.orderBy(F.desc("event_id")).first()
+    assert abs(last["std_historical_execution_time"] - 0.5270) < 1e-3 and last["historical_execution_count"] == 9
+    assert abs(last["avg_historical_execution_time"] - (1e9 + 4 / 9)) < 1e-6
+
+
 def test_bins_are_right_closed(spark):
     df = spark.createDataFrame([(d,) for d in (-2, -1, 7, 8, 30, 91)], "days_since_modified int")
     labels = {r[0]: r[1] for r in features.test_age_category(df).select("days_since_modified", "test_age_category").collect()}
