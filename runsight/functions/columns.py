@@ -49,7 +49,5 @@ def word_set(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two distinct-element arrays; 0 if either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        shared / (F.size(a) + F.size(b) - shared)
-    )
+    share = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: n / (F.size(a) + F.size(b) - n))[0]  # intersects once
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)

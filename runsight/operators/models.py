@@ -10,6 +10,7 @@ import datetime
 import json
 from collections.abc import Mapping, Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,6 @@ from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,29 +217,24 @@ def grid_search_cv(
     width, rows = None if columns else vector_width(train), train_size(train) * (folds - 1) // folds
     options = dict(grid if grid is not None else GRIDS[kind])
     combos = [dict(zip(options, values)) for values in product(*options.values())] or [{}]
-    # each combination is a list of stages, so the whole model can vary
-    outer = Pipeline(stages=[])
-    choice = ParamGridBuilder().addGrid(outer.stages, [
-        get_model(kind, {**(params or {}), **c}, rows=rows, columns=columns, width=width)[0].getStages() for c in combos
-    ]).build()
     f1 = MulticlassClassificationEvaluator(labelCol="y", metricName="fMeasureByLabel", metricLabel=1.0)
-    search = CrossValidator(
-        estimator=outer, estimatorParamMaps=choice, evaluator=f1, numFolds=folds, foldCol="fold",
-        parallelism=parallelism, collectSubModels=True,
-    ).fit(train)
-    parts = [train.where(F.col("fold") != i) for i in range(folds)]
-    rows_out = []
-    for i, combo in enumerate(combos):
-        seen = [f1.evaluate(search.subModels[k][i].transform(parts[k])) for k in range(folds)]
-        rows_out.append((
-            json.dumps(combo), float(search.avgMetrics[i]), float(search.stdMetrics[i]),
-            float(np.mean(seen)), float(np.std(seen)),
-        ))
+
+    def score(choice: tuple[int, int]) -> tuple[float, float]:
+        """Held-out and training score of one combination on one fold; the model is dropped at once."""
+        combo, fold = combos[choice[0]], choice[1]
+        part = train.where(F.col("fold") != fold)
+        model = get_model(kind, {**(params or {}), **combo}, rows=rows, columns=columns, width=width)[0].fit(part)
+        return f1.evaluate(model.transform(train.where(F.col("fold") == fold))), f1.evaluate(model.transform(part))
+
+    with ThreadPool(parallelism) as pool:
+        scores = np.array(pool.map(score, list(product(range(len(combos)), range(folds))), chunksize=1)).reshape(len(combos), folds, 2)
+    means, sds = scores.mean(axis=1), scores.std(axis=1)
+    rows_out = [(json.dumps(c), *(float(x) for x in (m[0], s[0], m[1], s[1]))) for c, m, s in zip(combos, means, sds)]
     table = train.sparkSession.createDataFrame(
         rows_out, "parameters string, mean_test_score double, std_test_score double, "
         "mean_train_score double, std_train_score double",
     )
-    return table, combos[int(np.argmax(search.avgMetrics))]
+    return table, combos[int(np.argmax(means[:, 0]))]
 
 
 def evaluate(model: Transformer, test: DataFrame, threshold: float = 0.5) -> DataFrame:

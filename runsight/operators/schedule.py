@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +44,15 @@ def priority_score(
 
 
 def prioritize_tests(tests: DataFrame, predict=None) -> DataFrame:
-    """Predict, score and rank. ``predict`` adds ``failure_probability``; without one it is 0."""
+    """Predict, score and rank. ``predict`` adds ``failure_probability``; without one, or if it cannot be applied
+    to the table (a column or feature is missing), it is 0."""
     missing = [c for c in REQUIRED if c not in tests.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    scored = predict(tests) if predict is not None else tests
+    try:
+        scored = predict(tests) if predict is not None else tests
+    except (AnalysisException, IllegalArgumentException, KeyError, ValueError):
+        scored = tests.drop("failure_probability")
     if "failure_probability" not in scored.columns:
         scored = scored.withColumn("failure_probability", F.lit(0.0))
     scored = priority_score(cut(scored))
@@ -55,7 +60,11 @@ def prioritize_tests(tests: DataFrame, predict=None) -> DataFrame:
 
 
 def fit_time_budget(ranked: DataFrame, minutes: float | None) -> DataFrame:
-    """Tests in rank order that fit the minutes, each once; ends once 95 % full and one does not fit."""
+    """Tests in rank order that fit the minutes, each once; ends once 95 % full and one does not fit.
+
+    A test that does not fit is skipped and the walk goes on with the next one. A walk that, on such a test, first
+    takes a later one and only then asks whether it is 95 % full can end earlier: this one asks before.
+    """
     if not minutes:
         return ranked
     return first_fit(

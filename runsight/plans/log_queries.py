@@ -94,10 +94,16 @@ def read_dependencies(t):
     return readers.read_dependencies(t.spark, path, whole_file=False)
 
 
+@query("read_impact_mapping", "SELECT DISTINCT file AS path, CAST(test_id AS STRING) AS test_id FROM coverage")
+def read_impact_mapping(t):
+    path = _map_file(t, t.view("coverage"), "file", "test_id", "impact_json")
+    return readers.read_impact_mapping(t.spark, path, whole_file=False)
+
+
 @query("read_log_bodies", "SELECT md5(concat(text, chr(10))) AS content, count(*) AS n FROM documents GROUP BY 1")
 def read_log_bodies(t):
     path = scratch(t.spark, "bodies")
-    t.table("documents").select("text").repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    t.table("documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
     bodies = readers.read_log_bodies(t.spark, path)
     return bodies.groupBy(F.md5("body").alias("content")).agg(F.count_distinct("test_id").alias("n"))
 
@@ -123,9 +129,8 @@ def write_documents(t):
 SELECT event_id, test_id, result FROM executions WHERE execution_id = (SELECT max(execution_id) FROM executions)""")
 def latest_snapshot(t):
     runs = t.view("executions").select("event_id", "test_id", "result", F.col("execution_id").alias("snapshot"))
-    # one task per (day, part): a day is spread over several tasks, yet few files are written
-    spread = runs.repartition("snapshot", F.col("event_id") % 4)
-    path = writers.write_table(spread, scratch(t.spark, "snapshots"), partition_by=["snapshot"])
+    # a day's rows come together; partitions that grow too large are split
+    path = writers.write_table(runs.hint("rebalance", "snapshot"), scratch(t.spark, "snapshots"), partition_by=["snapshot"])
     newest = readers.latest_snapshot(t.spark.read.schema(runs.schema).parquet(path))
     return newest.select("event_id", "test_id", "result")
 

@@ -122,6 +122,13 @@ def schedule_changed_files(t):
     return _out(schedule.schedule_changed_files(_tests(t), t.sql(_CHANGED), t.sql(_MAPPING)))
 
 
+@query("predicted_failures", _head(_TESTS, "RECURSIVE") + _FIT + f"""
+SELECT test_id, priority_rank, round(priority_score, 6) AS priority_score FROM chosen
+WHERE failure_probability >= {schedule.THRESHOLD}""")
+def predicted_failures(t):
+    return _out(schedule.predicted_failures(_chosen(t)))
+
+
 _PREVIOUS = """SELECT l_partkey AS test_id, CASE WHEN l_returnflag = 'R' THEN 'FAIL' ELSE 'PASS' END AS status
 FROM lineitem WHERE year(l_shipdate) = (SELECT max(year(l_shipdate)) FROM lineitem)"""
 _INCREMENTAL = f"""SELECT *, recent_failure_rate AS failure_probability FROM metadata
