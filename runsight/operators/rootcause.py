@@ -221,25 +221,10 @@ def assign_patterns(items: DataFrame, threshold: float = SIMILARITY) -> DataFram
         F.min("item").alias("id"), F.first("_words").alias("tokens")
     )
     nodes = cut(nodes)
-    sets = nodes.groupBy("_key").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
-    pairs = setjoin.jaccard_pairs(sets.select("id", "tokens"), threshold).select("a", "b")
-    by_key = sets.select(F.col("id").alias("set_id"), "_key")
-    # from pairs of word sets back to pairs of nodes: a word set has at most two (plain, forced)
-    node_of = nodes.join(by_key, "_key").select("set_id", "id", "forced")
-    both_ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    same = by_key.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
-    left = node_of.select(F.col("set_id").alias("a"), F.col("id").alias("from"))
-    right = node_of.where(~F.col("forced")).select(F.col("set_id").alias("b"), F.col("id").alias("to"))
-    edges = cut(
-        both_ways.unionByName(same).join(left, "a").join(right, "b")
-        .where(F.col("from") < F.col("to"))
-        .select(F.col("from").alias("a"), F.col("to").alias("b"))
-    )
-    joined = setjoin.members(edges)
+    leaders, near = setjoin.leader_edges(nodes.select("id", "tokens", F.col("forced").alias("fixed")), threshold)
     owner = (
-        edges.join(joined.withColumnRenamed("id", "a"), "a", "left_anti")
-        .groupBy("b").agg(F.min("a").alias("owner"))
-        .join(joined.withColumnRenamed("id", "b"), "b", "left_semi")
+        near.where("leader < id").join(leaders.withColumnRenamed("leader", "id"), "id", "left_anti")
+        .groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("owner"))
     )
     resolved = (
         nodes.join(owner, nodes["id"] == owner["b"], "left")

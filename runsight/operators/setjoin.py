@@ -59,31 +59,42 @@ def _keys(ordered: DataFrame, keep: Column, hot: int) -> DataFrame:
     return single.unionByName(pairs)
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
-    """All pairs of distinct sets with Jaccard similarity above ``threshold``.
-
-    ``sets``: unique ``id`` and ``tokens`` (array without repeats, not empty).
-    Returns ``a < b`` and ``similarity``.
-    """
-    sets = cut(sets.select("id", "tokens", F.size("tokens").alias("size")).where("size > 0"))
+def _prepared(sets: DataFrame, threshold: float, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Sets with their sizes, and their join keys with a size class."""
+    sets = cut(sets.withColumn("size", F.size("tokens")).where("size > 0"))
     ordered = cut(_rarest_first(sets, "tokens").withColumn("size", F.size("sorted")))
-    t = F.lit(float(threshold))
     # one less than an exact product, so rounding never shortens the prefix
-    keep = F.greatest(F.lit(1), F.ceil(t * F.col("size") - F.lit(1e-9)).cast("int"))
-    prefixes = _keys(ordered, keep, hot)
+    keep = F.greatest(F.lit(1), F.ceil(F.lit(float(threshold)) * F.col("size") - F.lit(1e-9)).cast("int"))
     # similar sets have sizes within a factor of 1/threshold, so size classes split a common token
     step = math.log(1.0 / threshold) if threshold < 1.0 else 1.0
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int")
+    return sets, _keys(ordered, keep, hot).withColumn("band", band)
+
+
+def _similar(found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The candidate pairs (a, b) with their similarity, if it is above the threshold."""
+    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    sizes = found.join(left, "a").join(right, "b").select(
+        "a", "b", F.size(F.array_intersect("ta", "tb")).alias("both"), (F.size("ta") + F.size("tb")).alias("all")
+    )
+    return sizes.select("a", "b", (F.col("both") / (F.col("all") - F.col("both"))).alias("similarity")).where(
+        F.col("similarity") > F.lit(float(threshold))
+    )
+
+
+def _join_keys(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of sets that share a key and may be similar by size and place."""
+    t, band = F.lit(float(threshold)), F.col("band")
     small = prefixes.select(
-        F.col("id").alias("i"), F.col("size").alias("si"), F.col("place").alias("pi"), "key",
-        band.alias("band"),
+        F.col("id").alias("i"), F.col("size").alias("si"), F.col("place").alias("pi"), "key", "band",
     )
     large = prefixes.select(
         F.col("id").alias("j"), F.col("size").alias("sj"), F.col("place").alias("pj"), "key",
         F.explode(F.array(band - 2, band - 1, band)).alias("band"),
     )
     need = F.lit(float(threshold) / (1 + float(threshold))) * (F.col("si") + F.col("sj")) - 1e-9
-    found = (
+    return (
         small.join(large, ["key", "band"])
         .where(
             ((F.col("si") < F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j"))))
@@ -94,14 +105,65 @@ def jaccard_pairs(sets: DataFrame, threshold: float, hot: int = HOT) -> DataFram
         .select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
         .distinct()
     )
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return (
-        found.join(left, "a").join(right, "b")
-        .select("a", "b", (both / (F.size("ta") + F.size("tb") - both)).alias("similarity"))
-        .where(F.col("similarity") > t)
-    )
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
+    """All pairs of distinct sets with Jaccard similarity above ``threshold``.
+
+    ``sets``: unique ``id`` and ``tokens`` (array without repeats, not empty).
+    Returns ``a < b`` and ``similarity``.
+    """
+    sets, prefixes = _prepared(sets.select("id", "tokens"), threshold, hot)
+    return _similar(_join_keys(prefixes, threshold), sets, threshold)
+
+
+def leader_edges(sets: DataFrame, threshold: float, hot: int = HOT, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The greedy leaders of sets in order of ``id``, and every set that is similar to one.
+
+    ``sets``: unique ``id``, ``tokens``, and ``fixed``: always a leader. Going through them in order, a set is a leader
+    unless an earlier leader is similar to it. A set that is the first open one of all its keys has no open earlier set
+    that could be similar, so it is a leader, and only leaders are joined with other sets: a family of n near-equal sets
+    costs n comparisons and not n * n. Such rounds take away the large families. What few sets are open after ``rounds``
+    of them are settled by their pairs.
+
+    Returns (leader), and edges (leader, id, similarity) to all similar sets, earlier and later.
+    """
+    sets, keys = _prepared(sets.select("id", "tokens", "fixed"), threshold, hot)
+    keys = cut(keys.select("id", "size", "place", "key", "band"))
+    opened = cut(sets.select("id", "fixed"))
+    leaders, edges = opened.select(F.col("id").alias("leader")).limit(0), None
+    wide = F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2))
+
+    def around(new: DataFrame) -> DataFrame:
+        mine = keys.join(new, keys["id"] == new["leader"]).select(
+            "leader", F.col("size").alias("ls"), "key", wide.alias("band"))
+        found = mine.join(keys, ["key", "band"]).where(
+            (F.col("id") != F.col("leader")) & (F.least("ls", "size") >= F.lit(float(threshold)) * F.greatest("ls", "size") - 1e-9)
+        ).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        return _similar(found, sets, threshold).toDF("leader", "id", "similarity")
+
+    for step in range(rounds + 1):
+        if opened.isEmpty():
+            break
+        own = keys.join(opened, "id")
+        if step < rounds:
+            first = own.groupBy("key").agg(F.min("id").alias("first"))
+            new = own.join(first, "key").groupBy("id").agg(
+                F.bool_or(F.col("fixed")).alias("fixed"), F.bool_and(F.col("id") == F.col("first")).alias("first")
+            ).where("fixed OR first")
+        else:
+            fixed = opened.where("fixed").select(F.col("id").alias("b"))
+            pairs = _similar(_join_keys(own.drop("fixed"), threshold), sets, threshold).select("a", "b").join(fixed, "b", "left_anti")
+            new = opened.join(members(pairs), "id", "left_anti")
+        new = cut(new.select(F.col("id").alias("leader")))
+        near = cut(around(new))
+        taken = near.where("leader < id").select("id").distinct()
+        opened = cut(opened.join(new, opened["id"] == new["leader"], "left_anti").join(
+            taken, "id", "left_anti") if step < rounds else opened.limit(0))
+        leaders, edges = leaders.unionByName(new), near if edges is None else edges.unionByName(near)
+    if edges is None:
+        edges = leaders.select("leader", F.col("leader").alias("id"), F.lit(0.0).alias("similarity"))
+    return leaders, edges
 
 
 def correlated_pairs(vectors: DataFrame, runs: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:

@@ -88,15 +88,11 @@ def coverage_similarity(sets: DataFrame, threshold: float = MAX_REDUNDANCY) -> D
 def coverage_groups(coverage: DataFrame, threshold: float = MAX_REDUNDANCY) -> Groups:
     """Greedy groups in test order: a test that is in no earlier group, and all later similar ones."""
     sets = cut(coverage_sets(coverage))
-    pairs = cut(coverage_similarity(sets, threshold))
-    joined = setjoin.members(pairs).withColumnRenamed("id", "leader")
-    near = pairs.select(F.col("a").alias("leader"), F.col("b").alias("set_id"), "similarity").unionByName(
-        pairs.select(F.col("b").alias("leader"), F.col("a").alias("set_id"), "similarity")
-    )
-    leaders = sets.select(F.col("set_id").alias("leader")).distinct().join(joined, "leader", "left_anti")
+    one = sets.where(F.col("test_id") == F.col("set_id")).select(F.col("set_id").alias("id"), "tokens", F.lit(False).alias("fixed"))
+    leaders, near = setjoin.leader_edges(one, threshold)
+    near = near.withColumnRenamed("id", "set_id")
     copies = leaders.select("leader", F.col("leader").alias("set_id"), F.lit(1.0).alias("similarity"))
-    around = near.join(leaders, "leader", "left_semi").unionByName(copies)
-    later = around.join(sets.select("set_id", "test_id"), "set_id").where(F.col("test_id") >= F.col("leader"))
+    later = near.unionByName(copies).join(sets.select("set_id", "test_id"), "set_id").where(F.col("test_id") >= F.col("leader"))
     kind = F.lit("coverage-based").alias("kind")
     sizes = later.groupBy("leader").agg(
         F.count(F.lit(1)).alias("test_count"),

@@ -121,3 +121,30 @@ def test_correlated_pairs(spark, threshold, hot):
     df = frame(spark, [(i, [k for k, x in enumerate(v) if x]) for i, v in vectors], "id long, ones array<long>")
     runs = spark.range(24).withColumnRenamed("id", "run")
     assert want and {(r["a"], r["b"]) for r in setjoin.correlated_pairs(df, runs, threshold, hot).collect()} == want
+
+
+@pytest.mark.parametrize("seed,rounds", [(1, 4), (2, 1), (3, 0)])
+def test_leader_edges_as_in_sequence(spark, seed, rounds):
+    rng = random.Random(seed)
+    base = [rng.sample(range(60), rng.randint(3, 14)) for _ in range(6)]
+    sets, fixed = {}, {}
+    for i in range(90):
+        own = set(rng.choice(base)) if rng.random() < 0.8 else set(rng.sample(range(60), 5))
+        own = (own - set(rng.sample(sorted(own), 1))) | {rng.randrange(60)} if rng.random() < 0.5 else own
+        sets[i], fixed[i] = own, rng.random() < 0.1
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    leaders = []
+    for i in sets:
+        if fixed[i] or not any(similar(a, i) > 0.6 for a in leaders):
+            leaders.append(i)
+    df = frame(spark, [(i, sorted(s), fixed[i]) for i, s in sets.items()], "id long, tokens array<int>, fixed boolean")
+    got, edges = setjoin.leader_edges(df, 0.6, hot=20, rounds=rounds)
+    assert sorted(r["leader"] for r in got.collect()) == leaders
+    want = {(a, b) for a in leaders for b in sets if a != b and similar(a, b) > 0.6}
+    assert {(r["leader"], r["id"]) for r in edges.collect()} == want
+
+
+def test_a_family_costs_a_comparison_for_each_member(spark):
+    df = spark.range(3000).select("id", F.array(*[F.lit(f"w{k}") for k in range(20)], F.col("id").cast("string")).alias("tokens"), F.lit(False).alias("fixed"))
+    leaders, edges = setjoin.leader_edges(df, 0.8)
+    assert [r["leader"] for r in leaders.collect()] == [0] and edges.count() == 2999
