@@ -7,6 +7,7 @@ import base64
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,6 +142,39 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def long_hash(*cols, seed: int = 0):
-    """64-bit hash of columns; another seed gives another order."""
-    return F.xxhash64(F.lit(seed), *cols)
+#: Bits of a filter; its size does not depend on the data. A fuller filter passes more, and joins stay exact.
+FILTER_BITS = 24
+
+
+def filter_place(hashed):
+    """A 64-bit hash column's place in a filter."""
+    return F.shiftrightunsigned(hashed, 64 - FILTER_BITS)
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of one 64-bit hash column, gathered as at most 2**FILTER_BITS / 64 words whatever the number of rows."""
+    place = hashes.select(filter_place(hashes.columns[0]).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).collect()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype="<i8")
+    for r in words:
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint8)
+
+
+def passes(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
+def may_be_in(bits: np.ndarray, df: DataFrame, hashed):
+    """A condition that holds for rows of ``df`` whose 64-bit hash column is in the filter, and for few others.
+
+    Only the hash's place goes to Python; the row stays where it is.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS fixes its size
+
+    @F.pandas_udf("boolean")
+    def hit(place: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, place.to_numpy()))
+
+    return hit(filter_place(hashed))

@@ -14,8 +14,8 @@ groups. Blocks whose members are not of one group then are searched with an R-tr
 So no group of copies is expanded into pairs, and no link between groups is lost. Blocks are spread by ranges of
 (block, set), so a block of any size is split over tasks.
 
-Null texts and texts without words have an empty set and no links; a row of a repeated doc_id is judged by its own
-text; other columns are ignored; an empty table gives an empty result.
+Null texts and texts without words have an empty set and no links, and so have rows without doc_id; rows of one doc_id
+count as one document, represented by one of them; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsight.llm.common import arrow_schema, key_groups, lower_bytes, per_batch, small_batches, texts_of, written
+from runsight.llm.common import (
+    arrow_schema, bit_filter, filter_place, key_groups, lower_bytes, passes, per_batch, small_batches, texts_of, written,
+)
 from runsight.llm.components import components
 
 #: Groups of the count vectors.
-GROUPS = 64
+GROUPS = 256
 _MIX, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -224,11 +226,14 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, at_least: int, per_t
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("parts"))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes.select(F.xxhash64("node"))))  # FILTER_BITS fixes its size
+
     def run(batch) -> dict:
-        return {"node": batch.column("doc_id"), "set": [shingles(t, width).tobytes() for t in texts_of(batch)]}
+        own = batch.filter(pa.array(passes(bits.value, batch.column("place").to_numpy())))
+        return {"node": own.column("doc_id"), "set": [shingles(t, width).tobytes() for t in texts_of(own)]}
 
-    involved = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    sets = written(per_batch(involved, run, "node long, set binary"), "sets")
+    involved = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", filter_place(F.xxhash64("doc_id")).alias("place"))
+    sets = written(per_batch(involved, run, "node long, set binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
     left = (size.join(sets, size["a"] == sets["node"])
             .select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "set"))
@@ -262,8 +267,9 @@ def bounded(pairs: DataFrame, vectors: DataFrame, at_least: int) -> DataFrame:
     va, vb = (vectors.select(F.col("node").alias(k), F.col("vector").alias(f"v{k}")) for k in "ab")
 
     def run(batch) -> dict:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, GROUPS).astype(np.int64) for c in ("va", "vb"))
-        ok = np.minimum(a, b).sum(axis=1) >= needed(a.sum(axis=1), b.sum(axis=1), at_least)
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, GROUPS) for c in ("va", "vb"))
+        sums = (x.sum(axis=1, dtype=np.int64) for x in (np.minimum(a, b), a, b))
+        ok = next(sums) >= needed(next(sums), next(sums), at_least)
         return {c: batch.column(c).to_numpy()[ok] for c in ("a", "b")}
 
     return per_batch(pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb"), run, "a long, b long")
@@ -305,19 +311,21 @@ def link_groups(docs: DataFrame, width: int = 4, at_least: int = 85) -> DataFram
     """doc_id, n_shingles and component_id: the smallest doc_id that links reach."""
     prints = written(fingerprints(docs, width, at_least), "prints")
     equal = prints.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    one = (prints.join(equal, (prints["digest"] == equal["digest"]) & (prints["doc_id"] == equal["node"]))
-           .select("node", "vector", "blocks").dropDuplicates(["node"]))
-    one = written(one, "nodes")
-    vectors = one.select("node", "vector")
-    members = written(block_members(one.select(F.explode("blocks").alias("block"), "node")), "members")
+    light = written(prints.select("doc_id", "n_shingles", "digest").join(equal, "digest", "left").drop("digest"), "sets-alike")
+    copies = light.filter("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("as"))
+    members = block_members(prints.filter("doc_id IS NOT NULL").select(F.explode("blocks").alias("block"), F.col("doc_id").alias("node")))
+    for column in ("node", "first"):  # equal sets are one
+        members = (members.join(copies, members[column] == copies["doc_id"], "left").withColumn(column, F.coalesce("as", column)).drop("doc_id", "as"))
+    members = written(members.distinct(), "members")
+    vectors = prints.select(F.col("doc_id").alias("node"), "vector").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    vectors = written(vectors, "vectors")
     stars = members.filter("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
     links = verified(bounded(stars, vectors, at_least), docs, width, at_least)
     rest = across_groups(members, vectors, components(links), at_least)
     links = links.union(verified(rest, docs, width, at_least))
     groups = components(links)
-    labelled = prints.select("doc_id", "n_shingles", "digest").join(equal, "digest", "left").join(groups, "node", "left")
-    return labelled.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
-                           .otherwise(F.col("doc_id")).alias("component_id"))
+    return light.join(groups, "node", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 4, at_least: int = 85) -> DataFrame:
