@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsight.llm.common import arrow_schema, key_groups, per_batch, small_batches, texts_of, written
+from runsight.llm.common import arrow_schema, bit_filter, key_groups, may_be_in, per_batch, small_batches, texts_of, written
 
 _RNG = np.random.Generator(np.random.PCG64(20))
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)  # a fixed random number for each byte
@@ -188,6 +188,10 @@ def runs_of(starts: np.ndarray) -> list[dict]:
 _KEY = ("d", "t")  # a document: its doc_id and a hash of its text, as doc_ids may repeat
 
 
+def _hashed():
+    return F.xxhash64(*_KEY)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.hash("text").alias("t"))
 
@@ -254,7 +258,9 @@ def pieces_of(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return keyed(docs).drop("doc_id").join(per_doc, list(_KEY)).mapInArrow(run, schema)
+    texts = keyed(docs).drop("doc_id")
+    texts = texts.filter(may_be_in(bit_filter(shared.select(_hashed())), texts, _hashed()))  # the others are not shuffled
+    return texts.join(per_doc, list(_KEY)).mapInArrow(run, schema)
 
 
 _FOUND = "h long, c long, runs array<struct<lo:int,hi:int>>"
@@ -308,7 +314,7 @@ def repeats_by_window(pieces: DataFrame, length: int) -> DataFrame:
     return (windows.join(again, "window").groupBy("h", "c").agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))).alias("runs")))
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 64, unit: int = 20, shards: int = 4, most: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 64, unit: int = 40, shards: int = 4, most: int = 20_000) -> DataFrame:
     """(d, t, spans): per document with any, the byte intervals [lo, hi) of strings that start elsewhere too.
 
     ``most``: different pieces of one anchor that are merged in one task; anchors with more are resolved by window.
@@ -342,8 +348,12 @@ def union(spans: list[dict]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """doc_id, removed array<struct<lo, hi>> in bytes, and kept, the remaining bytes; options as of repeated_spans."""
-    spans = repeated_spans(docs, **options)
-    joined = keyed(docs).join(spans, list(_KEY), "left").select("doc_id", "text", "spans")
+    spans = written(repeated_spans(docs, **options), "spans")
+    texts = keyed(docs)
+    bits = bit_filter(spans.select(_hashed()))
+    some = texts.filter(may_be_in(bits, texts, _hashed())).join(spans, list(_KEY), "left")
+    rest = texts.filter(~may_be_in(bits, texts, _hashed())).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    joined = some.select("doc_id", "text", "spans").union(rest.select("doc_id", "text", "spans"))
 
     def run(batch) -> dict:
         removed, kept = [], []
