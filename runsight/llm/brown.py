@@ -221,14 +221,14 @@ class Model:
         self.transition = np.log10((matrix + 1) / (matrix.sum(axis=1, keepdims=True) + len(matrix)))
 
 
-def train(docs: DataFrame, clustered: int = 5000, classes: int = 64, rounds: int = 8, head: int = 200_000) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, clustered: int = 5000, classes: int = 64, rounds: int = 8, head: int = 100_000) -> tuple[Model, DataFrame]:
     """The model, and (word, c) of all training words."""
     training = docs.filter(~held_out())
     counts = written(word_counts(training), "word-counts")
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     ends = training.count()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()
-    words = [bytes(r["word"]) for r in top]
+    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()  # at most ``head`` rows
+    words = top.column("word").to_pylist()
     clustered = min(clustered, len(words))
     pairs = written(bigrams(training, words[:clustered]), "bigrams")
     of = exchange(pairs, clustered, classes, rounds)
@@ -244,7 +244,7 @@ def train(docs: DataFrame, clustered: int = 5000, classes: int = 64, rounds: int
     tokens, types = [0] * width, [0] * width
     for r in per_batch(counts, of_word, "class int, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         tokens[r["class"]], types[r["class"]] = r["c"], r["v"]
-    model = Model(words, [r["c"] for r in top], clustered, of, matrix, tokens, types, (n or 0) + ends, v + (ends > 0), ends)
+    model = Model(words, top.column("c").to_pylist(), clustered, of, matrix, tokens, types, (n or 0) + ends, v + (ends > 0), ends)
     return model, counts
 
 
