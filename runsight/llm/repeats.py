@@ -18,7 +18,6 @@ are documents of their own, equal ones included; other columns are ignored; an e
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
