@@ -2,15 +2,16 @@
 
 P(text) = product of P(class | class before) * P(word | class), with an end token that also precedes the first word.
 Words are assigned to classes by exchange: from counts of neighbouring words, each word moves to the class that raises
-the likelihood of the class bigrams most. A round tries all words at once and makes the best few moves out of and into
-each class, since moves disturb each other; the best assignment is kept. The ``clustered`` most frequent words take part; all others belong to classes by their ending,
-which also stand as contexts. Counts of words, classes and transitions cover the whole training part of the table, and
-probabilities are smoothed by adding one.
-
-The ``head`` most frequent words are sent to all tasks (a bound on memory, not on the vocabulary); counts of all other
-words are joined. A word is ``[^\\x20\\x09-\\x0D]+`` after A-Z became a-z. Null and empty texts are an end token only;
-every row is scored, repeated ones too; a null doc_id is training; other columns are ignored; an empty table gives an
-empty result.
+the likelihood of the class bigrams most. Every word of the training part takes part, however rare. A round tries all
+words at once and makes a share of the moves that gain, since moves disturb each other; a round that does not raise the
+likelihood is taken back and its share halved, down to the single best move, whose gain is exact. Rounds end when no
+move gains. Words unseen in training belong to classes by their ending, which have no training counts.
+
+Counts of pairs, words and classes are tables: a word's class is joined to its pairs and to the texts. Only the class
+matrix, the classes of the ``HOT`` most frequent words (which would be hot keys of joins) and, for scoring, the ``head``
+most frequent words are sent to all tasks (bounds on memory, not on the vocabulary). A word is ``[^\\x20\\x09-\\x0D]+``
+after A-Z became a-z. Null and empty texts are an end token only; every row is scored, repeated ones too; a null doc_id
+is training; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsight.llm.common import arrow_schema, lower_bytes, per_batch, small_batches, texts_of, written
+from runsight.llm.common import arrow_schema, lower_bytes, per_batch, pieces, small_batches, texts_of, written
 
-#: Classes of words outside the clustered ones, by their last two bytes.
+#: Classes of words unseen in training, by their last two bytes.
 ENDINGS = 16
+#: The end token as a word: no word holds a blank.
+END = b" "
+#: So many of the most frequent words have their classes broadcast in rounds.
+HOT = 10_000
 _FLUSH = 300_000  # different words, or token pairs times ten, that a task gathers before it sends their counts
 
 
@@ -63,48 +68,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-class Symbols(dict):
-    """Word -> symbol: a clustered word's rank, or ``clustered`` + its ending. The end token is the last symbol."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words))))
-        self.clustered = len(words)
-        self.end = self.clustered + ENDINGS
-
-    def __missing__(self, word: bytes) -> int:
-        return self.clustered + ending(word)
-
-
-def bigrams(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """(a, b, n): how often symbol b follows a; at most (clustered + ENDINGS + 1) ** 2 rows."""
-    schema = arrow_schema(docs, "a int, b int, n long")
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(a, b, n): how often word b follows a, the end token included."""
+    schema = arrow_schema(docs, "a binary, b binary, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(shared.value)
-        base = symbols.end + 1
+        index: dict = {}  # of this task's words since the last send
         held, n = [], 0
 
-        def send() -> pa.RecordBatch:
+        def send() -> Iterator[pa.RecordBatch]:
+            words = pa.array(list(index), type=pa.binary())
             pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"a": pairs // base, "b": pairs % base, "n": counts}, schema=schema)
+            yield from pieces(pa.RecordBatch.from_pydict(
+                {"a": words.take(pa.array(pairs >> 32)), "b": words.take(pa.array(pairs & 0xFFFFFFFF)), "n": counts}, schema=schema))
 
         for batch in batches:
             for text in texts_of(batch):
-                own = lower_bytes(text).split()
-                ids = np.empty(len(own) + 2, dtype=np.int64)
-                ids[0] = ids[-1] = symbols.end
-                ids[1:-1] = np.fromiter(map(symbols.__getitem__, own), dtype=np.int64, count=len(own))
-                held.append(ids[:-1] * base + ids[1:])
+                own = [END, *lower_bytes(text).split(), END]
+                ids = np.fromiter((index.setdefault(w, len(index)) for w in own), dtype=np.int64, count=len(own))
+                held.append(ids[:-1] << 32 | ids[1:])
                 n += len(ids)
-            if n > 10 * _FLUSH:
-                yield send()
-                held, n = [], 0
+                if n > 10 * _FLUSH:
+                    yield from send()
+                    index, held, n = {}, [], 0
         if held:
-            yield send()
+            yield from send()
 
     small_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -116,144 +107,219 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(axis=0)).sum() - _xlogx(matrix.sum(axis=1)).sum())
 
 
+def _entries(side: np.ndarray, own: np.ndarray, other: np.ndarray, twice: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """For each word and class k, what the word's counts ``side`` add to row k of ``table`` (without the word)."""
+    word, j = np.nonzero(side)
+    n = side[word, j]
+    base = table[:classes].T[j]
+    inside = j == own[word]
+    base[inside] -= other[word[inside], :classes]
+    base[np.arange(len(word)), own[word]] -= n - inside * twice[word]  # twice was taken off twice
+    added = base + (n - inside * twice[word])[:, None]
+    out = np.zeros((len(side), classes))
+    if len(word):
+        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        out[word[starts]] = np.add.reduceat(_xlogx(added) - _xlogx(base), starts)
+    return out
+
+
+def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, matrix: np.ndarray, classes: int):
+    """For each word, the class to which its move raises the likelihood most, and by how much. after, before: counts of the words'
+    neighbours by class, a row for each word; twice: how often a word follows itself."""
+    i = np.arange(len(own))
+    gain = _entries(after, own, before, twice, matrix, classes) + _entries(before, own, after, twice, matrix.T, classes)
+    a, b = after[:, :classes].copy(), before[:, :classes].copy()
+    a[i, own] -= twice
+    b[i, own] -= twice
+    word, k = np.nonzero((a > 0) & (b > 0) | (twice > 0)[:, None])
+    at_own = k == own[word]
+    x, y, t = a[word, k], b[word, k], twice[word]
+    corner = matrix[k, k] - at_own * (x + y + t)
+    np.add.at(gain, (word, k), _xlogx(corner + x + y + t) - _xlogx(corner + x) - _xlogx(corner + y) + _xlogx(corner))
+    for side, totals in ((after, matrix.sum(axis=1)), (before, matrix.sum(axis=0))):
+        own_total = side.sum(axis=1)
+        rest = np.tile(totals[:classes], (len(own), 1))
+        rest[i, own] -= own_total
+        gain -= _xlogx(rest + own_total[:, None]) - _xlogx(rest)
+    best = gain.argmax(axis=1)
+    return best, gain[i, best] - gain[i, own]
+
+
 def best_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, matrix: np.ndarray, classes: int) -> tuple[int, float]:
-    """The class to which a word's move raises the likelihood most, and by how much. after, before: counts of the word's neighbours by
-    class; twice: how often it follows itself."""
-    rest = matrix.copy()
-    rest[own] -= after
-    rest[:, own] -= before
-    rest[own, own] += twice  # was taken off twice
-    after, before = after.copy(), before.copy()
-    after[own] -= twice
-    before[own] -= twice
-    rows, columns = rest.sum(axis=1) + before, rest.sum(axis=0) + after  # the others' totals do not move
-    k = np.arange(classes)
-    gain = (_xlogx(rest[:classes] + after) - _xlogx(rest[:classes])).sum(axis=1)
-    gain += (_xlogx(rest[:, :classes] + before[:, None]) - _xlogx(rest[:, :classes])).sum(axis=0)
-    corner = rest[k, k]
-    gain += _xlogx(corner + after[:classes] + before[:classes] + twice) - _xlogx(corner + after[:classes]) - _xlogx(corner + before[:classes]) + _xlogx(corner)
-    out, into = after.sum() + twice, before.sum() + twice
-    gain -= _xlogx(rows[:classes] + out) - _xlogx(rows[:classes]) + _xlogx(columns[:classes] + into) - _xlogx(columns[:classes])
-    best = int(gain.argmax())
-    return best, float(gain[best] - gain[own])
-
-
-def class_matrix(pairs: DataFrame, of: np.ndarray) -> np.ndarray:
+    """``best_classes`` of one word."""
+    best, gain = best_classes(np.array([own]), after[None].astype(float), before[None].astype(float), np.array([twice], dtype=float), matrix, classes)
+    return int(best[0]), float(gain[0])
+
+
+def neighbours(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Columns of ``of``, and per word (side, class, n): 0, the words after it; 1, those before it; 2, how often it follows itself."""
+
+    def classed(key: str, word: str, side: int) -> DataFrame:
+        classes = of.select(F.col("word").alias(key), "class", "hot")
+        hot = pairs.filter(f"hot_{key}").join(F.broadcast(classes.filter("hot")), key)  # HOT rows and the end token
+        rest = pairs.filter(f"NOT hot_{key}").join(classes.filter("NOT hot"), key)
+        return hot.unionByName(rest).select(F.col(word).alias("word"), "class", "n", F.lit(side).alias("side"))
+
+    twice = pairs.filter("a = b").select(F.col("a").alias("word"), F.lit(0).alias("class"), "n", F.lit(2).alias("side"))
+    sides = (classed("b", "a", 0).union(classed("a", "b", 1)).union(twice)
+             .groupBy("word", "side", "class").agg(F.sum("n").alias("n"))
+             .groupBy("word").agg(F.collect_list(F.struct("side", "class", "n")).alias("sides")))  # twice the classes and one at most
+    return of.join(sides, "word")
+
+
+def _sides(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """(3, words, width) from the column ``sides``."""
+    column = batch.column("sides")
+    word = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+    flat = column.flatten()
+    out = np.zeros((3, len(column), width))
+    out[flat.field("side").to_numpy(), word, flat.field("class").to_numpy()] = flat.field("n").to_numpy()
+    return out
+
+
+def class_matrix(sides: DataFrame, width: int) -> np.ndarray:
     """Counts of class after class; a cell for each pair of classes."""
-    n = int(of.max()) + 1
-    out = np.zeros((n, n))
-    for r in _classed(pairs, of).groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():  # classes squared
+    schema = arrow_schema(sides, "ca int, cb int, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((width, width))
+        for batch in batches:
+            np.add.at(own, batch.column("class").to_numpy(), _sides(batch, width)[0])
+        ca, cb = np.nonzero(own)
+        yield pa.RecordBatch.from_pydict({"ca": ca, "cb": cb, "n": own[ca, cb].astype(np.int64)}, schema=schema)
+
+    small_batches(sides.sparkSession)
+    out = np.zeros((width, width))
+    for r in sides.select("class", "sides").mapInArrow(run, "ca int, cb int, n long").groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
         out[r["ca"], r["cb"]] = r["n"]
     return out
 
 
-def _classed(pairs: DataFrame, of: np.ndarray) -> DataFrame:
-    shared = pairs.sparkSession.sparkContext.broadcast(of)  # one number for each symbol
+def gains(sides: DataFrame, matrix: np.ndarray, classes: int, least: float) -> DataFrame:
+    """(word, to, gain): the best move of every word that gains more than ``least``."""
+    shared = sides.sparkSession.sparkContext.broadcast(matrix)  # classes squared
 
     def run(batch) -> dict:
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        return {"a": a, "b": b, "n": batch.column("n"), "ca": shared.value[a], "cb": shared.value[b]}
+        side = _sides(batch, len(shared.value))
+        to, gain = best_classes(batch.column("class").to_numpy(), side[0], side[1], side[2, :, 0], shared.value, classes)
+        return {"word": batch.column("word"), "to": to, "gain": gain}
+
+    movable = sides.filter(F.col("class") < classes).select("word", "class", "sides")
+    return per_batch(movable, run, "word binary, to int, gain double").filter(F.col("gain") > least)
+
 
-    return per_batch(pairs, run, "a int, b int, n long, ca int, cb int")
+def _drop(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that are not read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def exchange(pairs: DataFrame, clustered: int, classes: int, rounds: int) -> np.ndarray:
-    """Class of every symbol: clustered words by exchange, then a class for each ending and for the end token."""
-    fixed = np.arange(classes, classes + ENDINGS + 1)
-    # at first, words of like frequency are a class
-    of = np.concatenate((np.arange(clustered) * classes // max(1, clustered), fixed)).astype(np.int32)
-    few = max(1, clustered // (3 * classes))
+def exchange(pairs: DataFrame, of: DataFrame, classes: int, rounds: int | None) -> tuple[DataFrame, np.ndarray]:
+    """``of`` (word, c, class, hot) after the moves, and the class matrix. ``rounds``: at most so many, None for no bound."""
     width = classes + ENDINGS + 1
-    best, best_value = of, -math.inf
-    for step in range(rounds + 1):
-        matrix = class_matrix(pairs, of)
-        matrix = np.pad(matrix, (0, width - len(matrix)))
-        if (value := likelihood(matrix)) > best_value:
-            best, best_value = of, value
-        if step == rounds or not clustered:
+    sides = written(neighbours(pairs, of), "sides")
+    matrix = class_matrix(sides, width)
+    value, share, moves, step = likelihood(matrix), 0.5, None, 0
+    while rounds is None or step < rounds:
+        step += 1
+        least = 1e-9 + 1e-14 * abs(value)  # below is noise of the sums
+        if moves is None:
+            moves = written(gains(sides, matrix, classes, least), "moves")
+            n = moves.count()
+        if not n:
             break
-        rows = _classed(pairs, of)
-        after = rows.select(F.col("a").alias("word"), F.col("cb").alias("class"), "n", F.lit(0).alias("side"))
-        before = rows.select(F.col("b").alias("word"), F.col("ca").alias("class"), "n", F.lit(1).alias("side"))
-        twice = rows.filter("a = b").select(F.col("a").alias("word"), F.lit(0).alias("class"), "n", F.lit(2).alias("side"))
-        sides = (after.union(before).union(twice).filter(F.col("word") < clustered)
-                 .groupBy("word", "side", "class").agg(F.sum("n").alias("n"))
-                 .groupBy("word").agg(F.collect_list(F.struct("side", "class", "n")).alias("sides")))  # 2 * classes + 1 at most
-        shared = pairs.sparkSession.sparkContext.broadcast((of, matrix))
-
-        def move(batch) -> dict:
-            now, counts = shared.value
-            chosen = []
-            for word, own in zip(batch.column("word").to_pylist(), batch.column("sides").to_pylist()):
-                side = np.zeros((3, width))
-                for s in own:
-                    side[s["side"], s["class"]] = s["n"]
-                chosen.append(best_class(int(now[word]), side[0], side[1], float(side[2, 0]), counts, classes))
-            return {"word": batch.column("word"), "class": [c for c, _ in chosen], "gain": [g for _, g in chosen]}
-
-        moves = per_batch(sides, move, "word int, class int, gain double").filter("gain > 1e-9")
-        of, into, out = of.copy(), Counter(), Counter()
-        for r in sorted(moves.collect(), key=lambda r: (-r["gain"], r["word"])):  # a row for each clustered word at most
-            old = int(of[r["word"]])
-            if into[r["class"]] < few and out[old] < few:
-                of[r["word"]] = r["class"]
-                into[r["class"]] += 1
-                out[old] += 1
-    return best
+        single = share * n < 1
+        if single:
+            chosen = moves.orderBy(F.desc("gain"), "word").limit(1)
+        else:
+            chosen = moves.filter(F.pmod(F.xxhash64("word", F.lit(step)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        new = written(of.join(chosen.select("word", "to"), "word", "left")
+                      .select("word", "c", F.coalesce("to", "class").alias("class"), "hot"), "classes")
+        new_sides = written(neighbours(pairs, new), "sides")
+        new_matrix = class_matrix(new_sides, width)
+        if (new_value := likelihood(new_matrix)) > value:
+            _drop(of, sides, moves)
+            of, sides, matrix, value, moves = new, new_sides, new_matrix, new_value, None
+            share = min(1.0, 2 * share)
+            continue
+        _drop(new, new_sides)
+        if single:
+            break
+        share /= 2
+    return of, matrix
 
 
 class Model:
-    """Bounded tables: head words with their counts, classes of symbols, transitions, sizes of classes."""
+    """Bounded tables: head words with their counts and classes, transitions, sizes of classes."""
 
-    def __init__(self, words: list[bytes], counts: list[int], clustered: int, of: np.ndarray, matrix: np.ndarray,
+    def __init__(self, words: list[bytes], counts: list[int], word_class: list[int], classes: int, matrix: np.ndarray,
                  tokens: list[int], types: list[int], total: int, vocabulary: int, ends: int):
         self.index = dict(zip(words, range(len(words))))
         self.total = total
         self.base_log = math.log10(total + vocabulary + 1)
         self.end_base = math.log10(ends + 1) - self.base_log
         self.end_known = ends > 0
-        self.end = int(of[-1])
+        self.classes, self.end = classes, classes + ENDINGS
         self.class_log = np.log10(np.array(tokens, dtype=float) + np.array(types) + 1)
-        symbols = [i if i < clustered else clustered + ending(w) for i, w in enumerate(words)]
-        self.word_class = of[symbols] if words else np.zeros(0, dtype=np.int32)
+        self.word_class = np.array(word_class, dtype=np.int32)
         self.count_log = np.log10(np.array(counts, dtype=float) + 1)
-        self.ending_class = of[clustered:clustered + ENDINGS]
         self.transition = np.log10((matrix + 1) / (matrix.sum(axis=1, keepdims=True) + len(matrix)))
 
 
-def train(docs: DataFrame, clustered: int = 5000, classes: int = 64, rounds: int = 8, head: int = 100_000) -> tuple[Model, DataFrame]:
-    """The model, and (word, c) of all training words."""
+def first_classes(counts: DataFrame, words: list[bytes], clustered: int | None, classes: int) -> DataFrame:
+    """(word, c, class, hot) before the first round: classes in turn by rank, by a hash for words outside the head. With ``clustered``
+    only so many words take part, and all others have the class of their ending for good."""
+    shared = counts.sparkSession.sparkContext.broadcast(dict(zip(words, range(len(words)))))  # at most the head
+
+    def run(batch) -> dict:
+        own = batch.column("word").to_pylist()
+        ranks = [shared.value.get(w, len(shared.value)) for w in own]
+        by_rank = [r % classes if r < len(shared.value) else zlib.crc32(w) % classes for w, r in zip(own, ranks)]
+        if clustered is not None:
+            by_rank = [k if r < clustered else classes + ending(w) for k, w, r in zip(by_rank, own, ranks)]
+        return {"word": batch.column("word"), "c": batch.column("c"), "class": by_rank, "hot": [r < HOT for r in ranks]}
+
+    return per_batch(counts.filter(F.col("word") != F.lit(END)), run, "word binary, c long, class int, hot boolean")
+
+
+def train(docs: DataFrame, clustered: int | None = None, classes: int = 64, rounds: int | None = None, head: int = 100_000) -> tuple[Model, DataFrame]:
+    """The model, and (word, c, class) of all training words. ``clustered``, at most ``head``, and ``rounds`` are bounds; None is none."""
+    if clustered is not None and clustered > head:
+        raise ValueError("clustered is more than head")
     training = docs.filter(~held_out())
     counts = written(word_counts(training), "word-counts")
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     ends = training.count()
     top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()  # at most ``head`` rows
     words = top.column("word").to_pylist()
-    clustered = min(clustered, len(words))
-    pairs = written(bigrams(training, words[:clustered]), "bigrams")
-    of = exchange(pairs, clustered, classes, rounds)
-    matrix = class_matrix(pairs, of)
-    width = int(of[-1]) + 1
-    matrix = np.pad(matrix, (0, width - len(matrix)))
-    shared = docs.sparkSession.sparkContext.broadcast((words[:clustered], of))
-
-    def of_word(batch) -> dict:
-        symbols = Symbols(shared.value[0])
-        return {"class": [int(shared.value[1][symbols[w]]) for w in batch.column("word").to_pylist()], "c": batch.column("c")}
-
+    end = counts.sparkSession.createDataFrame([(END, ends, classes + ENDINGS, True)], "word binary, c long, class int, hot boolean")
+    of = written(first_classes(counts, words, clustered, classes).union(end), "classes")
+    hot = of.filter("hot")
+    pairs = pair_counts(training)
+    for key in "ab":
+        pairs = pairs.join(F.broadcast(hot.select(F.col("word").alias(key), F.lit(True).alias("hot_" + key))), key, "left")
+    pairs = written(pairs.select("a", "b", "n", *[F.coalesce("hot_" + k, F.lit(False)).alias("hot_" + k) for k in "ab"]), "pairs")
+    of, matrix = exchange(pairs, of, classes, rounds)
+    counts = of.filter(F.col("word") != F.lit(END)).select("word", "c", "class")
+    width = len(matrix)
     tokens, types = [0] * width, [0] * width
-    for r in per_batch(counts, of_word, "class int, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+    for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         tokens[r["class"]], types[r["class"]] = r["c"], r["v"]
-    model = Model(words, top.column("c").to_pylist(), clustered, of, matrix, tokens, types, (n or 0) + ends, v + (ends > 0), ends)
+    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
+    model = Model(top.column("word").to_pylist(), top.column("c").to_pylist(), top.column("class").to_pylist(), classes, matrix, tokens, types,
+                  (n or 0) + ends, v + (ends > 0), ends)
     return model, counts
 
 
-_SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-           "rest array<struct<word:binary,n:long,class:int>>")
+_SCORED = "row long, doc_id long, held_out boolean, classes binary, n_known long, logs double, inner double, rest array<struct<word:binary,at:array<int>>>"
+_TOTALS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """Scores of every document; words outside the head get their counts from ``counts`` by a join."""
+    """Scores of every document; words outside the head get their counts and classes from ``counts`` by a join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``head`` words
     schema = arrow_schema(docs, _SCORED)
 
@@ -261,45 +327,55 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m: Model = shared.value
         row = TaskContext.get().partitionId() << 33
         none = len(m.index)
-        classes_of = np.append(m.word_class, 0)
+        classes_of = np.append(m.word_class, -1)
         for batch in batches:
             out = {f: [] for f in schema.names}
             for text in texts_of(batch):
                 words = lower_bytes(text).split()
                 ids = np.fromiter((m.index.get(w, none) for w in words), dtype=np.int64, count=len(words))
-                classes = np.full(len(words) + 2, m.end)
+                classes = np.full(len(words) + 2, m.end, dtype="<i2")
                 classes[1:-1] = classes_of[ids]
-                rest: Counter = Counter()
+                rest: dict = {}
                 for i in np.flatnonzero(ids == none).tolist():
-                    classes[i + 1] = m.ending_class[ending(words[i])]
-                    rest[words[i]] += 1
+                    rest.setdefault(words[i], []).append(i + 1)
                 inside = ids[ids != none]
-                logs = float(m.count_log[inside].sum())
-                moves = float(m.transition[classes[:-1], classes[1:]].sum())
                 out["row"].append(row)
-                out["n_tokens"].append(len(words) + 1)
+                out["classes"].append(classes.tobytes())
                 out["n_known"].append(len(inside) + m.end_known)
-                out["base_score"].append(logs - len(inside) * m.base_log + m.end_base)
-                out["score"].append(moves + logs - float(m.class_log[m.word_class[inside]].sum()))
-                out["rest"].append([{"word": w, "n": k, "class": int(m.ending_class[ending(w)])} for w, k in rest.items()])
+                out["logs"].append(float(m.count_log[inside].sum()))
+                out["inner"].append(float(m.class_log[m.word_class[inside]].sum()))
+                out["rest"].append([{"word": w, "at": at} for w, at in rest.items()])
                 row += 1
             out["doc_id"], out["held_out"] = batch.column("doc_id"), batch.column("held_out")
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     small_batches(docs.sparkSession)
     scored = written(docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, _SCORED), "scored")
-    c = F.coalesce("c", F.lit(0))
-    class_log = F.element_at(F.array(*[F.lit(float(x)) for x in model.class_log]), F.col("x.class") + 1)
-    rest = (scored.select("row", F.explode("rest").alias("x")).select("row", "x", F.col("x.word").alias("word")).join(counts, "word", "left")
-            .groupBy("row").agg(
-                F.sum(F.when(c > 0, F.col("x.n")).otherwise(0)).alias("known"),
-                F.sum(F.col("x.n") * (F.log10(c + 1) - F.lit(model.base_log))).alias("base"),
-                F.sum(F.col("x.n") * (F.log10(c + 1) - class_log)).alias("own")))
-    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    total = add("score", "own")
-    return scored.join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", add("n_known", "known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        add("base_score", "base").alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"))
+    rest = (scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.at").join(counts, "word", "left")
+            .groupBy("row").agg(F.collect_list(F.struct("word", "at", "c", "class")).alias("rest")))  # a text's words
+
+    def add(batch) -> dict:
+        m: Model = shared.value
+        out = {f: [] for f in ("n_tokens", "n_known", "base_score", "score")}
+        columns = (batch.column(c).to_pylist() for c in ("classes", "n_known", "logs", "inner", "rest"))
+        for data, known, logs, inner, rest in zip(*columns):
+            classes = np.frombuffer(data, dtype="<i2").copy()
+            total = len(classes) - 2
+            for r in rest or []:
+                k = m.classes + ending(r["word"]) if r["c"] is None else r["class"]
+                classes[r["at"]] = k
+                inner += len(r["at"]) * float(m.class_log[k])
+                if r["c"] is not None:
+                    logs += len(r["at"]) * math.log10(r["c"] + 1)
+                    known += len(r["at"])
+            out["n_tokens"].append(total + 1)
+            out["n_known"].append(known)
+            out["base_score"].append(logs - total * m.base_log + m.end_base)
+            out["score"].append(float(m.transition[classes[:-1], classes[1:]].sum()) + logs - inner)
+        return out | {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "train_tokens": [m.total] * batch.num_rows}
+
+    totals = per_batch(scored.drop("rest").join(rest, "row", "left"), add, _TOTALS)
+    return totals.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def score_documents(docs: DataFrame, **options) -> DataFrame:

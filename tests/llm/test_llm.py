@@ -188,6 +188,44 @@ def test_brown_probabilities_sum_to_one(spark):
     assert got[10_000]["score"] > got[10_001]["score"]
 
 
+def test_brown_clusters_every_training_word(spark):
+    """Words far beyond any head share a class by use, no move gains at the end, and scores use their classes."""
+    rng = random.Random(7)
+    words = {k: [k + str(i) for i in range(60)] for k in "xyz"}  # x is followed by y, y by z, z by x
+    texts = [" ".join(rng.choice(words["xyz"[i % 3]]) for i in range(rng.randint(20, 40))) for _ in range(60)]
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, counts = brown.train(data, classes=3, head=5)
+    of = {bytes(r["word"]): r["class"] for r in counts.collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
+    used = {w.encode() for i, t in enumerate(texts) if not out[i] for w in t.split()}
+    assert set(of) == used and all(k < 3 for k in of.values())
+    assert len({(w[:1], k) for w, k in of.items()}) == 3
+    matrix, sides = np.zeros((20, 20)), {w: [np.zeros(20), np.zeros(20), 0] for w in of}
+    of[None] = model.end
+    for i, t in enumerate(texts):
+        own = [None, *t.encode().split(), None]
+        for a, b in zip(own, own[1:]):
+            if not out[i]:
+                matrix[of[a], of[b]] += 1
+                for w, side, k in ((a, 0, of[b]), (b, 1, of[a])):
+                    if w is not None:
+                        sides[w][side][k] += 1
+                if a == b and a is not None:
+                    sides[a][2] += 1
+    assert np.allclose(10 ** model.transition, (matrix + 1) / (matrix.sum(axis=1, keepdims=True) + 20))
+    assert all(brown.best_class(of[w], a, b, t, matrix, 3)[1] < 1e-6 for w, (a, b, t) in sides.items())
+    count = collections.Counter(w for i, t in enumerate(texts) if not out[i] for w in t.encode().split())
+    size = collections.Counter()
+    for w, c in count.items():
+        size[of[w]] += c + 1
+    for i, r in by_id(brown.score(data, model, counts)).items():
+        own = texts[i].encode().split()
+        k = [of.get(w, 3 + brown.ending(w)) for w in own]
+        want = sum(model.transition[a, b] for a, b in zip([model.end, *k], [*k, model.end]))
+        want += sum(math.log10((count[w] + 1) / (size[c] + 1)) for w, c in zip(own, k))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
 # --- decontamination -------------------------------------------------------
 
 def test_decontamination(spark):
