@@ -214,8 +214,9 @@ def block_members(rows: DataFrame) -> DataFrame:
     spread = rows.repartitionByRange("block", "node").sortWithinPartitions("block", "node").mapInArrow(run, _MEMBER + ", edge boolean")
     found = written(spread, "blocks")
     border = found.filter("edge").groupBy("block").agg(F.min("first").alias("start"), F.count("*").alias("k"))  # two rows per task
+    # the block's start stands for itself, also if its task held it alone and no other row names it as a node
     joined = (found.filter("edge").join(border.filter("k > 1"), "block")
-              .select("block", "node", F.col("start").alias("first")).filter("node <> first"))
+              .select("block", "node", F.col("start").alias("first")).distinct())
     return found.filter("not edge").select("block", "node", "first").union(joined)
 
 

@@ -360,6 +360,35 @@ def test_jaccard_groups(docs, texts, width, at_least):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_block_members_across_range_borders(spark):
+    rows = [(k, k * 100 + i) for k in range(20) for i in range((1, 2, 3, 4, 12)[k % 5])]
+    data = spark.createDataFrame(rows, "block long, node long")
+    want = {(k, n) for k, n in rows if k % 5}
+    for parts in (1, 24, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = jaccard.block_members(data).distinct().collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        shared = {(r["block"], r["node"]) for r in got if r["block"] % 5}
+        assert want == shared, parts
+        assert {(r["block"], r["first"]) for r in got} <= {(r["block"], r["node"]) for r in got}
+        # the nodes of a block hang together through their firsts
+        reach = collections.defaultdict(set)
+        for r in got:
+            reach[r["block"]] |= {frozenset((r["node"], r["first"]))}
+        for k in {k for k, _ in want}:
+            seen, todo = set(), [min(n for b, n in want if b == k)]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += [y for pair in reach[k] if x in pair for y in pair]
+            assert seen == {n for b, n in want if b == k}
+
+
 def test_jaccard_families(spark):
     """Chains of slightly changed copies, whose ends do not link, and a large group of near copies."""
     rng = random.Random(11)
