@@ -3,7 +3,7 @@
 Each document gets rates in parts per million. A sketch is a table of counts by logarithmic bucket (relative
 error 1/16), so sketches merge by adding counts: per-source sketches are merged into those of a language and of
 all rows. A rate is rejected above ``upper quartile + fence * (upper - lower quartile)``, but never below the
-rule's slack, a rate that any clean text may reach. Sources with fewer than ``least`` rows use their language's
+rule's least limit, for sketches whose quartiles coincide. Sources with fewer than ``least`` rows use their language's
 sketch, and rare languages that of all rows.
 
 Null language or source is a group of its own. Null and empty texts have no words and fail. Repeated rows are
@@ -22,13 +22,14 @@ from runsight.llm.common import ddl, per_batch, texts_of, written
 _BLANKS = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
 
-#: rule: (slack, fence), rates in parts per million.
+#: rule: (least, fence), rates in parts per million. No limit is below ``least``, as the quartiles of most groups coincide at 0 while
+#: clean texts repeat a line or a phrase now and then.
 RULES = {
-    "symbol_ppm": (40_000, 3.0),     # symbols per character of words
-    "repeat_ppm": (400_000, 3.0),    # words in repeated windows per word
-    "dup_line_ppm": (500_000, 3.0),  # repeated lines per line with a word
-    "upper_ppm": (400_000, 3.0),     # A-Z per ASCII letter
-    "mark_ppm": (100_000, 3.0),      # exclamation and question marks per character
+    "symbol_ppm": (20_000, 10.0),    # symbols per character of words
+    "repeat_ppm": (400_000, 10.0),   # words in repeated windows per word
+    "dup_line_ppm": (350_000, 10.0),  # repeated lines per line with a word
+    "upper_ppm": (20_000, 10.0),     # A-Z per ASCII letter
+    "mark_ppm": (20_000, 10.0),      # exclamation and question marks per character
 }
 
 
@@ -112,8 +113,8 @@ def limits(sketch: DataFrame, *keys: str) -> DataFrame:
     quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("top")))
     by_rule = ranked.groupBy(*keys, "rule").agg(F.max("rows").alias("rows"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
     limit = F.lit(None)
-    for rule, (slack, fence) in RULES.items():
-        limit = F.when(F.col("rule") == rule, F.greatest(F.lit(float(slack)), F.col("q3") + fence * (F.col("q3") - F.col("q1")))).otherwise(limit)
+    for rule, (least, fence) in RULES.items():
+        limit = F.when(F.col("rule") == rule, F.greatest(F.lit(float(least)), F.col("q3") + fence * (F.col("q3") - F.col("q1")))).otherwise(limit)
     return by_rule.groupBy(*keys).agg(F.max("rows").alias("rows"), *[
         F.max(F.when(F.col("rule") == r, limit)).alias(r) for r in RULES])
 

@@ -287,6 +287,20 @@ def test_quality_thresholds_adapt(spark):
     assert {i for i, r in got.items() if not r["kept"]} == {500, 502} and clean
 
 
+def test_quality_sketch_sets_the_limit(spark):
+    """A planted row over its group's fence fails though it is below a rate that other groups reach; clean rows stay."""
+    rng = random.Random(5)
+
+    def text(upper: int) -> str:
+        words = [rng.choice("abcdefgh") * 5 + rng.choice("ijklmnop") * rng.randint(1, 4) + "%d" % k for k in range(100)]
+        return " ".join(w.upper() if k < upper else w for k, w in enumerate(words))
+
+    rows = [(i, text(rng.randint(1, 3)), "en", "calm") for i in range(60)] + [(100 + i, text(rng.randint(20, 45)), "en", "loud") for i in range(60)]
+    rows += [(500, text(33), "en", "calm"), (501, text(33), "en", "loud"), (502, text(60), "en", "loud")]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert {i for i, r in got.items() if not r["kept"]} == {500}
+
+
 def test_sketch_merges_and_bounds_quantiles(spark):
     values = [int(math.exp(random.Random(i).uniform(0, 13))) for i in range(3000)] + [0] * 10
     rows = spark.createDataFrame([("en", "s%d" % (i % 7), v) for i, v in enumerate(values)], "_lang string, _source string, v long")
