@@ -115,23 +115,22 @@ def permutation_importance(t):
 
 @query("learning_curve")
 def learning_curve(t):
-    out = models.learning_curve(
-        _frame(t), "decision_tree", "event_id", {"max_depth": 3}, COLUMNS, sizes=(0.25, 0.5, 1.0), folds=3
-    )
+    out = models.learning_curve(_frame(t), "decision_tree", "event_id", {}, COLUMNS)
     return rounded(out, 4)
 
 
-_SOME = {"logistic_regression": {}, "decision_tree": {}, "naive_bayes": {}}
+#: All kinds that are fitted; dummy and knn predict directly from the training frame and have their own queries.
+_KINDS = {k: {} for k in models.MODEL_TYPES if k not in ("dummy", "knn")}
 
 
 @query("train_many")
 def train_many(t):
-    return rounded(models.train_many(_frame(t), "event_id", _SOME, COLUMNS)[1], 4)
+    return rounded(models.train_many(_frame(t), "event_id", _KINDS, COLUMNS)[1], 4)
 
 
 @query("compare_models")
 def compare_models(t):
-    return rounded(models.compare_models(models.train_many(_frame(t), "event_id", _SOME, COLUMNS)[1]), 4)
+    return rounded(models.compare_models(models.train_many(_frame(t), "event_id", _KINDS, COLUMNS)[1]), 4)
 
 
 def _tree(t):

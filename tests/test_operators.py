@@ -295,3 +295,27 @@ def test_models_learn_and_store(spark, tmp_path):
     assert models.predict_failures(models.load_model(best["path"]), df).where("predicted_result <> y").count() < 10
     scored = models.score_batch(models.load_model(best["path"]), df.select("id", "a", F.lit("x").alias("b")), ["a", "b"], "id")
     assert scored.columns == ["id", "a", "b", "failure_probability", "predicted_result"] and scored.first()["b"] == "x"
+
+
+def test_model_queries_do_the_whole_job(spark, monkeypatch):
+    """No fewer trees, depths, sizes, folds or kinds than the operators' own defaults."""
+    from unittest.mock import MagicMock
+
+    from runsight.plans import model_queries, selection_queries
+
+    monkeypatch.setattr("runsight.plans.registry.Tables", MagicMock())
+    for plans in (model_queries, selection_queries):
+        monkeypatch.setattr(plans, "rounded", lambda df, *a: df)
+    monkeypatch.setattr(selection_queries, "_named", lambda t, names: names)
+    reduced = {"trees", "depth", "sizes", "folds"}
+    for plans, module, name in ((selection_queries, "selection", "rfe"), (selection_queries, "selection", "select_features"),
+                                (selection_queries, "selection", "build_features"), (model_queries, "models", "learning_curve"),
+                                (model_queries, "models", "train_many")):
+        call = MagicMock(return_value=(MagicMock(), MagicMock()))
+        monkeypatch.setattr(getattr(plans, module), name, call)
+        getattr(plans, name)(spark, "unused")
+        assert not reduced & set(call.call_args.kwargs)
+        if name == "learning_curve":
+            assert call.call_args.args[3] == {}
+        if name == "train_many":
+            assert set(call.call_args.args[2]) == set(model_queries.models.MODEL_TYPES) - {"dummy", "knn"}
