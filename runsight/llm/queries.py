@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import brown, decontaminate, jaccard, licences, packing, quality, repair, repeats, secrets, sharding
+from runsight.llm import (
+    brown, decontaminate, jaccard, licences, manifest, packing, periodic, quality, repair, repeats, secrets, sharding, tokencounts,
+)
 from runsight.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,5 +54,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_repeats, op2_licences, op3_brown, op4_decontaminate, op5_quality, op6_sharding, op7_jaccard, op8_packing, op9_token_files, op10_secrets)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_report(documents(spark, sf_dir))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(periodic.with_planted(documents(spark, sf_dir)))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_report(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_repeats, op2_licences, op3_brown, op4_decontaminate, op5_quality, op6_sharding, op7_jaccard, op8_packing, op9_token_files,
+    op10_secrets, op11_token_counts, op12_periodic, op13_manifest)}
 ORACLES: dict[str, str] = {}
