@@ -2,16 +2,23 @@
 
 P(text) = product of P(class | class before) * P(word | class), with an end token that also precedes the first word.
 Words are assigned to classes by exchange: from counts of neighbouring words, each word moves to the class that raises
-the likelihood of the class bigrams most. Every word of the training part takes part, however rare. A round tries all
-words at once and makes a share of the moves that gain, since moves disturb each other; a round that does not raise the
-likelihood is taken back and its share halved, down to the single best move, whose gain is exact. Rounds end when no
-move gains. Words unseen in training belong to classes by their ending, which have no training counts.
-
-Counts of pairs, words and classes are tables: a word's class is joined to its pairs and to the texts. Only the class
-matrix, the classes of the ``HOT`` most frequent words (which would be hot keys of joins) and, for scoring, the ``head``
-most frequent words are sent to all tasks (bounds on memory, not on the vocabulary). A word is ``[^\\x20\\x09-\\x0D]+``
-after A-Z became a-z. Null and empty texts are an end token only; every row is scored, repeated ones too; a null doc_id
-is training; other columns are ignored; an empty table gives an empty result.
+the likelihood of the class bigrams most. Every word of the training part takes part, however rare:
+
+- The ``hot`` most frequent words (a bound on memory: their classes are sent to all tasks) are exchanged in rounds, while
+  all other words form one class. In a round every task exchanges its own words one block after another against its own
+  copy of the class matrix; the moves of all tasks together are kept if they raise the likelihood, which is computed
+  anew, and otherwise those of half as many tasks. Rounds end when one raises the likelihood by less than ``least_gain``
+  of it, or when no move gains.
+- Then every other word moves, in a sweep, to the class that its neighbours favour. Frequent words are exchanged again with
+  all classes known. ``sweeps`` repeats both; from the second sweep on the classes of rare neighbours are joined to a
+  word's pairs. Sweeps end early when one does not raise the likelihood by ``least_gain`` of it.
+
+Counts of words and pairs are tables; a rare word goes by a 64-bit hash in tables of pairs. Only the class matrix, the
+classes and summed neighbours of the ``hot`` words and, for scoring, the ``head`` most frequent words are sent to tasks or
+the driver. Words unseen in training belong to classes by their ending; such a class has no training transitions, and a
+word in it costs as much as one among the training words of that ending that were seen once, and one more. A word is
+``[^\\x20\\x09-\\x0D]+`` after A-Z became a-z. Null and empty texts are an end token only; every row is scored, repeated
+ones too; a null doc_id is training; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,19 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsight.llm.common import arrow_schema, lower_bytes, per_batch, pieces, small_batches, texts_of, written
+from runsight.llm.common import arrow_schema, drop_written, lower_bytes, per_batch, pieces, small_batches, texts_of, written
 
 #: Classes of words unseen in training, by their last two bytes.
 ENDINGS = 16
 #: The end token as a word: no word holds a blank.
 END = b" "
-#: So many of the most frequent words have their classes broadcast in rounds.
-HOT = 10_000
 _FLUSH = 300_000  # different words, or token pairs times ten, that a task gathers before it sends their counts
+#: Words that a task moves before it looks at its matrix again, and tasks of a round (of bounded size: hot words squared).
+_BLOCK, _TASKS = 64, 24
 
 
 def held_out():
@@ -68,36 +76,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(a, b, n): how often word b follows a, the end token included."""
-    schema = arrow_schema(docs, "a binary, b binary, n long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: dict = {}  # of this task's words since the last send
-        held, n = [], 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            words = pa.array(list(index), type=pa.binary())
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            yield from pieces(pa.RecordBatch.from_pydict(
-                {"a": words.take(pa.array(pairs >> 32)), "b": words.take(pa.array(pairs & 0xFFFFFFFF)), "n": counts}, schema=schema))
-
-        for batch in batches:
-            for text in texts_of(batch):
-                own = [END, *lower_bytes(text).split(), END]
-                ids = np.fromiter((index.setdefault(w, len(index)) for w in own), dtype=np.int64, count=len(own))
-                held.append(ids[:-1] << 32 | ids[1:])
-                n += len(ids)
-                if n > 10 * _FLUSH:
-                    yield from send()
-                    index, held, n = {}, [], 0
-        if held:
-            yield from send()
-
-    small_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -123,9 +101,11 @@ def _entries(side: np.ndarray, own: np.ndarray, other: np.ndarray, twice: np.nda
     return out
 
 
-def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, matrix: np.ndarray, classes: int):
+def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, matrix: np.ndarray, classes: int,
+                 targets: int | None = None):
     """For each word, the class to which its move raises the likelihood most, and by how much. after, before: counts of the words'
-    neighbours by class, a row for each word; twice: how often a word follows itself."""
+    neighbours by class, a row for each word; twice: how often a word follows itself. Words are in one of the first ``classes``
+    classes and move to one of the first ``targets``."""
     i = np.arange(len(own))
     gain = _entries(after, own, before, twice, matrix, classes) + _entries(before, own, after, twice, matrix.T, classes)
     a, b = after[:, :classes].copy(), before[:, :classes].copy()
@@ -141,7 +121,7 @@ def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, twice:
         rest = np.tile(totals[:classes], (len(own), 1))
         rest[i, own] -= own_total
         gain -= _xlogx(rest + own_total[:, None]) - _xlogx(rest)
-    best = gain.argmax(axis=1)
+    best = gain[:, :targets].argmax(axis=1)
     return best, gain[i, best] - gain[i, own]
 
 
@@ -151,105 +131,342 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, ma
     return int(best[0]), float(gain[0])
 
 
-def neighbours(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """Columns of ``of``, and per word (side, class, n): 0, the words after it; 1, those before it; 2, how often it follows itself."""
+# --- pairs of neighbouring words ---------------------------------------------
 
-    def classed(key: str, word: str, side: int) -> DataFrame:
-        classes = of.select(F.col("word").alias(key), "class", "hot")
-        hot = pairs.filter(f"hot_{key}").join(F.broadcast(classes.filter("hot")), key)  # HOT rows and the end token
-        rest = pairs.filter(f"NOT hot_{key}").join(classes.filter("NOT hot"), key)
-        return hot.unionByName(rest).select(F.col(word).alias("word"), "class", "n", F.lit(side).alias("side"))
+_ENTRY = np.dtype([("side", "u1"), ("n", "<u4"), ("near", "<i8")])  # side 0: the word after, 1: the word before
 
-    twice = pairs.filter("a = b").select(F.col("a").alias("word"), F.lit(0).alias("class"), "n", F.lit(2).alias("side"))
-    sides = (classed("b", "a", 0).union(classed("a", "b", 1)).union(twice)
-             .groupBy("word", "side", "class").agg(F.sum("n").alias("n"))
-             .groupBy("word").agg(F.collect_list(F.struct("side", "class", "n")).alias("sides")))  # twice the classes and one at most
-    return of.join(sides, "word")
 
+class Codes(dict):
+    """Numbers of words in a task; ``codes``: below ``hot`` by rank, the end token's is ``hot``, others below 0 by a hash."""
 
-def _sides(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    """(3, words, width) from the column ``sides``."""
-    column = batch.column("sides")
-    word = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
-    flat = column.flatten()
-    out = np.zeros((3, len(column), width))
-    out[flat.field("side").to_numpy(), word, flat.field("class").to_numpy()] = flat.field("n").to_numpy()
-    return out
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.codes = ranks, []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        code = self.ranks.get(word)
+        self.codes.append(tail_code(word) if code is None else code)
+        return n
+
+
+def tail_code(word: bytes) -> int:
+    return -1 - (xxhash.xxh64_intdigest(word) >> 1)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, n) by code, in portions: word b follows a so often."""
+    codes, held, n = Codes(ranks), [], 0
 
+    def portion() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pairs, counts = np.unique(np.concatenate(held), return_counts=True)
+        of = np.array(codes.codes, dtype=np.int64)
+        return of[pairs >> 32], of[pairs & 0xFFFFFFFF], counts
 
-def class_matrix(sides: DataFrame, width: int) -> np.ndarray:
-    """Counts of class after class; a cell for each pair of classes."""
-    schema = arrow_schema(sides, "ca int, cb int, n long")
+    for batch in batches:
+        for text in texts_of(batch):
+            own = [END, *lower_bytes(text).split(), END]
+            ids = np.fromiter(map(codes.__getitem__, own), dtype=np.int64, count=len(own))
+            held.append(ids[:-1] << 32 | ids[1:])
+            n += len(ids)
+            if n > 10 * _FLUSH:
+                yield portion()
+                codes, held, n = Codes(ranks), [], 0
+    if held:
+        yield portion()
+
+
+def hot_pairs(docs: DataFrame, ranks) -> DataFrame:
+    """(w, entries): per frequent word its neighbours that are frequent words or the end, at most two for each of those."""
+    schema = "a int, b int, n long"
+    arrow = arrow_schema(docs, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((width, width))
-        for batch in batches:
-            np.add.at(own, batch.column("class").to_numpy(), _sides(batch, width)[0])
-        ca, cb = np.nonzero(own)
-        yield pa.RecordBatch.from_pydict({"ca": ca, "cb": cb, "n": own[ca, cb].astype(np.int64)}, schema=schema)
-
-    small_batches(sides.sparkSession)
-    out = np.zeros((width, width))
-    for r in sides.select("class", "sides").mapInArrow(run, "ca int, cb int, n long").groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
-        out[r["ca"], r["cb"]] = r["n"]
-    return out
+        for a, b, n in _pairs(batches, ranks.value):
+            both = (a >= 0) & (b >= 0)
+            yield from pieces(pa.RecordBatch.from_pydict({"a": a[both].astype(np.int32), "b": b[both].astype(np.int32), "n": n[both]}, schema=arrow))
 
+    counted = docs.select("text").mapInArrow(run, schema).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    sides = counted.select(F.inline(F.array(
+        F.struct(F.col("a").alias("w"), F.lit(0).alias("side"), F.col("b").alias("near"), "n"),
+        F.struct(F.col("b").alias("w"), F.lit(1).alias("side"), F.col("a").alias("near"), "n"))))
+    return sides.groupBy("w").agg(F.collect_list(F.struct("side", "near", "n")).alias("entries")).repartition(_TASKS, "w")
+
+
+def tail_pairs(docs: DataFrame, ranks) -> DataFrame:
+    """(w, entries): per rare word all its neighbours, as packed entries of the portions that had it."""
+    schema = "w long, entries binary"
+    arrow = arrow_schema(docs, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, n in _pairs(batches, ranks.value):
+            one, two = a < 0, b < 0
+            entry = np.zeros(int(one.sum() + two.sum()), dtype=_ENTRY)
+            entry["side"][one.sum():] = 1
+            entry["near"], entry["n"] = np.concatenate((b[one], a[two])), np.concatenate((n[one], n[two]))
+            word = np.concatenate((a[one], b[two]))
+            order = np.argsort(word, kind="stable")
+            word, entry = word[order], entry[order]
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, dtype=np.int64)
+            offsets = np.append(starts, len(word)).astype(np.int32) * _ENTRY.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entry.tobytes())])
+            yield from pieces(pa.RecordBatch.from_arrays([pa.array(word[starts], type=pa.int64()), packed], schema=arrow))
+
+    return docs.select("text").mapInArrow(run, schema).groupBy("w").agg(F.collect_list("entries").alias("entries"))
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, entries) of a column of lists of packed entries."""
+    flat = column.flatten()
+    offsets = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset:flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, dtype=np.int32)
+    data = np.frombuffer(flat.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]] if len(flat) else np.zeros(0, dtype=np.uint8)
+    entries = np.frombuffer(data.tobytes(), dtype=_ENTRY)
+    row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+    return np.repeat(row, np.diff(offsets) // _ENTRY.itemsize), entries
 
-def gains(sides: DataFrame, matrix: np.ndarray, classes: int, least: float) -> DataFrame:
-    """(word, to, gain): the best move of every word that gains more than ``least``."""
-    shared = sides.sparkSession.sparkContext.broadcast(matrix)  # classes squared
-
-    def run(batch) -> dict:
-        side = _sides(batch, len(shared.value))
-        to, gain = best_classes(batch.column("class").to_numpy(), side[0], side[1], side[2, :, 0], shared.value, classes)
-        return {"word": batch.column("word"), "to": to, "gain": gain}
-
-    movable = sides.filter(F.col("class") < classes).select("word", "class", "sides")
-    return per_batch(movable, run, "word binary, to int, gain double").filter(F.col("gain") > least)
-
-
-def _drop(*tables: DataFrame) -> None:
-    """Delete tables of ``written`` that are not read again."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def exchange(pairs: DataFrame, of: DataFrame, classes: int, rounds: int | None) -> tuple[DataFrame, np.ndarray]:
-    """``of`` (word, c, class, hot) after the moves, and the class matrix. ``rounds``: at most so many, None for no bound."""
-    width = classes + ENDINGS + 1
-    sides = written(neighbours(pairs, of), "sides")
-    matrix = class_matrix(sides, width)
-    value, share, moves, step = likelihood(matrix), 0.5, None, 0
-    while rounds is None or step < rounds:
-        step += 1
-        least = 1e-9 + 1e-14 * abs(value)  # below is noise of the sums
-        if moves is None:
-            moves = written(gains(sides, matrix, classes, least), "moves")
-            n = moves.count()
-        if not n:
-            break
-        single = share * n < 1
-        if single:
-            chosen = moves.orderBy(F.desc("gain"), "word").limit(1)
-        else:
-            chosen = moves.filter(F.pmod(F.xxhash64("word", F.lit(step)), F.lit(1 << 30)) < int(share * (1 << 30)))
-        new = written(of.join(chosen.select("word", "to"), "word", "left")
-                      .select("word", "c", F.coalesce("to", "class").alias("class"), "hot"), "classes")
-        new_sides = written(neighbours(pairs, new), "sides")
-        new_matrix = class_matrix(new_sides, width)
-        if (new_value := likelihood(new_matrix)) > value:
-            _drop(of, sides, moves)
-            of, sides, matrix, value, moves = new, new_sides, new_matrix, new_value, None
-            share = min(1.0, 2 * share)
-            continue
-        _drop(new, new_sides)
-        if single:
-            break
-        share /= 2
-    return of, matrix
+
+# --- exchange ----------------------------------------------------------------
+
+def moved(matrix: np.ndarray, own: np.ndarray, to: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray) -> None:
+    """Change the class matrix by moves of words whose neighbours stay."""
+    i = np.arange(len(own))
+    after, before = after.copy(), before.copy()
+    np.subtract.at(matrix, own, after)
+    np.subtract.at(matrix.T, own, before)
+    np.add.at(matrix, (own, own), twice)
+    for side in (after, before):
+        side[i, own] -= twice
+        side[i, to] += twice
+    np.add.at(matrix, to, after)
+    np.add.at(matrix.T, to, before)
+    np.subtract.at(matrix, (to, to), twice)
+
+
+def _summed(rows: int, width: int, row: np.ndarray, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.bincount(row * width + cls, weights=n, minlength=rows * width).reshape(rows, width)
+
+
+class Exchange:
+    """The state: classes of the frequent words, what is known of rare ones, and the class matrix.
+
+    The last class, ``rest``, holds all rare words before the first sweep and none afterwards.
+    """
+
+    def __init__(self, hot: DataFrame, tail: DataFrame, counts: np.ndarray, tokens: int, classes: int):
+        """hot, tail: pairs; counts: of the frequent words and, last, the end token; tokens: all."""
+        self.hot, self.tail, self.classes, self.spark = hot, tail, classes, hot.sparkSession
+        self.end, self.rest = classes + ENDINGS, classes + ENDINGS + 1
+        self.width, self.n = self.rest + 1, len(counts)
+        self.of = np.append(np.arange(self.n - 1) % classes, self.end)  # in turn by rank
+        self.words: DataFrame | None = None  # (w, class) of rare words after a sweep
+        own = self._hot_sums()
+        self.near = np.zeros((2, self.n, self.width))  # what follows, and precedes, each frequent word among rare ones, by class
+        for side in (0, 1):
+            self.near[side, :, self.rest] = counts - own[side]
+        self.inner = np.zeros((self.width, self.width))  # pairs of rare words
+        self.inner[self.rest, self.rest] = tokens - own[0].sum() - self.near[:, :, self.rest].sum()
+        self.matrix = self.class_matrix(self.of)
+        self.value = likelihood(self.matrix)
+        self.gaining = 0
+
+    def _hot_sums(self) -> np.ndarray:
+        out = np.zeros((2, self.n))
+        each = F.col("entries")
+        sums = [F.aggregate(F.filter(each, lambda x, s=s: x["side"] == s), F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias(f"s{s}") for s in (0, 1)]
+        for r in self.hot.select("w", *sums).collect():  # a row for each frequent word
+            out[:, r["w"]] = r["s0"], r["s1"]
+        return out
+
+    def _sides(self, batch: pa.RecordBatch, of: np.ndarray, near: np.ndarray):
+        """Words of a batch of frequent words, their neighbours by class, and how often each follows itself."""
+        word, column = batch.column("w").to_numpy(), batch.column("entries")
+        row, flat = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()), column.flatten()
+        side, other, n = (flat.field(f).to_numpy() for f in ("side", "near", "n"))
+        out = [_summed(len(word), self.width, row[side == s], of[other[side == s]], n[side == s]) + near[s, word] for s in (0, 1)]
+        same = (side == 0) & (other == word[row])
+        return word, out[0], out[1], np.bincount(row[same], weights=n[same], minlength=len(word))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k in ("classes", "end", "rest", "width", "n")}
+
+    def class_matrix(self, of: np.ndarray) -> np.ndarray:
+        """Counts of class after class if the frequent words have classes ``of``."""
+        shared = self.spark.sparkContext.broadcast(of)  # the frequent words
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, of = np.zeros((width, width)), shared.value
+            for batch in batches:
+                word, column = batch.column("w").to_numpy(), batch.column("entries")
+                row, flat = np.repeat(word, column.value_lengths().to_numpy()), column.flatten()
+                first = flat.field("side").to_numpy() == 0
+                own += _summed(width, width, of[row[first]], of[flat.field("near").to_numpy()[first]], flat.field("n").to_numpy()[first])
+            ca, cb = np.nonzero(own)
+            yield pa.RecordBatch.from_pydict({"ca": ca, "cb": cb, "n": own[ca, cb].astype(np.int64)}, schema=schema)
+
+        schema = arrow_schema(self.hot, "ca int, cb int, n long")
+        out = self.inner.copy()
+        for r in self.hot.mapInArrow(run, "ca int, cb int, n long").toArrow().to_pylist():  # the classes squared, for each of _TASKS
+            out[r["ca"], r["cb"]] += r["n"]
+        np.add.at(out, of, self.near[0])
+        np.add.at(out.T, of, self.near[1])
+        return out
+
+    def exchange_hot(self, least_gain: float, rounds: int | None) -> None:
+        near = self.spark.sparkContext.broadcast(self.near)  # frequent words by classes
+        step = 0
+        while rounds is None or step < rounds:
+            step += 1
+            moves = self._hot_moves(near)
+            self.gaining = moves.num_rows
+            if not moves.num_rows:
+                break
+            tasks = np.unique(moves.column("task").to_numpy())
+            np.random.default_rng(step).shuffle(tasks)
+            share, before = len(tasks), self.value
+            while share:
+                some = np.isin(moves.column("task").to_numpy(), tasks[:share])
+                of = self.of.copy()
+                of[moves.column("w").to_numpy()[some]] = moves.column("to").to_numpy()[some]
+                matrix = self.class_matrix(of)
+                if (value := likelihood(matrix)) > self.value:
+                    self.of, self.matrix, self.value = of, matrix, value
+                    break
+                share //= 2
+            if self.value - before <= least_gain * abs(before):
+                break
+        near.unpersist()
+
+    def _hot_moves(self, near) -> pa.Table:
+        """(w, to, task) of all frequent words that gain by moving, each task's in its own order."""
+        shared = self.spark.sparkContext.broadcast((self.of, self.matrix))
+        schema = arrow_schema(self.hot, "w int, to int, task int")
+        least, classes, end, sides = self._least(), self.classes, self.n - 1, self._sides
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, matrix = (x.copy() for x in shared.value)
+            task, first = TaskContext.get().partitionId(), of.copy()
+            for batch in batches:
+                for block in pieces(batch, _BLOCK):
+                    word, after, before, twice = sides(block, of, near.value)
+                    word, after, before, twice = (x[word != end] for x in (word, after, before, twice))
+                    if len(word):
+                        to, gain = best_classes(of[word], after, before, twice, matrix, classes)
+                        go = gain > least
+                        moved(matrix, of[word[go]], to[go], after[go], before[go], twice[go])
+                        of[word[go]] = to[go]
+            changed = np.flatnonzero(of != first).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"w": changed, "to": of[changed].astype(np.int32), "task": [task] * len(changed)}, schema=schema)
+
+        return self.hot.mapInArrow(run, "w int, to int, task int").toArrow()  # at most the frequent words
+
+    def _least(self) -> float:
+        return 1e-9 + 1e-14 * abs(self.value)  # below is noise of the sums
+
+    def sweep(self, share: float = 1.0) -> None:
+        """Move every rare word to its best class, or the given share of them; classes go to ``words``."""
+        rows, known = self.tail, self.words is not None
+        if known:
+            rows = rows.join(self.words, "w").join(self._tail_classes(), "w", "left")
+        shared = self.spark.sparkContext.broadcast((self.of, self.matrix))
+        width, rest, classes, least = self.width, self.rest, self.classes, self._least()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, matrix = shared.value[0], shared.value[1].copy()
+            for whole in batches:
+                for batch in pieces(whole, 10 * _BLOCK):
+                    word, (row, entry) = batch.column("w").to_numpy(), _unpacked(batch.column("entries"))
+                    near, n, size = entry["near"], entry["n"].astype(np.float64), len(word)
+                    own = batch.column("class").to_numpy() if known else np.full(size, rest)
+                    sides = []
+                    for s in (0, 1):
+                        at = (entry["side"] == s) & (near >= 0 if known else True)
+                        sides.append(_summed(size, width, row[at], np.where(near[at] >= 0, of[np.maximum(near[at], 0)], rest), n[at]))
+                    if known:
+                        column = batch.column("tails")
+                        at, flat = np.repeat(np.arange(size), column.fill_null([]).value_lengths().to_numpy()), column.flatten()
+                        side, cls, m = (flat.field(f).to_numpy() for f in ("side", "class", "n"))
+                        for s in (0, 1):
+                            sides[s] += _summed(size, width, at[side == s], cls[side == s], m[side == s])
+                    same = (entry["side"] == 0) & (near == word[row])
+                    twice = np.bincount(row[same], weights=n[same], minlength=size)
+                    to, gain = best_classes(own, *sides, twice, matrix, width, classes)
+                    go = (gain > least) if known else np.ones(size, dtype=bool)
+                    if share < 1:
+                        go &= (word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.float64) < share * 2 ** 32
+                    moved(matrix, own[go], to[go], *(x[go] for x in (*sides, twice)))
+                    yield pa.RecordBatch.from_pydict({"w": word, "class": np.where(go, to, own).astype(np.int32), "gains": go}, schema=schema)
+
+        schema = arrow_schema(self.tail, "w long, class int, gains boolean")
+        small_batches(self.spark)
+        before, old = (self.words, self.near, self.inner, self.matrix, self.value), self.words
+        self.words = written(rows.mapInArrow(run, "w long, class int, gains boolean"), "classes")
+        self.gaining = self.words.filter("gains").count()
+        self.words = self.words.drop("gains")
+        self._tail_sums()
+        self.matrix = self.class_matrix(self.of)
+        self.value = likelihood(self.matrix)
+        if known and self.value <= before[4]:  # moves of all tasks together did not gain
+            drop_written(self.words)
+            self.words, self.near, self.inner, self.matrix, self.value = before
+            if share > 1 / 64 and self.gaining:
+                self.sweep(share / 4)
+        elif old is not None:
+            drop_written(old)
+
+    def _tail_tail(self) -> DataFrame:
+        """(w, side, near, n) of rare words with rare neighbours."""
+
+        def run(batch: pa.RecordBatch) -> dict:
+            row, entry = _unpacked(batch.column("entries"))
+            at = entry["near"] < 0
+            return {"w": batch.column("w").to_numpy()[row[at]], "side": entry["side"][at].astype(np.int32), "near": entry["near"][at],
+                    "n": entry["n"][at].astype(np.int64)}
+
+        return per_batch(self.tail, run, "w long, side int, near long, n long")
+
+    def _tail_classes(self) -> DataFrame:
+        """(w, tails): the classes of a rare word's rare neighbours, at most two counts for each class."""
+        near = self.words.select(F.col("w").alias("near"), "class")
+        return (self._tail_tail().join(near, "near").groupBy("w", "side", "class").agg(F.sum("n").alias("n"))
+                .groupBy("w").agg(F.collect_list(F.struct("side", "class", "n")).alias("tails")))
+
+    def _tail_sums(self) -> None:
+        """What the classes of rare words add to the class matrix and to the neighbours of frequent words."""
+        near = self.words.select(F.col("w").alias("near"), F.col("class").alias("cb"))
+        pairs = self._tail_tail().filter("side = 0").join(near, "near").join(self.words, "w").groupBy("class", "cb").agg(F.sum("n").alias("n"))
+        self.inner = np.zeros((self.width, self.width))
+        for r in pairs.collect():  # classes squared
+            self.inner[r["class"], r["cb"]] = r["n"]
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def send() -> Iterator[pa.RecordBatch]:
+                cell, n = (np.concatenate(x) for x in zip(*held))
+                cells, at = np.unique(cell, return_inverse=True)
+                yield from pieces(pa.RecordBatch.from_pydict({"cell": cells, "n": np.bincount(at, weights=n).astype(np.int64)}, schema=schema))
+
+            size = 0
+            for batch in batches:
+                row, entry = _unpacked(batch.column("entries"))
+                at = entry["near"] >= 0
+                # a rare word before (side 1 of the rare one) is what its neighbour has after it
+                cell = ((1 - entry["side"][at].astype(np.int64)) << 32 | entry["near"][at]) * width + batch.column("class").to_numpy()[row[at]]
+                held.append((cell, entry["n"][at].astype(np.float64)))
+                size += len(cell)
+                if size > 10 * _FLUSH:
+                    yield from send()
+                    held, size = [], 0
+            if size:
+                yield from send()
+
+        schema = arrow_schema(self.tail, "cell long, n long")
+        small_batches(self.spark)
+        sums = self.tail.join(self.words, "w").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        cell, n = (sums.column(c).to_numpy() for c in ("cell", "n"))  # two for each frequent word and class
+        self.near = np.zeros((2, self.n, width))
+        self.near[cell // width >> 32, (cell // width) & 0xFFFFFFFF, cell % width] = n
 
 
 class Model:
@@ -263,57 +480,65 @@ class Model:
         self.end_base = math.log10(ends + 1) - self.base_log
         self.end_known = ends > 0
         self.classes, self.end = classes, classes + ENDINGS
-        self.class_log = np.log10(np.array(tokens, dtype=float) + np.array(types) + 1)
+        self.class_log = np.log10(np.array(tokens, dtype=float) + np.array(types) + 1)  # of an ending: words seen once, and one more
         self.word_class = np.array(word_class, dtype=np.int32)
         self.count_log = np.log10(np.array(counts, dtype=float) + 1)
         self.transition = np.log10((matrix + 1) / (matrix.sum(axis=1, keepdims=True) + len(matrix)))
 
 
-def first_classes(counts: DataFrame, words: list[bytes], clustered: int | None, classes: int) -> DataFrame:
-    """(word, c, class, hot) before the first round: classes in turn by rank, by a hash for words outside the head. With ``clustered``
-    only so many words take part, and all others have the class of their ending for good."""
-    shared = counts.sparkSession.sparkContext.broadcast(dict(zip(words, range(len(words)))))  # at most the head
-
-    def run(batch) -> dict:
-        own = batch.column("word").to_pylist()
-        ranks = [shared.value.get(w, len(shared.value)) for w in own]
-        by_rank = [r % classes if r < len(shared.value) else zlib.crc32(w) % classes for w, r in zip(own, ranks)]
-        if clustered is not None:
-            by_rank = [k if r < clustered else classes + ending(w) for k, w, r in zip(by_rank, own, ranks)]
-        return {"word": batch.column("word"), "c": batch.column("c"), "class": by_rank, "hot": [r < HOT for r in ranks]}
-
-    return per_batch(counts.filter(F.col("word") != F.lit(END)), run, "word binary, c long, class int, hot boolean")
-
-
-def train(docs: DataFrame, clustered: int | None = None, classes: int = 64, rounds: int | None = None, head: int = 100_000) -> tuple[Model, DataFrame]:
-    """The model, and (word, c, class) of all training words. ``clustered``, at most ``head``, and ``rounds`` are bounds; None is none."""
-    if clustered is not None and clustered > head:
-        raise ValueError("clustered is more than head")
+def train(docs: DataFrame, classes: int = 64, hot: int = 10_000, head: int = 300_000, least_gain: float = 1e-4, sweeps: int | None = 1,
+          rounds: int | None = None) -> tuple[Model, DataFrame]:
+    """The model, and (word, c, class) of all training words. ``sweeps`` and ``rounds``: None for as many as gain enough."""
     training = docs.filter(~held_out())
     counts = written(word_counts(training), "word-counts")
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
-    ends = training.count()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()  # at most ``head`` rows
+    n, ends = n or 0, training.count()
+    top = counts.orderBy(F.desc("c"), "word").limit(hot).toArrow()  # at most ``hot`` rows
     words = top.column("word").to_pylist()
-    end = counts.sparkSession.createDataFrame([(END, ends, classes + ENDINGS, True)], "word binary, c long, class int, hot boolean")
-    of = written(first_classes(counts, words, clustered, classes).union(end), "classes")
-    hot = of.filter("hot")
-    pairs = pair_counts(training)
-    for key in "ab":
-        pairs = pairs.join(F.broadcast(hot.select(F.col("word").alias(key), F.lit(True).alias("hot_" + key))), key, "left")
-    pairs = written(pairs.select("a", "b", "n", *[F.coalesce("hot_" + k, F.lit(False)).alias("hot_" + k) for k in "ab"]), "pairs")
-    of, matrix = exchange(pairs, of, classes, rounds)
-    counts = of.filter(F.col("word") != F.lit(END)).select("word", "c", "class")
-    width = len(matrix)
-    tokens, types = [0] * width, [0] * width
+    ranks = docs.sparkSession.sparkContext.broadcast(dict(zip(words, range(len(words)))) | {END: len(words)})
+    state = Exchange(written(hot_pairs(training, ranks), "hot-pairs"), written(tail_pairs(training, ranks), "tail-pairs"),
+                     np.append(top.column("c").to_numpy(), ends).astype(float), n + ends, classes)
+    state.exchange_hot(least_gain, rounds)
+    done, rare = 0, v > len(words)
+    while rare and (sweeps is None or done < sweeps):
+        before = state.value
+        state.sweep()
+        done += 1
+        state.exchange_hot(least_gain, rounds)
+        if done > 1 and state.value - before <= least_gain * abs(before):
+            break
+    counts = classed(counts, state, ranks)
+    drop_written(state.hot, state.tail)
+    matrix = state.matrix[:-1, :-1]  # without the class of rare words, which is empty
+    tokens, types = [0] * len(matrix), [0] * len(matrix)
     for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         tokens[r["class"]], types[r["class"]] = r["c"], r["v"]
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
+    last = F.crc32(F.substring("word", -2, 2)) % ENDINGS  # as ``ending``
+    for r in counts.filter("c = 1").groupBy(last.cast("int").alias("ending")).agg(F.count("*").alias("v")).collect():
+        tokens[classes + r["ending"]] = r["v"]
+    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()  # at most ``head`` rows
     model = Model(top.column("word").to_pylist(), top.column("c").to_pylist(), top.column("class").to_pylist(), classes, matrix, tokens, types,
-                  (n or 0) + ends, v + (ends > 0), ends)
+                  n + ends, v + (ends > 0), ends)
     return model, counts
 
 
+def classed(counts: DataFrame, state: Exchange, ranks) -> DataFrame:
+    """(word, c, class) of all training words."""
+    of = state.spark.sparkContext.broadcast(state.of)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        own = batch.column("word").to_pylist()
+        codes = [ranks.value.get(w) for w in own]
+        return {"word": batch.column("word"), "c": batch.column("c"), "known": [None if k is None else int(of.value[k]) for k in codes],
+                "w": [tail_code(w) if k is None else k for w, k in zip(own, codes)]}
+
+    coded = per_batch(counts, run, "word binary, c long, known int, w long")
+    out = coded.filter("known IS NOT NULL").select("word", "c", F.col("known").alias("class"))
+    if state.words is not None:
+        out = out.union(coded.filter("known IS NULL").join(state.words, "w").select("word", "c", "class"))
+    return written(out, "word-classes")
+
+
 _SCORED = "row long, doc_id long, held_out boolean, classes binary, n_known long, logs double, inner double, rest array<struct<word:binary,at:array<int>>>"
 _TOTALS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 

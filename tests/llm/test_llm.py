@@ -146,7 +146,7 @@ def test_matching_statistics():
 # --- language model --------------------------------------------------------
 
 def test_brown(docs, texts):
-    got = by_id(brown.score_documents(docs, clustered=8, classes=3, rounds=3, head=12))
+    got = by_id(brown.score_documents(docs, hot=8, classes=3, rounds=3, head=12))
     tokens = {i * 3: encoded(t).lower().split() + [None] for i, t in enumerate(texts)}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
     count = collections.Counter(w for i, ws in tokens.items() if not out[i] for w in ws)
@@ -158,6 +158,38 @@ def test_brown(docs, texts):
         assert r["score"] < 0 and r["perplexity"] > 1
 
 
+def test_moves_change_the_class_matrix_as_recounting_does():
+    rng = np.random.default_rng(3)
+    words, classes = 15, 5
+    pairs = rng.integers(0, 9, (words, words)).astype(float)
+    of = np.arange(words) % classes
+
+    def matrix(of):
+        out = np.zeros((classes, classes))
+        np.add.at(out, (of[:, None], of[None, :]), pairs)
+        return out
+
+    got = matrix(of)
+    for w in range(words):
+        after, before = (np.bincount(of, weights=x, minlength=classes) for x in (pairs[w], pairs[:, w]))
+        to = int(rng.integers(classes))
+        brown.moved(got, of[w:w + 1], np.array([to]), after[None], before[None], pairs[w, w:w + 1])
+        of[w] = to
+        assert np.array_equal(got, matrix(of))
+
+
+def test_a_rare_word_gets_the_class_of_its_neighbours(spark):
+    """One sweep places words outside the frequent ones, by frequent and by rare neighbours."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(("red", "blue", "green")) + " " + rng.choice(("cat", "dog", "cow")) for _ in range(30)) for _ in range(40)]
+    texts += ["red zebra blue tapir green okapi", "crimson cat crimson dog", "red gnu blue gnu"]
+    data = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    for sweeps in (1, 3):
+        _, counts = brown.train(data, classes=2, hot=6, sweeps=sweeps)
+        of = {bytes(r["word"]).decode(): r["class"] for r in counts.collect()}
+        assert of["zebra"] == of["tapir"] == of["gnu"] == of["cat"] == of["dog"] and of["crimson"] == of["red"] == of["blue"]
+
+
 def test_exchange_gain_is_the_likelihood_gained():
     rng = np.random.default_rng(1)
     words, classes = 12, 4
@@ -179,11 +211,11 @@ def test_exchange_gain_is_the_likelihood_gained():
 
 def test_brown_probabilities_sum_to_one(spark):
     data = spark.createDataFrame([(i, "the cat sat on the mat " * 3 + "w%d" % (i % 5)) for i in range(40)], "doc_id long, text string")
-    model, _ = brown.train(data, clustered=4, classes=2, rounds=2, head=6)
+    model, _ = brown.train(data, hot=4, classes=2, rounds=2, head=6)
     assert np.allclose((10 ** model.transition).sum(axis=1), 1)
     texts = [(10_000, "the cat sat on the mat"), (10_001, "mat sat cat the on the")]
     both = data.filter("doc_id < 0").union(spark.createDataFrame(texts, "doc_id long, text string"))
-    model, counts = brown.train(data, clustered=4, classes=4, rounds=3, head=6)
+    model, counts = brown.train(data, hot=4, classes=4, rounds=3, head=6)
     got = by_id(brown.score(both, model, counts))
     assert got[10_000]["score"] > got[10_001]["score"]
 
@@ -194,7 +226,7 @@ def test_brown_clusters_every_training_word(spark):
     words = {k: [k + str(i) for i in range(60)] for k in "xyz"}  # x is followed by y, y by z, z by x
     texts = [" ".join(rng.choice(words["xyz"[i % 3]]) for i in range(rng.randint(20, 40))) for _ in range(60)]
     data = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model, counts = brown.train(data, classes=3, head=5)
+    model, counts = brown.train(data, classes=3, head=5, hot=50, sweeps=None, least_gain=0)
     of = {bytes(r["word"]): r["class"] for r in counts.collect()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
     used = {w.encode() for i, t in enumerate(texts) if not out[i] for w in t.split()}
@@ -218,6 +250,7 @@ def test_brown_clusters_every_training_word(spark):
     size = collections.Counter()
     for w, c in count.items():
         size[of[w]] += c + 1
+        size[3 + brown.ending(w)] += c == 1  # what an unseen word costs
     for i, r in by_id(brown.score(data, model, counts)).items():
         own = texts[i].encode().split()
         k = [of.get(w, 3 + brown.ending(w)) for w in own]
@@ -586,4 +619,4 @@ def test_empty_table(empty, report):
 
 def test_registered():
     names = list(queries.QUERIES)
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and len(names) == 10
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14)) and len(names) == 13
