@@ -17,8 +17,7 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
-    NaiveBayes, RandomForestClassifier,
+    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorSlicer
@@ -32,6 +31,7 @@ from pyspark.sql import types as T
 
 from runsight.operators import metrics
 from runsight.operators.clean import numeric_columns, vector_stages
+from runsight.operators.forest import ForestClassifier
 from runsight.operators.ordering import global_rank
 from runsight.operators.scalars import scalar_stats
 from runsight.operators.split import SEED, hash_order, stratified_folds, stratified_split
@@ -46,10 +46,10 @@ RECOMMENDED = ("random_forest", "gradient_boosting", "logistic_regression", "dec
 DEFAULTS = {
     "dummy": {"strategy": "most_frequent"},
     "logistic_regression": {"C": 1.0, "penalty": "l2"},
-    "random_forest": {"n_estimators": 100, "max_depth": None, "min_samples_leaf": 1},
+    "random_forest": {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1},
     "gradient_boosting": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
     "svm": {"C": 1.0, "kernel": "rbf", "gamma": "scale"},
-    "decision_tree": {"max_depth": None, "min_samples_leaf": 1, "criterion": "gini"},
+    "decision_tree": {"max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1, "criterion": "gini"},
     "naive_bayes": {},
     "knn": {"n_neighbors": 5, "weights": "uniform"},
     "neural_network": {"hidden_layer_sizes": (100,), "max_iter": 500},
@@ -58,18 +58,19 @@ GRIDS = {
     "dummy": {"strategy": ["most_frequent", "stratified", "prior", "uniform"]},
     "logistic_regression": {"C": [0.001, 0.01, 0.1, 1, 10, 100], "penalty": ["l1", "l2"]},
     "random_forest": {
-        "n_estimators": [50, 100, 200], "max_depth": [None, 10, 20, 30], "min_samples_leaf": [1, 2, 4],
+        "n_estimators": [50, 100, 200], "max_depth": [None, 10, 20, 30], "min_samples_split": [2, 5, 10],
+        "min_samples_leaf": [1, 2, 4],
     },
     "gradient_boosting": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7]},
     "svm": {"C": [0.1, 1, 10, 100], "kernel": ["linear", "rbf", "poly"], "gamma": ["scale", "auto", 0.01, 0.1, 1]},
     "decision_tree": {
-        "max_depth": [None, 5, 10, 15, 20], "min_samples_leaf": [1, 2, 4], "criterion": ["gini", "entropy"],
+        "max_depth": [None, 5, 10, 15, 20], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4],
+        "criterion": ["gini", "entropy"],
     },
     "naive_bayes": {},
     "knn": {"n_neighbors": [3, 5, 7, 9, 11], "weights": ["uniform", "distance"]},
     "neural_network": {"hidden_layer_sizes": [(50,), (100,), (100, 50), (200, 100)]},
 }
-MAX_DEPTH = 30  # the deepest tree Spark grows; stands for "unlimited"
 # ----------------------------------------------------------------------------
 
 
@@ -101,7 +102,7 @@ class RandomFourier(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPara
 
 
 def _tree_args(p: Mapping) -> dict:
-    return {"maxDepth": p["max_depth"] or MAX_DEPTH, "minInstancesPerNode": p["min_samples_leaf"]}
+    return {k: p[k] for k in ("max_depth", "min_samples_split", "min_samples_leaf")} | {"seed": SEED}
 
 
 def _classifier(kind: str, p: Mapping, rows: int, width: int) -> list:
@@ -129,13 +130,13 @@ def _classifier(kind: str, p: Mapping, rows: int, width: int) -> list:
             LogisticRegression(featuresCol="_margin", labelCol="y"),
         ]
     if kind == "decision_tree":
-        return [DecisionTreeClassifier(impurity=p["criterion"], seed=SEED, **_tree_args(p), **io)]
+        return [ForestClassifier("scaled", "y", trees=1, bootstrap=False, criterion=p["criterion"], **_tree_args(p))]
     if kind == "naive_bayes":
         return [NaiveBayes(modelType="gaussian", **io)]
     if kind == "neural_network":
         return [MultilayerPerceptronClassifier(
             layers=[width, *p["hidden_layer_sizes"], 2], maxIter=p["max_iter"], seed=SEED, **io)]
-    return [RandomForestClassifier(numTrees=p["n_estimators"], seed=SEED, **_tree_args(p), **io)]
+    return [ForestClassifier("scaled", "y", trees=p["n_estimators"], max_features=max(1, int(width ** 0.5)), **_tree_args(p))]
 
 
 def get_model(
