@@ -25,13 +25,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runsight.operators import metrics
 from runsight.operators.clean import numeric_columns, vector_stages
 from runsight.operators.forest import ForestClassifier
+from runsight.operators.linear import Group, logistic_scores
 from runsight.operators.ordering import global_rank
 from runsight.operators.scalars import scalar_stats
 from runsight.operators.split import SEED, hash_order, stratified_folds, stratified_split
@@ -208,11 +209,11 @@ def predict_failures(model: Transformer, df: DataFrame, threshold: float = 0.5)
 
 def grid_search_cv(
     train: DataFrame, kind: str, key: str, grid: Mapping | None = None, columns: Sequence[str] | None = None,
-    folds: int = 5, parallelism: int = 4, params: Mapping | None = None,
+    folds: int = 5, parallelism: int = 4, params: Mapping | None = None, batched: bool = True,
 ) -> tuple[DataFrame, dict]:
     """Every combination of the grid over stratified folds, scored by F1 of class 1.
 
-    Returns mean and deviation of train and test scores per combination, and the best one.
+    Logistic models are fitted together, one scan for a step of all (``batched``); others a few at a time. Returns mean and deviation of train and test scores per combination, and the best one.
     """
     train = cut(stratified_folds(train.withColumn("y", F.col("y").cast("double")), "y", key, folds))
     width, rows = None if columns else vector_width(train), train_size(train) * (folds - 1) // folds
@@ -227,8 +228,13 @@ def grid_search_cv(
         model = get_model(kind, {**(params or {}), **combo}, rows=rows, columns=columns, width=width)[0].fit(part)
         return f1.evaluate(model.transform(train.where(F.col("fold") == fold))), f1.evaluate(model.transform(part))
 
-    with ThreadPool(parallelism) as pool:
-        scores = np.array(pool.map(score, list(product(range(len(combos)), range(folds))), chunksize=1)).reshape(len(combos), folds, 2)
+    if kind == "logistic_regression" and batched:
+        every = [{**DEFAULTS[kind], **(params or {}), **c} for c in combos]
+        scores = logistic_scores(_arrays(train, columns), [Group(f) for f in range(folds)],
+                                 [[(1.0 / (c["C"] * rows), c["penalty"] == "l1") for c in every]] * folds).swapaxes(0, 1)
+    else:
+        with ThreadPool(parallelism) as pool:
+            scores = np.array(pool.map(score, list(product(range(len(combos)), range(folds))), chunksize=1)).reshape(len(combos), folds, 2)
     means, sds = scores.mean(axis=1), scores.std(axis=1)
     rows_out = [(json.dumps(c), *(float(x) for x in (m[0], s[0], m[1], s[1]))) for c, m, s in zip(combos, means, sds)]
     table = train.sparkSession.createDataFrame(
@@ -238,6 +244,12 @@ def grid_search_cv(
     return table, combos[int(np.argmax(means[:, 0]))]
 
 
+def _arrays(df: DataFrame, columns: Sequence[str] | None, share: Column | None = None) -> DataFrame:
+    """x, y, fold and share of the batched models."""
+    x = F.array(*[F.col(c).cast("double") for c in columns]) if columns else vector_to_array("features")
+    return cut(df.select(x.alias("x"), "y", "fold", (F.lit(0.0) if share is None else share).alias("share")))
+
+
 def evaluate(model: Transformer, test: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Class and ranking measures of a model on a test frame, as one row."""
     scored = cut(predict_failures(model, test, threshold).select("y", "failure_probability", "predicted_result"))
@@ -289,20 +301,34 @@ def permutation_importance(
 
 def learning_curve(
     df: DataFrame, kind: str, key: str, params: Mapping | None = None, columns: Sequence[str] | None = None,
-    sizes: Sequence[float] = tuple(i / 10 for i in range(1, 11)), folds: int = 5,
+    sizes: Sequence[float] = tuple(i / 10 for i in range(1, 11)), folds: int = 5, parallelism: int = 4,
 ) -> DataFrame:
     """F1 on training and held-out rows for growing training shares (prefixes in hash order)."""
     rows = cut(stratified_folds(df.withColumn("y", F.col("y").cast("double")), "y", key, folds))
     share = F.conv(F.substring(hash_order(key, "curve"), 1, 12), 16, 10).cast("double") / float(16**12)
     f1 = MulticlassClassificationEvaluator(labelCol="y", metricName="fMeasureByLabel", metricLabel=1.0)
+    choices = list(product(sizes, range(folds)))
+
+    def score(choice: tuple[float, int]) -> tuple[float, float]:
+        size, k = choice
+        part = rows.where((F.col("fold") != k) & (share < size)).drop("fold")
+        model = train_model(part, kind, params, columns)
+        return f1.evaluate(model.transform(part)), f1.evaluate(model.transform(rows.where(F.col("fold") == k)))
+
+    if kind == "logistic_regression":  # all sizes and folds together
+        p = {**DEFAULTS[kind], **(params or {})}
+        ready = _arrays(rows, columns, share)
+        counts = {(r["fold"], r["size"]): r["n"] for r in ready.select("fold", F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("size"), "share")
+                  .where("share < size").groupBy("fold", "size").agg(F.count("*").alias("n")).collect()}
+        n = [sum(counts.get((f, float(size)), 0) for f in range(folds) if f != k) for size, k in choices]
+        found = logistic_scores(ready, [Group(k, float(size)) for size, k in choices],
+                                [[(1.0 / (p["C"] * max(m, 1)), p["penalty"] == "l1")] for m in n])[:, 0, ::-1]
+    else:
+        with ThreadPool(parallelism) as pool:
+            found = pool.map(score, choices, chunksize=1)
     out = []
-    for size in sizes:
-        scores = []
-        for k in range(folds):
-            part = rows.where((F.col("fold") != k) & (share < size)).drop("fold")
-            model = train_model(part, kind, params, columns)
-            scores.append((f1.evaluate(model.transform(part)), f1.evaluate(model.transform(rows.where(F.col("fold") == k)))))
-        seen, held = np.array(scores).T
+    for size, part in zip(sizes, np.array(found).reshape(len(sizes), folds, 2)):
+        seen, held = part.T
         out.append((float(size), float(seen.mean()), float(seen.std()), float(held.mean()), float(held.std())))
     return df.sparkSession.createDataFrame(
         out, "train_share double, train_mean double, train_sd double, test_mean double, test_sd double"
@@ -311,20 +337,24 @@ def learning_curve(
 
 def train_many(
     df: DataFrame, key: str, kinds: Mapping[str, Mapping] | Sequence[str] = RECOMMENDED,
-    columns: Sequence[str] | None = None,
+    columns: Sequence[str] | None = None, parallelism: int = 4,
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Train and evaluate several models on one split; a model that fails leaves its error."""
     split = cut(stratified_split(df, "y", key))
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
     kinds = kinds if isinstance(kinds, Mapping) else {k: {} for k in kinds}
-    models, rows = {}, []
-    for kind, params in kinds.items():
+
+    def fit(choice: tuple[str, Mapping]) -> tuple[PipelineModel | None, tuple]:
+        kind, params = choice
         try:
             model = train_model(train, kind, params, columns)
-            rows.append((kind, *evaluate(model, test).first(), None))
-            models[kind] = model
+            return model, (kind, *evaluate(model, test).first(), None)
         except Exception as err:  # one bad model must not stop the others
-            rows.append((kind, *[None] * 6, str(err)))
+            return None, (kind, *[None] * 6, str(err))
+
+    with ThreadPool(parallelism) as pool:
+        fitted = pool.map(fit, list(kinds.items()), chunksize=1)
+    models, rows = {row[0]: model for model, row in fitted if model is not None}, [row for _, row in fitted]
     table = df.sparkSession.createDataFrame(
         rows, "model_type string, accuracy double, precision double, recall double, f1 double, roc_auc double, "
         "average_precision double, error string",
