@@ -8,10 +8,12 @@ equal sets first, so a large group of copies is one set here and never all pairs
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runsight.operators.ordering import global_rank
 from runsight.session import cut
 
 HOT = 10_000  # sets with one element in common that may still be compared through it alone
@@ -166,59 +168,141 @@ def leader_edges(sets: DataFrame, threshold: float, hot: int = HOT, rounds: int
     return leaders, edges
 
 
-def correlated_pairs(vectors: DataFrame, runs: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
-    """Pairs of distinct 0/1 vectors with Pearson correlation above ``threshold`` and below 1.
+# --- 0/1 vectors as bitmaps ----------------------------------------------------
 
-    ``vectors``: unique ``id`` and ``ones`` (array of the runs where it is 1); ``runs``: all runs.
+WORDS = 64  # of 64 bits in a block, so a block has 4,096 runs
+
+
+class Bitmaps(NamedTuple):
+    """``blocks``: id, block, words (longs), ones; runs are numbered from the one with fewest ones. ``runs``: number, ones."""
+
+    blocks: DataFrame
+    runs: DataFrame
+    n_runs: int
+
+
+def bitmaps(cells: DataFrame, runs: DataFrame) -> Bitmaps:
+    """``cells``: (id, run) where a vector is 1; ``runs``: all runs. A row has a block of runs, however many there are."""
+    cells = cells.select("id", "run").distinct()
+    counts = cells.groupBy("run").agg(F.count(F.lit(1)).alias("ones"))
+    known = runs.select("run").distinct().join(counts, "run", "left").withColumn("ones", F.coalesce("ones", F.lit(0).cast("long")))
+    numbered = cut(global_rank(known, ["ones", "run"], "number").withColumn("number", F.col("number") - 1))
+    at = F.col("number")
+    words = cells.join(numbered.select("run", "number"), "run").groupBy("id", F.shiftright(at, 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(number & 63 AS INT))")).alias("bits"))
+    packed = words.groupBy("id", F.floor(F.col("word") / WORDS).alias("block")).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("word") % WORDS).cast("int"), "bits"))).alias("m"))  # WORDS at most
+    whole = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    blocks = cut(packed.select("id", "block", whole.alias("words")).withColumn("ones", _ones("words")))
+    return Bitmaps(blocks, numbered.select("number", "ones"), numbered.count())
+
+
+def _ones(words) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda t, w: t + F.bit_count(w))
+
+
+def first_of_equal(maps: Bitmaps) -> DataFrame:
+    """(id, first): the first id with the same vector, by a digest of its blocks."""
+    block = F.struct("block", F.sha2(F.array_join(F.transform("words", lambda w: w.cast("string")), ","), 256))
+    digests = maps.blocks.groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(block))), 256).alias("_key"))
+    return digests.join(digests.groupBy("_key").agg(F.min("id").alias("first")), "_key").select("id", "first")
+
+
+def _prefix(blocks: DataFrame, sized: DataFrame, name: str, n_runs: int, freq: DataFrame) -> DataFrame:
+    """(id, number, n, ..): the rarest ``length`` runs of each vector of ``sized`` on one side, rare runs first.
+
+    Blocks are in order of rarity, so sums of the blocks before one tell how many of its runs belong to the prefix. On the
+    side of zeros the rarest runs are those with most ones, so blocks and bits are read from the end.
+    """
+    last = (n_runs - 1) // (64 * WORDS)
+    bit = F.sequence(F.lit(0), F.lit(64 * WORDS - 1))
+
+    def set_bits(words: Column) -> Column:
+        return F.filter(bit, lambda i: F.getbit(F.element_at(words, F.shiftright(i, 6) + 1), i.bitwiseAND(F.lit(63))) == 1)
+
+    if name == "ones":
+        own = blocks.join(sized, "id").withColumn("count", F.col("ones"))
+        order, places = F.col("block"), set_bits(F.col("words"))
+    else:
+        none = F.array_repeat(F.lit(0).cast("long"), WORDS)
+        every = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+        own = every.join(blocks, ["id", "block"], "left").withColumn("words", F.coalesce("words", none))
+        width = F.when(F.col("block") == last, n_runs - last * 64 * WORDS).otherwise(64 * WORDS)
+        own = own.withColumn("count", width - F.coalesce("ones", F.lit(0)))
+        order = -F.col("block")
+        places = F.reverse(F.filter(set_bits(F.transform("words", lambda w: F.bitwise_not(w))), lambda i: i < width))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = own.withColumn("take", F.col("length") - before).where((F.col("take") > 0) & (F.col("count") > 0))
+    rows = taken.select(*sized.columns, F.explode(F.slice(places, F.lit(1), F.least(F.col("take"), F.lit(64 * WORDS)).cast("int"))).alias("i"), "block")
+    numbered = rows.select(*sized.columns, (F.col("block") * (64 * WORDS) + F.col("i")).alias("number"))
+    return numbered.join(freq, "number").withColumn("side", F.lit(name))
+
+
+def correlated_pairs(maps: Bitmaps, ids: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
+    """Pairs of distinct 0/1 vectors with Pearson correlation above ``threshold`` and below 1; ``ids``: one of equal vectors.
 
     For shares p and q of ones, a correlation above t needs q between two bounds around p
     (Xiong et al. 2004), and an overlap of at least the lower bound. That gives the prefix
     length of a set join. A pair is found through ones or through zeros, whichever it has fewer
-    of, so tests that nearly always pass are matched on their rare failures.
+    of, so tests that nearly always pass are matched on their rare failures. Prefixes are rows, and pairs
+    are verified block by block, so no row holds all runs of a vector. Runs in more than ``hot`` prefixes are used in
+    pairs, as in :func:`_keys`.
     """
-    n_runs = runs.select("run").distinct().count()
-    if n_runs == 0:
-        return vectors.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("r")).limit(0)
+    n_runs = maps.n_runs
+    blocks = maps.blocks.join(ids, "id", "left_semi")
+    sizes = cut(blocks.groupBy("id").agg(F.sum("ones").alias("s")).where(f"s > 0 AND s < {n_runs}"))
+    none = sizes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("r")).limit(0)
+    if n_runs == 0 or sizes.isEmpty():
+        return none
     n, t2 = F.lit(float(n_runs)), F.lit(float(threshold) ** 2)
-    vectors = cut(
-        vectors.select("id", "ones", F.size("ones").alias("s")).where((F.col("s") > 0) & (F.col("s") < n))
-    )
-    all_runs = runs.select("run").distinct().agg(F.collect_set("run")).scalar()
+    total = blocks.select("id").distinct().count()
     p = F.col("size") / n
     low = t2 * p / (F.lit(1.0) - p + t2 * p)  # least share of a partner
     high = p / (p + t2 * (F.lit(1.0) - p))  # greatest share of a partner
 
-    def side(name: str, sets: DataFrame) -> DataFrame:
+    def side(name: str) -> DataFrame:
         # a side is used by pairs with at most as many elements here as on the other side
-        sized = sets.withColumn("size", F.size("tokens")).where(p + low <= 1.0 + 1e-9)
-        ordered = cut(_rarest_first(sized, "tokens").withColumn("size", F.size("sorted")))
-        keep = F.greatest(F.lit(1), F.ceil(n * low - F.lit(1e-9)).cast("int"))
-        prefix = _keys(ordered, keep, hot)
-        return prefix.withColumns({"side": F.lit(name), "low": n * low, "high": n * high})
-
-    ones = side("ones", vectors.select("id", F.col("ones").alias("tokens")))
-    zeros = side("zeros", vectors.select("id", F.array_except(all_runs, F.col("ones")).alias("tokens")))
-    prefixes = ones.unionByName(zeros)
-    left = prefixes.select("side", "key", F.col("id").alias("a"), F.col("size").alias("sa"), "low", "high")
-    right = prefixes.select("side", "key", F.col("id").alias("b"), F.col("size").alias("sb"))
-    total = F.col("sa") + F.col("sb")
-    found = (
-        left.join(right, ["side", "key"])
+        size = F.col("s") if name == "ones" else F.lit(n_runs) - F.col("s")
+        sized = sizes.select("id", size.alias("size")).where(p + low <= 1.0 + 1e-9)
+        keep = F.greatest(F.lit(1), F.ceil(n * low - F.lit(1e-9)).cast("long"))
+        sized = sized.withColumns({"keep": keep, "low": n * low, "high": n * high})
+        count = F.col("ones") if name == "ones" else F.lit(total) - F.col("ones")
+        freq = maps.runs.select("number", count.alias("n"))
+        more = 1 if freq.where(F.col("n") > hot).isEmpty() else 2
+        sized = sized.withColumn("length", F.least(F.col("size"), F.col("size") - F.col("keep") + more))
+        return _prefix(blocks, sized, name, n_runs, freq)
+
+    prefix = cut(side("ones").unionByName(side("zeros")))
+    common = F.col("n") > hot
+    own = ("side", "id", "size", "low", "high")
+    alone = prefix.where(~common | (F.col("keep") == 1)).select(*own, F.col("number").alias("key"), F.lit(-1).cast("long").alias("other"))
+    hots = prefix.where(common)
+    seconds = hots.select("side", "id", F.col("number").alias("other"))
+    twos = hots.join(seconds, ["side", "id"]).where("number < other").select(*own, F.col("number").alias("key"), "other")
+    keys = alone.unionByName(twos)
+    left = keys.select("side", "key", "other", F.col("id").alias("a"), F.col("size").alias("sa"), "low", "high")
+    right = keys.select("side", "key", "other", F.col("id").alias("b"), F.col("size").alias("sb"))
+    both_sizes = F.col("sa") + F.col("sb")
+    found = cut(
+        left.join(right, ["side", "key", "other"])
         .where(
             (F.col("a") < F.col("b"))
             & F.col("sb").between(F.col("low") - 1e-6, F.col("high") + 1e-6)
-            & F.when(F.col("side") == "ones", total <= n).otherwise(total < n)
+            & F.when(F.col("side") == "ones", both_sizes <= n).otherwise(both_sizes < n)
         )
         .select("a", "b")
         .distinct()
     )
-    va = vectors.select(F.col("id").alias("a"), F.col("ones").alias("oa"), F.col("s").alias("xa"))
-    vb = vectors.select(F.col("id").alias("b"), F.col("ones").alias("ob"), F.col("s").alias("xb"))
-    xa, xb = F.col("xa").cast("double"), F.col("xb").cast("double")
-    both = F.size(F.array_intersect("oa", "ob"))
+    shared = (
+        found.join(blocks.select(F.col("id").alias("a"), "block", F.col("words").alias("wa")), "a")
+        .join(blocks.select(F.col("id").alias("b"), "block", F.col("words").alias("wb")), ["b", "block"])
+        .groupBy("a", "b").agg(F.sum(_ones(F.zip_with("wa", "wb", lambda x, y: x.bitwiseAND(y)))).alias("both"))
+    )
+    xa, xb, both = F.col("xa").cast("double"), F.col("xb").cast("double"), F.col("both")
     r = (n * both - xa * xb) / F.sqrt((n * xa - xa * xa) * (n * xb - xb * xb))
     return (
-        found.join(va, "a").join(vb, "b")
+        shared.join(sizes.select(F.col("id").alias("a"), F.col("s").alias("xa")), "a")
+        .join(sizes.select(F.col("id").alias("b"), F.col("s").alias("xb")), "b")
         .where(~((both == F.col("xa")) & (both == F.col("xb"))))  # identical: exactly 1
         .select("a", "b", r.alias("r"))
         .where(F.col("r") > F.lit(float(threshold)))

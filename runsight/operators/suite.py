@@ -109,23 +109,27 @@ def coverage_groups(coverage: DataFrame, threshold: float = MAX_REDUNDANCY) -> G
     return Groups(groups, shared)
 
 
-def result_sets(history: DataFrame) -> DataFrame:
+class ResultSets(NamedTuple):
+    """``sets``: test_id and set_id, the first test of equal results; their bitmaps over runs."""
+
+    sets: DataFrame
+    maps: setjoin.Bitmaps
+
+
+def result_sets(history: DataFrame) -> ResultSets:
     """Runs each test passed (any pass in a run counts), with the first test of equal results.
 
     A test that never passed has no variance and correlates with nothing, so it is left out.
     """
-    passed = history.where(F.col("status") == "PASS").groupBy("test_id").agg(
-        F.array_sort(F.collect_set("execution_id")).alias("ones")
-    )
-    keyed = cut(passed.withColumn("_key", F.sha2(F.array_join("ones", "\n"), 256)))
-    first = keyed.groupBy("_key").agg(F.min("test_id").alias("set_id"))
-    return keyed.join(first, "_key").drop("_key")
+    passed = history.where(F.col("status") == "PASS").select(F.col("test_id").alias("id"), F.col("execution_id").alias("run"))
+    maps = setjoin.bitmaps(passed, history.select(F.col("execution_id").alias("run")))
+    sets = setjoin.first_of_equal(maps).select(F.col("id").alias("test_id"), F.col("first").alias("set_id"))
+    return ResultSets(cut(sets), maps)
 
 
-def result_correlation(sets: DataFrame, history: DataFrame, threshold: float = MAX_REDUNDANCY) -> DataFrame:
+def result_correlation(found: ResultSets, threshold: float = MAX_REDUNDANCY) -> DataFrame:
     """Pairs of different result vectors correlated above the threshold, by their first tests."""
-    distinct = sets.where(F.col("test_id") == F.col("set_id")).select(F.col("set_id").alias("id"), "ones")
-    return setjoin.correlated_pairs(distinct, history.select(F.col("execution_id").alias("run")), threshold)
+    return setjoin.correlated_pairs(found.maps, found.sets.select(F.col("set_id").alias("id")).distinct(), threshold)
 
 
 def result_groups(history: DataFrame, threshold: float = MAX_REDUNDANCY) -> Groups:
@@ -133,8 +137,8 @@ def result_groups(history: DataFrame, threshold: float = MAX_REDUNDANCY) -> Grou
 
     Copies of a leader lead a group each, with the same other tests, which are kept once.
     """
-    sets = cut(result_sets(history))
-    pairs = cut(result_correlation(sets, history, threshold))
+    found = result_sets(history)
+    sets, pairs = found.sets, cut(result_correlation(found, threshold))
     joined = setjoin.members(pairs).withColumnRenamed("id", "leader")
     near = pairs.select(F.col("a").alias("leader"), F.col("b").alias("set_id")).unionByName(
         pairs.select(F.col("b").alias("leader"), F.col("a").alias("set_id"))

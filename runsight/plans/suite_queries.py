@@ -108,8 +108,7 @@ SELECT a, b, round(r, 6) AS r FROM correlated
 JOIN vectors x ON x.test_id = a JOIN vectors y ON y.test_id = b
 WHERE a < b AND x.set_id = a AND y.set_id = b""")
 def result_correlation(t):
-    history = t.view("history_blocks")
-    return rounded(suite.result_correlation(suite.result_sets(history), history))
+    return rounded(suite.result_correlation(suite.result_sets(t.view("history_blocks"))))
 
 
 _RESULT_EDGES = "SELECT a AS id, b AS other FROM correlated"

@@ -107,20 +107,39 @@ def test_jaccard_pairs(spark, threshold, hot):
     assert {(r["a"], r["b"]) for r in setjoin.jaccard_pairs(df, threshold, hot).collect()} == want
 
 
-@pytest.mark.parametrize("threshold,hot", [(0.5, 100), (0.5, 4), (0.8, 100), (0.8, 0)])
-def test_correlated_pairs(spark, threshold, hot):
+@pytest.mark.parametrize("threshold,hot,runs,words", [
+    (0.5, 100, 24, 64), (0.5, 4, 24, 64), (0.8, 100, 24, 64), (0.8, 0, 24, 64), (0.5, 100, 200, 1), (0.6, 12, 150, 1), (0.6, 100, 128, 1)])
+def test_correlated_pairs(spark, monkeypatch, threshold, hot, runs, words):
+    monkeypatch.setattr(setjoin, "WORDS", words)  # few words, so vectors have several blocks
     rng = np.random.default_rng(5)
-    base = rng.random((6, 24)) < rng.choice([0.1, 0.5, 0.9], (6, 1))
-    flips = rng.random((60, 24)) < 0.05
-    vectors = {tuple(v) for v in (base[np.arange(60) % 6] ^ flips).astype(int)}
+    base = rng.random((6, runs)) < rng.choice([0.1, 0.5, 0.9], (6, 1))
+    flips = rng.random((60, runs)) < 0.05
+    vectors = {tuple(v) for v in (base[np.arange(60) % 6] ^ flips).astype(int)} | {(1,) * runs, (1,) + (0,) * (runs - 1)}
     vectors = [(i, v) for i, v in enumerate(vectors)]
     want = {
-        (i, j) for i, a in vectors for j, b in vectors
-        if i < j and 0 < sum(a) < 24 and 0 < sum(b) < 24 and np.corrcoef(a, b)[0, 1] > threshold + 1e-12
+        (i, j): np.corrcoef(a, b)[0, 1] for i, a in vectors for j, b in vectors
+        if i < j and 0 < sum(a) < runs and 0 < sum(b) < runs and np.corrcoef(a, b)[0, 1] > threshold + 1e-12
     }
-    df = frame(spark, [(i, [k for k, x in enumerate(v) if x]) for i, v in vectors], "id long, ones array<long>")
-    runs = spark.range(24).withColumnRenamed("id", "run")
-    assert want and {(r["a"], r["b"]) for r in setjoin.correlated_pairs(df, runs, threshold, hot).collect()} == want
+    cells = frame(spark, [(i, k) for i, v in vectors for k, x in enumerate(v) if x], "id long, run long")
+    maps = setjoin.bitmaps(cells.union(cells.limit(5)), spark.range(runs).withColumnRenamed("id", "run"))
+    assert maps.n_runs == runs and {(r["id"], r["s"]) for r in maps.blocks.groupBy("id").agg(F.sum("ones").alias("s")).collect()} == {
+        (i, sum(v)) for i, v in vectors if any(v)}
+    got = {(r["a"], r["b"]): r["r"] for r in setjoin.correlated_pairs(maps, frame(spark, [(i,) for i, _ in vectors], "id long"), threshold, hot).collect()}
+    assert want and got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_equal_vectors_have_one_first(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "WORDS", 1)
+    sets = {1: {0, 150}, 2: {0, 150}, 3: {0}, 4: {150}, 5: {0, 150}, 6: {0}}
+    cells = frame(spark, [(i, k) for i, s in sets.items() for k in s], "id long, run long")
+    first = setjoin.first_of_equal(setjoin.bitmaps(cells, spark.range(200).withColumnRenamed("id", "run")))
+    assert {r["id"]: r["first"] for r in first.collect()} == {1: 1, 2: 1, 5: 1, 3: 3, 6: 3, 4: 4}
+
+
+def test_no_runs(spark):
+    none = frame(spark, [], "id long, run long")
+    maps = setjoin.bitmaps(none, none.select("run"))
+    assert setjoin.correlated_pairs(maps, none.select("id"), 0.8).count() == 0
 
 
 @pytest.mark.parametrize("seed,rounds", [(1, 4), (2, 1), (3, 0)])
