@@ -1,8 +1,10 @@
 """Exact k nearest neighbours without comparing every pair.
 
-Training rows are put into cells around centres (Lu et al. 2012). For a query, distances to the
-centres bound its k-th neighbour from above and each cell's members from below, so most cells are
-skipped. What is left is compared in blocks of bounded size, and each block returns k rows.
+Training rows are put into cells around centres (Lu et al. 2012), and a cell into blocks by distance to its centre, each
+a ring of a bounded number of rows. Distances to the centres bound a query's k-th neighbour from above, and the rows of a
+ring from below. A query is first compared with the ring it lies in, which gives a close k-th distance, and then only with
+the rings that can hold a nearer row. A ring is sent once for as many queries as it may have rows, so what is shuffled is
+linear in training rows and compared queries. The number of cells grows with the data.
 """
 
 from __future__ import annotations
@@ -11,99 +13,153 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from runsight.operators.ordering import rank_within
 from runsight.session import cut
 
-BLOCK_ROWS = 20_000
+#: Rows of a block, rows of a cell that decide the number of cells, and bounds on what is sent to all tasks.
+BLOCK_ROWS, CELL_ROWS = 20_000, 2_000
+MAX_CELLS, MAX_BLOCKS = 2_048, 200_000
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0))
 
 
-def knn_neighbours(
-    train: DataFrame, queries: DataFrame, k: int = 5, cells: int = 16, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """(``qid``, ``id``, ``y``, ``distance``) of the k nearest; ties go to the smaller id.
+def _in_steps(a: np.ndarray, b: np.ndarray):
+    """(rows of a, their distances to b), some at a time."""
+    step = max(1, 2_000_000 // max(1, b.size))
+    for i in range(0, len(a), step):
+        yield slice(i, i + step), _distances(a[i:i + step], b)
 
-    ``train``: ``id`` (long), ``features`` (array of double), ``y``; ``queries``: ``qid`` (long), ``features``.
-    """
-    ready = cut(train.select("id", "features", F.col("y").cast("double").alias("y")))
-    vectors = ready.withColumn("_v", array_to_vector("features"))
-    model = KMeans(k=cells, featuresCol="_v", predictionCol="cell", seed=42, maxIter=10).fit(vectors)
-    centres = np.array(model.clusterCenters())  # as many as there are cells
 
-    @F.pandas_udf("double")
-    def to_centre(features: pd.Series, cell: pd.Series) -> pd.Series:
-        points = np.stack(features.to_numpy())
-        return pd.Series(np.sqrt(((points - centres[cell.to_numpy()]) ** 2).sum(axis=1)))
+def _centres(train: DataFrame, cells: int) -> np.ndarray:
+    """Different training points, ``cells`` at most, that a hash of the point chooses."""
+    points = train.select("features").distinct().orderBy(F.xxhash64("features"), "features").limit(cells).collect()
+    return np.array([r["features"] for r in points], dtype=float)
 
-    placed = cut(
-        model.transform(vectors).drop("_v").withColumn("d", to_centre("features", "cell"))
-    )
-    nearest = F.row_number().over(Window.partitionBy("cell").orderBy("d"))
-    sizes = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).collect()}  # a row per cell
-    close: dict[int, list[float]] = {}
-    for r in placed.withColumn("_r", nearest).where(F.col("_r") <= k).select("cell", "d").collect():
-        close.setdefault(r["cell"], []).append(r["d"])  # k rows per cell
-    used = sorted(sizes)
-    radius = np.array([sizes[c][1] for c in used])
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def candidate_cells(features: pd.Series) -> pd.Series:
-        d = _distances(np.stack(features.to_numpy()), centres[used])
-        upper = np.concatenate([d[:, [i]] + np.array(close[c])[None, :] for i, c in enumerate(used)], axis=1)
-        kth = np.sort(upper, axis=1)[:, min(k, upper.shape[1]) - 1]
-        reach = d - radius[None, :] <= kth[:, None] + 1e-9
-        return pd.Series([[used[i] for i in np.flatnonzero(row)] for row in reach])
-
-    # blocks of a cell hold a bounded number of rows on either side
-    spark = train.sparkSession
-    blocks = spark.createDataFrame([(c, math.ceil(sizes[c][0] / block_rows)) for c in used], "cell int, blocks int")
-    parts = max(1, math.ceil(queries.count() / block_rows))
-    left = placed.join(F.broadcast(blocks), "cell").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("cell", "block", "part", "id", "features", "y")
-    right = (
-        queries.select("qid", "features", F.explode(candidate_cells("features")).alias("cell"))
-        .join(F.broadcast(blocks), "cell")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
-        .select("cell", "block", "part", "qid", "features")
-    )
+
+def _blocks(train: DataFrame, centres: np.ndarray, block_rows: int) -> DataFrame:
+    """The training rows with cell, d (distance to its centre) and block."""
+
+    @F.pandas_udf("struct<cell:int,d:double>")
+    def nearest(features: pd.Series) -> pd.DataFrame:
+        points = np.stack(features.to_numpy())
+        cell, d = np.zeros(len(points), dtype=np.int32), np.zeros(len(points))
+        for rows, near in _in_steps(points, centres):
+            cell[rows] = near.argmin(axis=1)
+            d[rows] = near.min(axis=1)
+        return pd.DataFrame({"cell": cell, "d": d})
+
+    placed = train.withColumn("_c", nearest("features")).select("id", "features", "y", "_c.cell", "_c.d")
+    ranked = rank_within(placed, ["cell"], ["d", "id"], "_rank")
+    return cut(ranked.withColumn("block", F.floor((F.col("_rank") - 1) / block_rows).cast("int")).drop("_rank"))
+
+
+class _Rings:
+    """What is known of the blocks: their cells, distances to the centre, and numbers of rows."""
+
+    def __init__(self, blocks: DataFrame, centres: np.ndarray, k: int):
+        rows = blocks.groupBy("cell", "block").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy("cell", "block").collect()
+        self.cell, self.block, self.n = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("cell", "block", "n"))
+        self.lo, self.hi = (np.array([r[c] for r in rows], dtype=float) for c in ("lo", "hi"))
+        self.centres, self.k = centres, k
+
+    def first(self, to_centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The block a query lies in or next to, and a bound on its k-th distance, from its distances to all centres."""
+        d = to_centre[:, self.cell]
+        gap = np.maximum(0, np.maximum(self.lo - d, d - self.hi))
+        own = np.where(d == d.min(axis=1, keepdims=True), gap, np.inf).argmin(axis=1)  # of the nearest cell
+        reach = d + self.hi  # no row of the block is further
+        order = reach.argsort(axis=1)
+        enough = (np.cumsum(self.n[order], axis=1) >= self.k).argmax(axis=1)
+        bound = np.take_along_axis(reach, np.take_along_axis(order, enough[:, None], axis=1), axis=1)[:, 0]
+        return own, np.where(self.n.sum() >= self.k, bound, np.inf)
+
+    def reachable(self, to_centre: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        d = to_centre[:, self.cell]
+        slack = bound[:, None] * (1 + 1e-9) + 1e-9
+        return (d - self.hi <= slack) & (self.lo - d <= slack)
+
+
+def _compared(blocks: DataFrame, asked: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(qid, id, y, distance) of the k nearest rows in the asked (cell, block) of each query."""
+    keys = ["cell", "block"]
+    # a row for each block, MAX_BLOCKS at most
+    parts = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    parts = F.broadcast(cut(parts))
+    left = blocks.join(parts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = asked.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int"))
 
     def best(t: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if t.empty or q.empty:
             return pd.DataFrame({"qid": [], "id": [], "y": [], "distance": []})
         t = t.sort_values("id")
         points, ids, ys, out = np.stack(t["features"]), t["id"].to_numpy(), t["y"].to_numpy(), []
-        step = max(1, 2_000_000 // points.size)
-        for i in range(0, len(q), step):
-            some = q.iloc[i:i + step]
-            d = _distances(np.stack(some["features"]), points)
+        for rows, d in _in_steps(np.stack(q["features"]), points):
             order = np.argsort(d, axis=1, kind="stable")[:, :k]
             out.append(pd.DataFrame({
-                "qid": np.repeat(some["qid"].to_numpy(), order.shape[1]), "id": ids[order].ravel(),
+                "qid": np.repeat(q["qid"].to_numpy()[rows], order.shape[1]), "id": ids[order].ravel(),
                 "y": ys[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel(),
             }))
         return pd.concat(out)
 
-    keys = ("cell", "block", "part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        best, "qid long, id long, y double, distance double"
-    )
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+    names = ("cell", "block", "part")
+    return left.select(*names, "id", "features", "y").groupBy(*names).cogroup(right.select(*names, "qid", "features").groupBy(*names)).applyInPandas(
+        best, "qid long, id long, y double, distance double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))  # k rows of each compared block
     return found.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
 
 
+def knn_neighbours(
+    train: DataFrame, queries: DataFrame, k: int = 5, cells: int | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(``qid``, ``id``, ``y``, ``distance``) of the k nearest; ties go to the smaller id.
+
+    ``train``: ``id`` (long), ``features`` (array of double), ``y``; ``queries``: ``qid`` (long), ``features``.
+    """
+    ready = cut(train.select("id", "features", F.col("y").cast("double").alias("y")))
+    n = ready.count()
+    if n == 0:
+        return ready.select(F.col("id").alias("qid"), "id", "y", F.lit(0.0).alias("distance"))
+    block_rows = max(block_rows, -(-n // MAX_BLOCKS))
+    centres = _centres(ready, cells or min(MAX_CELLS, max(16, math.isqrt(n), n // CELL_ROWS)))
+    blocks = _blocks(ready, centres, block_rows)
+    rings = _Rings(blocks, centres, k)
+
+    @F.pandas_udf("struct<cell:int,block:int,bound:double>")
+    def first(features: pd.Series) -> pd.DataFrame:
+        points = np.stack(features.to_numpy())
+        own, bound = np.zeros(len(points), dtype=np.int64), np.zeros(len(points))
+        for rows, d in _in_steps(points, rings.centres):
+            own[rows], bound[rows] = rings.first(d)
+        return pd.DataFrame({"cell": rings.cell[own].astype(np.int32), "block": rings.block[own].astype(np.int32), "bound": bound})
+
+    @F.pandas_udf("array<struct<cell:int,block:int>>")
+    def others(features: pd.Series, bound: pd.Series, cell: pd.Series, block: pd.Series) -> pd.Series:
+        points, out = np.stack(features.to_numpy()), []
+        c, b = cell.to_numpy(), block.to_numpy()
+        for rows, d in _in_steps(points, rings.centres):
+            reach = rings.reachable(d, bound.to_numpy()[rows])
+            reach &= (rings.cell != c[rows][:, None]) | (rings.block != b[rows][:, None])
+            out += [[{"cell": int(rings.cell[i]), "block": int(rings.block[i])} for i in np.flatnonzero(r)] for r in reach]
+        return pd.Series(out)
+
+    asked = cut(queries.select("qid", "features").withColumn("_f", first("features")).select("qid", "features", "_f.*"))
+    near = cut(_compared(blocks, asked.drop("bound"), k, block_rows))
+    kth = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("kth"))
+    bounded = asked.join(kth, "qid", "left").withColumn("bound", F.least("bound", "kth"))
+    more = cut(bounded.select("qid", "features", F.inline(others("features", "bound", "cell", "block"))))
+    return _best(near.unionByName(_compared(blocks, more, k, block_rows)), k)
+
+
 def knn_predict(
-    train: DataFrame, queries: DataFrame, k: int = 5, weights: str = "uniform", cells: int = 16,
+    train: DataFrame, queries: DataFrame, k: int = 5, weights: str = "uniform", cells: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Probability and label of class 1 by uniform votes, or by votes of one over the distance."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -295,13 +296,38 @@ def optimization_metrics(suite: DataFrame) -> DataFrame:
     })
 
 
+#: Tests whose covers are compared in one round, and rows of the table that the driver then holds.
+CANDIDATES, PATTERNS = 240, 500_000
+
+
+def _patterns(open_files: DataFrame, ids: list) -> tuple[list, DataFrame]:
+    """For the first candidates: how many files each set of them has in common, as (m0, m1, .., n) with 60 candidates a mask.
+
+    Fewer candidates are taken if there are too many different sets; a single one has one set.
+    """
+    take = len(ids)
+    spark, kind = open_files.sparkSession, open_files.schema["test_id"].dataType.simpleString()
+    while True:
+        some = spark.createDataFrame([(t, i) for i, t in enumerate(ids[:take])], f"test_id {kind}, place int")
+        near = open_files.join(F.broadcast(some), "test_id")  # at most CANDIDATES
+        masks = [F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / 60) == i, F.expr("shiftleft(1L, place % 60)"))), F.lit(0).cast("long")).alias(f"m{i}")
+                 for i in range(-(-take // 60))]
+        sets = cut(near.groupBy("file").agg(*masks).groupBy(*[f"m{i}" for i in range(len(masks))]).agg(F.count(F.lit(1)).alias("n")))
+        if take == 1 or sets.count() <= PATTERNS:
+            return ids[:take], sets
+        take = max(1, take // 4)
+
+
 def coverage_subset(
     tests: DataFrame, coverage: DataFrame, count_limit: int | None = None, time_budget: float | None = None,
-    cut_every: int = 5,
+    candidates: int = CANDIDATES,
 ) -> DataFrame:
     """Greedy cover: again and again the test with most new files per second that still fits.
 
-    Each round is one aggregation of what is not yet covered, and takes one row to the driver.
+    A test's gain only falls as files are covered, so gains of an earlier moment are upper bounds. A round counts the gains
+    of all tests, and looks at the best ``candidates`` closely: from the files that sets of them share, the driver
+    follows the greedy rule, and a pick is final as long as it beats the bound of every other test. So a
+    round of few jobs makes many picks, at least one.
     """
     if count_limit is None and time_budget is None:
         raise ValueError("give count_limit or time_budget")
@@ -309,31 +335,65 @@ def coverage_subset(
     seconds = F.col("avg_execution_time") if has_time else F.lit(1.0)
     timed = tests.select("test_id", seconds.cast("double").alias("_t"))
     open_files = cut(coverage.select("test_id", "file").distinct().join(timed, "test_id"))
-    limit = None if time_budget is None else int(round(time_budget * 1_000_000))
+    limit = None if time_budget is None or not has_time else int(round(time_budget * 1_000_000))
     used, chosen = 0, []
-    while count_limit is None or len(chosen) < count_limit:
-        counts = open_files.groupBy("test_id").agg(F.count(F.lit(1)).alias("n"), F.first("_t").alias("_t"))
-        if limit is not None and has_time:
-            counts = counts.where(micros("_t") <= limit - used)
+    most = len(chosen) if count_limit is None else count_limit
+    while count_limit is None or len(chosen) < most:
+        counts = open_files.groupBy("test_id").agg(F.count(F.lit(1)).alias("n"), F.first("_t").alias("_t")).withColumn("c", micros("_t"))
+        if limit is not None:
+            counts = counts.where(F.col("c") <= limit - used)
         score = F.when(F.col("_t") > 0, F.col("n") / F.col("_t")).otherwise(F.col("n").cast("double"))
-        best = counts.agg(
-            F.min_by(F.struct("test_id", "n", micros("_t").alias("c")), F.struct(-score, F.col("test_id")))
-        ).first()[0]
-        if best is None:
+        best = counts.withColumn("score", score).orderBy(F.desc("score"), "test_id").limit(candidates + 1).collect()
+        if not best:
             break
-        chosen.append((len(chosen) + 1, best["test_id"], best["n"]))
-        used += best["c"] if has_time else 0
-        if limit is not None and has_time and used >= limit:
+        ids, sets = _patterns(open_files, [r["test_id"] for r in best[:candidates]])
+        beyond = best[len(ids)] if len(best) > len(ids) else None
+        bound = (-beyond["score"], beyond["test_id"]) if beyond else None
+        first = len(chosen)
+        for place, gain in _greedy(sets, best[:len(ids)], bound, limit, used, None if count_limit is None else most - first):
+            chosen.append((len(chosen) + 1, ids[place], gain))
+            used += best[place]["c"] if has_time else 0
+        if limit is not None and used >= limit:
             break
-        covered = open_files.where(F.col("test_id") == F.lit(best["test_id"])).select("file")
-        open_files = open_files.join(covered, "file", "left_anti")
-        if len(chosen) % cut_every == 0:
-            open_files = cut(open_files)
+        kind = tests.schema["test_id"].dataType.simpleString()
+        new = tests.sparkSession.createDataFrame([(t,) for _, t, _ in chosen[first:]], f"test_id {kind}")
+        covered = open_files.join(F.broadcast(new), "test_id", "left_semi").select("file").distinct()
+        open_files = cut(open_files.join(covered, "file", "left_anti"))
     id_type = tests.schema["test_id"].dataType.simpleString()
     picks = tests.sparkSession.createDataFrame(chosen, f"place int, test_id {id_type}, new_files long")
     return picks.join(tests, "test_id")
 
 
+def _greedy(sets: DataFrame, rows: list, bound: tuple | None, limit: int | None, used: int, most: int | None):
+    """(place, new files) of the picks among ``rows`` that are final: none of them is worse than ``bound``."""
+    table = sets.toArrow()  # at most PATTERNS rows
+    n = table.column("n").to_numpy()
+    masks = np.stack([table.column(c).to_numpy() for c in table.column_names if c != "n"], axis=1)
+    has = [(masks[:, i // 60] >> (i % 60)) & 1 == 1 for i in range(len(rows))]
+    left, live = np.ones(len(n), dtype=bool), set(range(len(rows)))
+    while live and (most is None or most > 0):
+        best = None
+        for i in live:
+            if limit is not None and rows[i]["c"] > limit - used:
+                continue
+            gain = int(n[has[i] & left].sum())
+            if gain:
+                t = rows[i]["_t"]
+                key = (-(gain / t if t is not None and t > 0 else float(gain)), rows[i]["test_id"])
+                if best is None or key < best[0]:
+                    best = (key, i, gain)
+        if best is None or (bound is not None and best[0] > bound):
+            return
+        _, i, gain = best
+        yield i, gain
+        left &= ~has[i]
+        live.discard(i)
+        used += rows[i]["c"] if limit is not None else 0
+        most = None if most is None else most - 1
+        if limit is not None and used >= limit:
+            return
+
+
 def heuristic_subset(
     tests: DataFrame, time_budget: float | None = None, count_limit: int | None = None
 ) -> DataFrame:
@@ -355,30 +415,60 @@ def heuristic_subset(
 def dependency_levels(tests: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Level of each test: one more than the highest of what it needs; a cycle gives level 0 to all.
 
-    Each round frees the tests whose needs all have a level, so there are as many rounds as levels.
+    A test with one open need has a level max(base, level of the need + steps), and such rules compose. So in a round, needs with a
+    known level become part of the base, chains of tests with one open need are shortened by doubling to what lies
+    at their end, and needs that are part of a chain are replaced by its end. Chains and trees of any depth take a number
+    of jobs that is logarithmic in it; only tests that keep several open needs wait for a level a round.
     """
     ids = tests.select("test_id").distinct()
     edges = cut(
         dependencies.select("test_id", "dep").distinct()
         .join(ids, "test_id", "left_semi")
         .join(ids.withColumnRenamed("test_id", "dep"), "dep", "left_semi")
+        .select("test_id", "dep", F.lit(1).alias("steps"))
     )
-    waiting = edges.select("test_id").distinct()
-    free, level = ids.join(waiting, "test_id", "left_anti"), 0
-    levels = free.withColumn("level", F.lit(0))
+    waiting = cut(edges.select("test_id").distinct().withColumn("base", F.lit(0)))
+    new = cut(ids.join(waiting, "test_id", "left_anti").withColumn("level", F.lit(0)))
+    levels = new
     while not edges.isEmpty():
-        # everything else in a round is a short plan over this and the round before
-        edges = cut(edges.join(free.withColumnRenamed("test_id", "dep"), "dep", "left_anti"))
+        if new.isEmpty():
+            return ids.withColumn("level", F.lit(0))
+        known = new.select(F.col("test_id").alias("dep"), "level")
+        based = edges.join(known, "dep").groupBy("test_id").agg(F.max(F.col("level") + F.col("steps")).alias("b"))
+        edges = cut(edges.join(known, "dep", "left_anti"))
+        waiting = waiting.join(based, "test_id", "left").select("test_id", F.greatest("base", "b").alias("base"))
         still = edges.select("test_id").distinct()
-        free = waiting.join(still, "test_id", "left_anti")
-        if free.isEmpty():
+        new = cut(waiting.join(still, "test_id", "left_anti").withColumnRenamed("base", "level"))
+        waiting = cut(waiting.join(still, "test_id", "left_semi"))
+        levels = levels.unionByName(new)
+        if edges.isEmpty():
+            break
+        short = _shortened(edges, waiting)
+        if short is None:
             return ids.withColumn("level", F.lit(0))
-        level += 1
-        levels = levels.unionByName(free.withColumn("level", F.lit(level)))
-        waiting = still
+        end = short.select(F.col("test_id").alias("dep"), F.col("dep").alias("end"), F.col("base").alias("b"), F.col("steps").alias("more"))
+        own = edges.join(short.select("test_id"), "test_id", "left_anti").join(end, "dep", "left")
+        passed = own.groupBy("test_id").agg(F.max(F.col("b") + F.col("steps")).alias("b")).unionByName(short.select("test_id", F.col("base").alias("b")))
+        waiting = cut(waiting.join(passed, "test_id", "left").select("test_id", F.greatest("base", "b").alias("base")))
+        longer = own.select("test_id", F.coalesce("end", "dep").alias("dep"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        edges = cut(longer.unionByName(short.select("test_id", "dep", "steps")).groupBy("test_id", "dep").agg(F.max("steps").alias("steps")))
     return levels
 
 
+def _shortened(edges: DataFrame, waiting: DataFrame) -> DataFrame | None:
+    """(test_id, dep, base, steps) of tests with one open need, followed to a test that is not one of them; None for a cycle."""
+    one = edges.groupBy("test_id").agg(F.count(F.lit(1)).alias("n"), F.first("dep").alias("dep"), F.first("steps").alias("steps")).where("n = 1")
+    short = cut(one.join(waiting, "test_id").select("test_id", "dep", "base", "steps"))
+    for _ in range(short.count().bit_length() + 2):
+        next_ = short.select(F.col("test_id").alias("dep"), F.col("dep").alias("end"), F.col("base").alias("b"), F.col("steps").alias("more"))
+        if short.join(next_, "dep", "left_semi").isEmpty():
+            return short
+        short = cut(short.join(next_, "dep", "left").select(
+            "test_id", F.coalesce("end", "dep").alias("dep"), F.greatest(F.col("base"), F.col("b") + F.col("steps")).alias("base"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    return None
+
+
 def order_score(tests: DataFrame) -> DataFrame:
     """Failure rate, with short time if there are times."""
     score = F.col("recent_failure_rate")

@@ -197,23 +197,82 @@ def test_dependency_cycle_and_levels(spark):
     assert {r["level"] for r in suite.dependency_levels(tests, cycle).collect()} == {0}
 
 
-def test_greedy_cover_within_budget(spark):
-    rng = random.Random(7)
-    cover = {t: set(rng.sample(range(30), rng.randint(1, 12))) for t in range(15)}
-    times = {t: rng.choice([0.0, 1.0, 2.5, 4.0]) for t in cover}
+def test_deep_chains_and_mixed_graphs(spark):
+    """Levels by doubling: a chain of 100,000 tests in few jobs, and random graphs against the sequential rule."""
+    spark.sparkContext.setJobGroup("chain", "")
+    n = 100_000
+    chain = spark.range(1, n).select(F.col("id").alias("test_id"), (F.col("id") - 1).alias("dep"))
+    out = suite.dependency_levels(spark.range(n).withColumnRenamed("id", "test_id"), chain)
+    assert out.where("level <> test_id").count() == 0 and out.count() == n
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 400
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for seed in range(4):
+        rng = random.Random(seed)
+        needs = {i: {rng.randrange(max(0, i - 4), i) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))} if i else set() for i in range(70)}
+        level = {}
+        for i in needs:
+            level[i] = max((level[d] + 1 for d in needs[i]), default=0)
+        edges = [(i, d) for i, ds in needs.items() for d in ds]
+        tests = spark.createDataFrame([(i,) for i in needs], "test_id long")
+        got = suite.dependency_levels(tests, spark.createDataFrame(edges, "test_id long, dep long"))
+        assert {r["test_id"]: r["level"] for r in got.collect()} == level
+        back = edges + [(min(needs), max(i for i in needs if level[i] > 0))] if seed % 2 else edges + [(5, 5)]
+        got = suite.dependency_levels(tests, spark.createDataFrame(back, "test_id long, dep long"))
+        cyclic = has_cycle(back)
+        assert {r["level"] for r in got.collect()} == {0} if cyclic else True
+
+
+def has_cycle(edges) -> bool:
+    left = set(edges)
+    while True:
+        waiting = {t for t, _ in left}
+        rest = {(t, d) for t, d in left if d in waiting}
+        if rest == left:
+            return bool(left)
+        left = rest
+
+
+def plain_cover(cover, times, count, budget):
     left, done, used, want = dict(cover), set(), 0.0, []
-    while used < 9:
-        fits = [(len(f - done) / times[t] if times[t] else len(f - done), -t) for t, f in left.items() if used + times[t] <= 9]
-        if not fits or max(fits)[0] <= 0:
-            break
-        pick = -max(fits)[1]
-        want.append(pick)
+    while count is None or len(want) < count:
+        fits = [(-(len(f - done) / times[t] if times[t] else len(f - done)), t) for t, f in left.items()
+                if (budget is None or used + times[t] <= budget) and f - done]
+        if not fits or (budget is not None and used >= budget):
+            return want
+        pick = min(fits)[1]
+        want.append((pick, len(left[pick] - done)))
         done |= left.pop(pick)
         used += times[pick]
+    return want
+
+
+@pytest.mark.parametrize("count,budget,candidates", [(None, 9.0, 4), (None, 40.0, 240), (7, None, 3), (300, None, 70), (12, 11.0, 1)])
+def test_greedy_cover(spark, count, budget, candidates):
+    rng = random.Random(7)
+    cover = {t: set(rng.sample(range(160), rng.randint(1, 25))) for t in range(90)}
+    times = {t: rng.choice([0.0, 1.0, 2.5, 4.0]) for t in cover}
     tests = spark.createDataFrame(list(times.items()), "test_id long, avg_execution_time double")
-    coverage = spark.createDataFrame([(t, str(f)) for t, fs in cover.items() for f in fs], "test_id long, file string")
-    out = suite.coverage_subset(tests, coverage, time_budget=9.0, cut_every=2)
-    assert [r["test_id"] for r in out.orderBy("place").collect()] == want
+    coverage = spark.createDataFrame([(t, str(f)) for t, fs in cover.items() for f in fs] * 2, "test_id long, file string")
+    out = suite.coverage_subset(tests, coverage, count, budget, candidates)
+    assert [(r["test_id"], r["new_files"]) for r in out.orderBy("place").collect()] == plain_cover(cover, times, count, budget)
+
+
+def test_a_thousand_picks_share_jobs(spark, monkeypatch):
+    rng = random.Random(3)
+    cover = {t: {rng.randrange(20_000) for _ in range(rng.randint(5, 60))} for t in range(1500)}
+    tests = spark.createDataFrame([(t,) for t in cover], "test_id long")
+    coverage = spark.createDataFrame([(t, f) for t, fs in cover.items() for f in fs], "test_id long, file long")
+    spark.sparkContext.setJobGroup("picks", "")
+    out = suite.coverage_subset(tests, coverage, 1000).orderBy("place").collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("picks"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r["test_id"], r["new_files"]) for r in out] == plain_cover(cover, dict.fromkeys(cover, 1.0), 1000, None)
+    assert jobs < 500, jobs
+
+
+def test_few_patterns_are_held(spark, monkeypatch):
+    monkeypatch.setattr(suite, "PATTERNS", 5)
+    test_greedy_cover(spark, 10, None, 60)
 
 
 def test_suffix_matching(spark):
@@ -281,6 +340,34 @@ def test_knn_blocks_equal_brute_force(spark, weights):
         assert out[i] == pytest.approx((w * y[near]).sum() / w.sum())
 
 
+def test_knn_shuffles_rows_in_proportion(spark, monkeypatch):
+    """On clustered data a query is compared with few rings, however many there are, and no ring is sent for every query part."""
+    rng = np.random.default_rng(2)
+    compared = []
+    whole = knn._compared
+
+    def watched(blocks, asked, k, block_rows):
+        rows = asked.groupBy("cell", "block").agg(F.ceil(F.count("*") / block_rows).alias("parts")).join(blocks, ["cell", "block"])
+        compared.append((asked.count(), rows.agg(F.sum("parts")).first()[0] or 0))
+        return whole(blocks, asked, k, block_rows)
+
+    monkeypatch.setattr(knn, "_compared", watched)
+    totals = []
+    for n in (3000, 6000):
+        centres = rng.normal(size=(40, 3)) * 100
+        x = centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 3))
+        train = spark.createDataFrame([(i, [float(v) for v in r], i % 2) for i, r in enumerate(x)], "id long, features array<double>, y int")
+        asked = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[:n // 3] + 0.1)], "qid long, features array<double>")
+        got = knn.knn_neighbours(train, asked, 4, block_rows=50).groupBy("qid").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+        for r in got[:60]:
+            d = np.sqrt(((x - (x[r["qid"]] + 0.1)) ** 2).sum(axis=1))
+            assert r["ids"] == sorted(np.lexsort((np.arange(n), d))[:4].tolist())
+        totals.append(sum(a + b for a, b in compared))
+        compared.clear()
+        assert len(got) == n // 3
+    assert totals[1] < 2.6 * totals[0]
+
+
 def test_models_learn_and_store(spark, tmp_path):
     df = spark.range(200).select(
         "id", (F.col("id") % 2).cast("int").alias("y"), ((F.col("id") % 2) * 3 + F.rand(1)).alias("a"), F.rand(2).alias("b")
