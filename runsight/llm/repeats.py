@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsight.llm.common import arrow_schema, bit_filter, key_groups, may_be_in, per_batch, small_batches, texts_of, written
+from runsight.llm.common import arrow_schema, bit_filter, drop_written, key_groups, may_be_in, per_batch, small_batches, texts_of, written
 
 _RNG = np.random.Generator(np.random.PCG64(20))
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)  # a fixed random number for each byte
@@ -192,7 +192,7 @@ def _hashed():
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.hash("text").alias("t"))
+    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("text").alias("t"))
 
 
 def all_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -203,7 +203,7 @@ def all_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 "t": np.repeat(batch.column("t").to_numpy(), n), "at": np.concatenate([f[1] for f in found]).astype(np.int64),
                 "n": np.concatenate([f[2] for f in found]).astype(np.int32)}
 
-    return per_batch(keyed(docs).select("text", *_KEY), run, "h long, d long, t int, at long, n int")
+    return per_batch(keyed(docs).select("text", *_KEY), run, "h long, d long, t long, at long, n int")
 
 
 def shared_anchors(found: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def shared_anchors(found: DataFrame) -> DataFrame:
 def pieces_of(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     """The shared anchors with a hash of their piece, and the piece itself where a task has it first."""
     per_doc = shared.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "n", "h")).alias("anchors"))  # bounded by the text
-    schema = "h long, c long, d long, t int, at long, piece binary"
+    schema = "h long, c long, d long, t long, at long, piece binary"
     small_batches(docs.sparkSession)
     arrow = arrow_schema(docs, schema)
 
@@ -314,7 +314,7 @@ def repeats_by_window(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 64, unit: int = 40, shards: int = 4, most: int = 20_000) -> DataFrame:
-    """(d, t, spans): per document with any, the byte intervals [lo, hi) of strings that start elsewhere too.
+    """(d, t, spans): per document with any, the byte intervals [lo, hi) of strings that start elsewhere too; they may overlap.
 
     ``most``: different pieces of one anchor that are merged in one task; anchors with more are resolved by window.
     """
@@ -323,7 +323,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 64, unit: int
     small_batches(docs.sparkSession)
     found = written(all_anchors(docs, length, gram), "anchors")
     shared = written(shared_anchors(found), "shared-anchors")
+    drop_written(found)
     places = written(pieces_of(docs, shared, length), "pieces")
+    drop_written(shared)
     pieces = places.groupBy("h", "c").agg(F.first("piece", ignorenulls=True).alias("piece"), F.count("*").alias("weight"))
     pieces = written(pieces, "distinct-pieces")
     large = pieces.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > most).select("h")
@@ -331,7 +333,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 64, unit: int
     runs = runs.union(repeats_by_window(pieces.join(large, "h", "left_semi"), length))
     spans = places.drop("piece").join(runs, ["h", "c"]).select(*_KEY, F.transform("runs", lambda r: F.struct(
         (F.col("at") + r["lo"]).alias("lo"), (F.col("at") + r["hi"] + length).alias("hi"))).alias("spans"))
-    return spans.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))  # bounded by the text
+    spans = written(spans.groupBy(*_KEY).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")  # bounded by the text
+    drop_written(places, pieces)
+    return spans
 
 
 def union(spans: list[dict]) -> list[tuple[int, int]]:
@@ -347,7 +351,7 @@ def union(spans: list[dict]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """doc_id, removed array<struct<lo, hi>> in bytes, and kept, the remaining bytes; options as of repeated_spans."""
-    spans = written(repeated_spans(docs, **options), "spans")
+    spans = repeated_spans(docs, **options)
     texts = keyed(docs)
     bits = bit_filter(spans.select(_hashed()))
     some = texts.filter(may_be_in(bits, texts, _hashed())).join(spans, list(_KEY), "left")
