@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from runsight.llm.common import ddl, per_batch, small_batches, written
 
+#: Tasks of the second pass, and rows of the table of buckets that is broadcast.
+MOST_TASKS = 100_000
 _OWN = ("shard", "bucket", "slot", "size", "text_crc32", "law", "grown_shard", "place")
 
 
@@ -39,11 +41,17 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
-def scatter(docs: DataFrame, shards: int, bucket_mb: int, seed: int) -> DataFrame:
+def buckets_of_shard(docs: DataFrame, shards: int, bucket_mb: int) -> int:
+    """So many that a bucket has ``bucket_mb`` of texts and other columns."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) if t in ("long", "bigint", "int", "double")
+             else F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c, t in docs.dtypes]
+    total = docs.agg(F.sum(sum((x.cast("long") for x in sizes), F.lit(32)))).first()[0] or 0
+    return max(1, -(-total // (bucket_mb << 20) // shards))
+
+
+def scatter(docs: DataFrame, shards: int, per_shard: int, seed: int) -> DataFrame:
     """The rows with shard, grown_shard (with one more shard) and bucket."""
     own = docs.drop(*_OWN)
-    total = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()[0] or 0
-    per_shard = max(1, -(-total // (bucket_mb << 20) // shards))
 
     columns = own.columns + ["bucket"]
 
@@ -68,10 +76,11 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
     return order
 
 
-def shuffle_shards(docs: DataFrame, shards: int = 16, bucket_mb: int = 32, seed: int = 7) -> DataFrame:
-    """All rows with shard, slot (gapless from 0 in a shard) and grown_shard, written shard by shard."""
+def shuffled_buckets(docs: DataFrame, shards: int, bucket_mb: int, seed: int) -> DataFrame:
+    """All rows with shard, bucket, place in the bucket and grown_shard, written bucket by bucket: the one shuffle of texts."""
     small_batches(docs.sparkSession)
-    scattered = scatter(docs, shards, bucket_mb, seed)
+    per_shard = buckets_of_shard(docs.drop(*_OWN), shards, bucket_mb)
+    scattered = scatter(docs, shards, per_shard, seed)
 
     def shuffle(table: pa.Table) -> pa.Table:
         shard, bucket = table.column("shard")[0].as_py(), table.column("bucket")[0].as_py()
@@ -81,16 +90,30 @@ def shuffle_shards(docs: DataFrame, shards: int = 16, bucket_mb: int = 32, seed:
         place = np.arange(table.num_rows, dtype=np.int64)
         return table.take(pa.array(order)).append_column("place", pa.array(place))
 
-    shuffled = written(scattered.groupBy("shard", "bucket").applyInArrow(shuffle, ddl(scattered) + ", place long"), "shards")
-    sizes = shuffled.groupBy("shard", "bucket").agg(F.count("*").alias("_n"))  # a row for each bucket
+    dealt = scattered.repartition(min(shards * per_shard, MOST_TASKS), "shard", "bucket")  # a task for a bucket, whatever the shuffle setting
+    return written(dealt.groupBy("shard", "bucket").applyInArrow(shuffle, ddl(scattered) + ", place long"), "shards")
+
+
+def with_slots(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` with slot for bucket and place: a bucket's records stand behind those of the earlier buckets of its shard."""
+    sizes = buckets.groupBy("shard", "bucket").agg(F.count("*").alias("_n"))  # a row for each bucket
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("_start"))
-    return shuffled.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("_start") + F.col("place")).drop("_start", "place", "bucket")
+    starts = written(sizes.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("_start")), "starts")
+    if starts.count() <= MOST_TASKS:  # else a bucket is a row of a large table, and the join is left to Spark
+        starts = F.broadcast(starts)
+    return rows.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("_start") + F.col("place")).drop("_start", "place", "bucket")
+
+
+def shuffle_shards(docs: DataFrame, shards: int = 16, bucket_mb: int = 32, seed: int = 7) -> DataFrame:
+    """All rows with shard, slot (gapless from 0 in a shard) and grown_shard."""
+    shuffled = shuffled_buckets(docs, shards, bucket_mb, seed)
+    return with_slots(shuffled, shuffled)
 
 
-def shard_report(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """Size, crc32 and place of each document, taken from the shuffled records."""
-    placed = shuffle_shards(docs, shards)
+def shard_report(docs: DataFrame, shards: int = 16, bucket_mb: int = 32, seed: int = 7) -> DataFrame:
+    """Size, crc32 and place of each document, taken from the shuffled records; no text is joined."""
+    shuffled = shuffled_buckets(docs, shards, bucket_mb, seed)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    return placed.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-                         F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    rows = shuffled.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+                           "shard", "bucket", "place", "grown_shard")
+    return with_slots(rows, shuffled).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
