@@ -19,7 +19,7 @@ from runsight.operators import setjoin
 from runsight.operators.budget import first_fit, micros
 from runsight.operators.ordering import global_rank, rank_within
 from runsight.operators.scalars import scalar_stats
-from runsight.session import cut
+from runsight.session import cut, stored
 
 # --- fixed values -----------------------------------------------------------
 COVERAGE_WEIGHT, TIME_WEIGHT, FAILURE_WEIGHT, REDUNDANCY_WEIGHT = 0.5, 0.3, 0.2, 0.2
@@ -428,7 +428,7 @@ def dependency_levels(tests: DataFrame, dependencies: DataFrame) -> DataFrame:
         .select("test_id", "dep", F.lit(1).alias("steps"))
     )
     waiting = cut(edges.select("test_id").distinct().withColumn("base", F.lit(0)))
-    new = cut(ids.join(waiting, "test_id", "left_anti").withColumn("level", F.lit(0)))
+    new = stored(ids.join(waiting, "test_id", "left_anti").withColumn("level", F.lit(0)), "levels")
     levels = new
     while not edges.isEmpty():
         if new.isEmpty():
@@ -438,7 +438,7 @@ def dependency_levels(tests: DataFrame, dependencies: DataFrame) -> DataFrame:
         edges = cut(edges.join(known, "dep", "left_anti"))
         waiting = waiting.join(based, "test_id", "left").select("test_id", F.greatest("base", "b").alias("base"))
         still = edges.select("test_id").distinct()
-        new = cut(waiting.join(still, "test_id", "left_anti").withColumnRenamed("base", "level"))
+        new = stored(waiting.join(still, "test_id", "left_anti").withColumnRenamed("base", "level"), "levels")
         waiting = cut(waiting.join(still, "test_id", "left_semi"))
         levels = levels.unionByName(new)
         if edges.isEmpty():
