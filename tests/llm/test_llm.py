@@ -584,7 +584,7 @@ def test_secrets(spark):
     rows = [None, "", "password: hunter22 pass", "é TOKEN='abc' secret = \"longer_value\"", "token: secret: abcdefghij", "toKen=abcdefgh",
             "AKIA" + "Z" * 11 + " AKIA" + "Z" * 12, "f" * 31 + " " + "0af9" * 8, "key " + b64 + " here", "api-key=12345678 apikey=12345678",
             "supercalifragilisticexpialidocious and aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "https://example.org/some/long/path/to/a/page"]
-    rows += ["thisisaverylongwordwithoutblanks" + "abcdefgh"[i % 8] for i in range(40)]
+    rows += ["thisisaverylongwordwithoutblanks" + "abcdefgh"[i % 8] for i in range(40)] + prose(250, 4)
     data = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").withColumn("spans", F.lit(1))
     got = by_id(secrets.secret_report(data))
     for i, t in enumerate(rows):
@@ -597,6 +597,70 @@ def test_secrets(spark):
     assert clean[8]["text"] == "key [secret] here" and clean[0]["text"] is None and clean[11]["text"] == rows[11]
 
 
+SYLLABLES = "er an the re ing on at en is or it ti al ar st to nt ha es le se me de ou co ed ri ro io ne ve ma".split()
+
+
+def prose(n: int, seed: int) -> list[str]:
+    """Texts of invented words that look like words."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(800)]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(100, 900))) for _ in range(n)]
+
+
+def test_names_stay_and_keys_are_found(spark):
+    """Identifiers, paths and long words made of words are text; planted keys of 20 to 64 characters are not."""
+    rng = random.Random(6)
+    texts = prose(400, 5)
+    words = sorted({w for t in texts for w in t.split() if len(w) > 2})
+    names, keys = {}, {}
+    for i in range(300):
+        own = [rng.choice(words) for _ in range(rng.randint(4, 7))]
+        kind = i % 5
+        name = (own[0] + "".join(w.capitalize() for w in own[1:]) if kind == 0 else "_".join(own) if kind == 1 else "-".join(own).upper() if kind == 2
+                else "/".join(own) if kind == 3 else "".join(w.capitalize() + str(rng.randint(0, 9)) * (rng.random() < 0.4) for w in own))
+        names[i] = name if len(name) >= 20 else name + "WithSomeMore" + own[0]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for i in range(300, 400):
+        keys[i] = "".join(rng.choice(alphabet) for _ in range(rng.randint(20, 64)))
+    rows = [(i, t[:200] + " " + (names | keys)[i] + " " + t[200:]) for i, t in enumerate(texts)]
+    got = by_id(secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    flagged = {i for i, r in got.items() if "random" in r["spans"]}
+    assert len(flagged & set(names)) <= 0.05 * len(flagged) + 2, sorted(names[i] for i in flagged & set(names))
+    assert len(flagged & set(keys)) >= 85
+
+
+def test_names_that_were_once_taken_for_keys():
+    rng = random.Random(3)
+    counts = np.zeros((26, 26))
+    for text in prose(100, 2) + ["get user account by id for all http request wrapper login retry errors test response handler"] * 50:
+        for a, b in zip(text, text[1:]):
+            if a.isalpha() and b.isalpha():
+                counts[ord(a) - 97, ord(b) - 97] += 1
+    pairs = secrets.Pairs(counts)
+    for name in ("getUserAccountById2ForAll", "testUserLogin2FA-Retry5xxErrors", "HttpServletRequestWrapperImpl"):
+        assert secrets.battery(name, pairs)[1] < 0.01
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    ps = [secrets.battery("".join(rng.choice(alphabet) for _ in range(40)), pairs)[1] for _ in range(500)]
+    assert sum(p < 0.01 for p in ps) < 20
+
+
+def plain_step_up(real: list[int], made: list[int], alpha: float) -> int | None:
+    """Benjamini-Hochberg over single runs of one band."""
+    ps = sorted(((sum(m <= r for m in made) + 1) / (len(made) + 1), r) for r in real)
+    passed = [r for i, (p, r) in enumerate(ps) if p <= alpha * max(k + 1 for k, (q, _) in enumerate(ps) if q == p) / len(ps)]
+    return max(passed) if passed else None
+
+
+def test_step_up_is_that_over_single_runs():
+    rng = random.Random(5)
+    for _ in range(60):
+        real = [rng.randrange(40) for _ in range(rng.randint(1, 30))] + [rng.randrange(400, 900) for _ in range(rng.randint(0, 30))]
+        made = [rng.randrange(20, 900) for _ in range(rng.randint(1, 300))]
+        alpha = rng.choice([0.01, 0.05, 0.2])
+        counts = [(2, b, 1, n) for b, n in collections.Counter(real).items()] + [(2, b, 0, n) for b, n in collections.Counter(made).items()]
+        assert secrets.step_up(counts, alpha, enough=0).get(2) == plain_step_up(real, made, alpha)
+
+
 def test_battery_p_values():
     rng = random.Random(1)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
