@@ -276,6 +276,11 @@ def test_decontamination(spark):
     assert set(got) == {(10, 1), (11, 1), (17, 5), (18, 6)}
     assert got[10, 1]["verbatim"] and not got[11, 1]["verbatim"]
     assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(data, items).collect()) == [12, 13, 14, 15, 16]
+    nameless = items.filter("item_id IN (1, 6)").withColumn("item_id", F.lit(None).cast("long"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(data, nameless).collect()) == [(10, None), (11, None), (18, None)]
+    odd = spark.createDataFrame([(None, rows[10]), (None, "nothing"), (3, rows[18]), (3, "also clean")], "doc_id long, text string")
+    assert decontaminate.find_leaks(odd, items).count() == 2
+    assert sorted(r["text"] for r in decontaminate.drop_leaks(odd, items).collect()) == ["also clean", "nothing"]
     assert decontaminate.find_leaks(data, items.filter("false")).count() == 0
     assert decontaminate.find_leaks(data.filter("false"), items).count() == 0
 
