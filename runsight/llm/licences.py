@@ -11,6 +11,7 @@ words; repeated rows are treated alike; other columns are ignored; an empty tabl
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 
@@ -25,7 +26,19 @@ PHRASES = {
     b"cc by nc": "cc-by-nc",
 }
 
-# Licence texts and notices (public texts), by label.
+# Licence texts, whole where they are short, and the notices by which long licences are applied to files
+# (Apache, GPL, LGPL, AGPL, MPL, CC). All are public texts, by label.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+OF THE POSSIBILITY OF SUCH DAMAGE."""
 TEMPLATES = [
     ("mit", "Released under the MIT License"),
     ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -34,7 +47,9 @@ TEMPLATES = [
      persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
      and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
      PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
-     MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
+     MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+     HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+     ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
     ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
      with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required
@@ -45,19 +60,31 @@ TEMPLATES = [
     ("cc-by-nc", """This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"""),
     ("cc-by-sa", """This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"""),
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+    ("gpl-3", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
      Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
      later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
      the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
      more details."""),
-    ("bsd-3-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-     that the following conditions are met: Redistributions of source code must retain the above copyright notice, this
-     list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
-     notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
-     with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to
-     endorse or promote products derived from this software without specific prior written permission."""),
+    ("bsd-3-clause", _BSD + """ Neither the name of the copyright holder nor the names of its contributors may be used to
+     endorse or promote products derived from this software without specific prior written permission. """ + _DISCLAIMER),
+    ("bsd-2-clause", _BSD + " " + _DISCLAIMER),
     ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-     granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+     granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+     PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+     MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+     DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+     NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("lgpl-3", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser
+     General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+     option) any later version."""),
+    ("agpl-3", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+     General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+     option) any later version."""),
+    ("mpl-2", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+     not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"""),
+    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
+    ("cc0", """To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to
+     this work to the public domain worldwide. This work is distributed without any warranty."""),
     ("all-rights-reserved", "All rights reserved"),
 ]
 
@@ -162,8 +189,9 @@ def chains(matches: list[tuple[int, int, int]], ends: list, gap: int) -> list[tu
         order = sorted(range(len(own)), key=lambda i: (-best[i][0], own[i]))
         for i in order:  # longest chains first; those that overlap a kept one are parts of it
             lo, hi = best[i][1], own[i][0] + own[i][2]
-            if all(hi <= a or b <= lo for a, b in used):
-                used.append((lo, hi))
+            k = bisect_left(used, (hi, hi))  # kept ones are apart, so the last that starts before the end decides
+            if not k or used[k - 1][1] <= lo:
+                used.insert(k, (lo, hi))
                 out.append((t, lo, hi, best[i][0]))
     return sorted(out, key=lambda x: (x[1], x[0]))
 
@@ -190,7 +218,15 @@ class Scanner:
             matches += [(lo + at, n, s) for at, n, s in maximal(self.automaton.matching(words[lo:hi]), self.least)]
         if not matches:
             return []
-        return [x for x in chains(matches, self.automaton.ends, self.gap) if x[3] >= self.share * len(self.sequences[x[0]])]
+        return chains(matches, self.automaton.ends, self.gap)
+
+    def cover(self, span: tuple[int, int, int, int]) -> float:
+        return min(1.0, span[3] / len(self.sequences[span[0]]))
+
+    def decided(self, spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Spans that cover enough of their template and do not lie inside one that covers more of both."""
+        out = [x for x in spans if self.cover(x) >= self.share]
+        return [x for x in out if not any(y[1] <= x[1] and x[2] <= y[2] and y[3] > x[3] and self.cover(y) > self.cover(x) for y in out)]
 
     def phrase_places(self, words: list[bytes], mask: bytes) -> list[tuple[int, str]]:
         out = []
@@ -205,12 +241,12 @@ class Scanner:
     def scan(self, text: str) -> tuple:
         words = WORD.findall(lower_bytes(text))
         mask = bytes(map(self.known.__contains__, words))
-        base, spans = self.phrase_places(words, mask), self.spans(words, mask)
-        cover = [min(1.0, x[3] / len(self.sequences[x[0]])) for x in spans]
+        base, chained = self.phrase_places(words, mask), self.spans(words, mask)
+        spans = self.decided(chained)
         own = sorted({label for _, label in base})
         every = sorted({*own, *(self.labels[x[0]] for x in spans)})
         return (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(own),
-                ",".join(every), 1.0 if base else max(cover, default=0.0),
+                ",".join(every), max(map(self.cover, chained), default=0.0),
                 [{"label": self.labels[t], "first": a, "last": b - 1, "covered": c} for t, a, b, c in spans])
 
 
@@ -226,7 +262,8 @@ def _scan(batch) -> dict:
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
-    """A row per document: phrase counts, labels, a score in [0, 1] (largest covered share of a template) and spans."""
+    """A row per document: phrase counts, labels, the largest covered share of a template as score, and the spans behind the
+    labels: those that cover ``share`` of a template."""
     return per_batch(docs.select("doc_id", "text"), _scan, (
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
         "score double, spans array<struct<label:string,first:int,last:int,covered:int>>"))

@@ -129,6 +129,43 @@ def test_licence_texts_are_found():
     assert scanner.scan("the rights of the people to use software and to the extent")[5] == ""
 
 
+def test_scores_are_covered_shares_and_labels_are_apart():
+    scanner = licences.Scanner()
+    for (label, text), sequence in zip(licences.TEMPLATES, scanner.sequences):
+        row = scanner.scan("Foo bar. " + text + " baz")
+        assert row[6] == 1.0 and set(row[5].split(",")) - {label} <= {k for k, t in licences.TEMPLATES if t in text or text in t}, (label, row[5])
+        half = " ".join(w.decode() for w in sequence[:len(sequence) // 2])
+        part = scanner.scan(half)
+        assert part[6] == 1.0 or part[6] >= len(sequence) // 2 / len(sequence) - 1e-9 or len(sequence) < 8
+    assert scanner.scan("nothing of the kind")[6] == 0.0
+    assert 0 < scanner.scan("see the mit license here")[6] < 1
+
+
+def plain_chain(own: list[tuple[int, int, int]], gap: int) -> int:
+    """Most template words that matches in order can cover, over all orders of all subsets."""
+    best = 0
+    for mask in range(1, 1 << len(own)):
+        some = [m for i, m in enumerate(sorted(own)) if mask >> i & 1]
+        covered, ok = some[0][2], True
+        for (a, ta, m), (at, tat, n) in zip(some, some[1:]):
+            over = max(0, a + m - at, ta + m - tat)
+            ok &= a < at and ta < tat and over < n and at - (a + m) <= gap
+            covered += n - over
+        best = max(best, covered) if ok else best
+    return best
+
+
+def test_chains_cover_most():
+    rng = random.Random(4)
+    for _ in range(200):
+        own = [(rng.randrange(30), rng.randrange(30), rng.randint(3, 6)) for _ in range(rng.randint(1, 8))]
+        ends = [[(0, tat + n - 1)] for _, tat, n in own]
+        found = licences.chains([(at, n, i) for i, (at, _, n) in enumerate(own)], ends, 8)
+        assert max(c for *_, c in found) == plain_chain(own, 8)
+        places = sorted((lo, hi) for _, lo, hi, _ in found)
+        assert all(b <= c for (_, b), (c, _) in zip(places, places[1:]))
+
+
 def test_matching_statistics():
     rng = random.Random(2)
     sequences = [[bytes([rng.choice(b"abc")]) for _ in range(12)] for _ in range(4)]
