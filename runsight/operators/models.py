@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
+    GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorSlicer
@@ -33,6 +33,7 @@ from runsight.operators import metrics
 from runsight.operators.clean import numeric_columns, vector_stages
 from runsight.operators.forest import ForestClassifier
 from runsight.operators.linear import Group, logistic_scores
+from runsight.operators.network import NetworkClassifier
 from runsight.operators.ordering import global_rank
 from runsight.operators.scalars import scalar_stats
 from runsight.operators.split import SEED, hash_order, stratified_folds, stratified_split
@@ -53,7 +54,7 @@ DEFAULTS = {
     "decision_tree": {"max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1, "criterion": "gini"},
     "naive_bayes": {},
     "knn": {"n_neighbors": 5, "weights": "uniform"},
-    "neural_network": {"hidden_layer_sizes": (100,), "max_iter": 500},
+    "neural_network": {"hidden_layer_sizes": (100,), "activation": "relu", "alpha": 0.0001, "max_iter": 500},
 }
 GRIDS = {
     "dummy": {"strategy": ["most_frequent", "stratified", "prior", "uniform"]},
@@ -70,7 +71,10 @@ GRIDS = {
     },
     "naive_bayes": {},
     "knn": {"n_neighbors": [3, 5, 7, 9, 11], "weights": ["uniform", "distance"]},
-    "neural_network": {"hidden_layer_sizes": [(50,), (100,), (100, 50), (200, 100)]},
+    "neural_network": {
+        "hidden_layer_sizes": [(50,), (100,), (100, 50), (200, 100)], "activation": ["relu", "tanh", "logistic"],
+        "alpha": [0.0001, 0.001, 0.01],
+    },
 }
 # ----------------------------------------------------------------------------
 
@@ -135,8 +139,8 @@ def _classifier(kind: str, p: Mapping, rows: int, width: int) -> list:
     if kind == "naive_bayes":
         return [NaiveBayes(modelType="gaussian", **io)]
     if kind == "neural_network":
-        return [MultilayerPerceptronClassifier(
-            layers=[width, *p["hidden_layer_sizes"], 2], maxIter=p["max_iter"], seed=SEED, **io)]
+        return [NetworkClassifier("scaled", "y", hidden=tuple(p["hidden_layer_sizes"]), activation=p["activation"], alpha=p["alpha"],
+                                  max_iter=p["max_iter"], seed=SEED)]
     return [ForestClassifier("scaled", "y", trees=p["n_estimators"], max_features=max(1, int(width ** 0.5)), **_tree_args(p))]
 
 
