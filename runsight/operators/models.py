@@ -13,18 +13,13 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
-from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +27,7 @@ from pyspark.sql import types as T
 from runsight.operators import metrics
 from runsight.operators.clean import numeric_columns, vector_stages
 from runsight.operators.forest import ForestClassifier
+from runsight.operators.kernel import Nystrom
 from runsight.operators.linear import Group, logistic_scores
 from runsight.operators.network import NetworkClassifier
 from runsight.operators.ordering import global_rank
@@ -79,33 +75,6 @@ GRIDS = {
 # ----------------------------------------------------------------------------
 
 
-class RandomFourier(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
-    """Random features whose products approximate an RBF kernel (Rahimi & Recht 2007)."""
-
-    gamma = Param(Params._dummy(), "gamma", "kernel width; 0 stands for 1 / number of inputs", TypeConverters.toFloat)
-    size = Param(Params._dummy(), "size", "number of random features", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, inputCol=None, outputCol=None, seed=SEED, gamma=0.0, size=200):
-        super().__init__()
-        self._setDefault(seed=SEED, gamma=0.0, size=200)
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        seed, gamma, size = self.getSeed(), self.getOrDefault("gamma"), self.getOrDefault("size")
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def project(x: pd.Series) -> pd.Series:
-            points = np.stack(x.to_numpy())
-            rng = np.random.default_rng(seed)
-            width = gamma or 1.0 / points.shape[1]
-            w = rng.normal(scale=np.sqrt(2 * width), size=(points.shape[1], size))
-            shift = rng.uniform(0, 2 * np.pi, size)
-            return pd.Series(list(np.sqrt(2.0 / size) * np.cos(points @ w + shift)))
-
-        return df.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(self.getInputCol()))))
-
-
 def _tree_args(p: Mapping) -> dict:
     return {k: p[k] for k in ("max_depth", "min_samples_split", "min_samples_leaf")} | {"seed": SEED}
 
@@ -124,7 +93,7 @@ def _classifier(kind: str, p: Mapping, rows: int, width: int) -> list:
         source, before = "scaled", []
         if p["kernel"] == "rbf":
             gamma = 0.0 if p["gamma"] in ("scale", "auto") else float(p["gamma"])
-            source, before = "_kernel", [RandomFourier(inputCol="scaled", outputCol="_kernel", gamma=gamma)]
+            source, before = "_kernel", [Nystrom("scaled", "_kernel", gamma=gamma)]
         elif p["kernel"] == "poly":
             source, before = "_kernel", [PolynomialExpansion(degree=3, inputCol="scaled", outputCol="_kernel")]
         # probabilities by a logistic curve over the margin (Platt scaling)
