@@ -28,7 +28,7 @@ from runsight.llm.common import arrow_schema, per_batch, small_batches, texts_of
 #: Entries of a worker's cache; a full cache is emptied. Longer pre-tokens are not kept.
 CACHE, KEPT_CHARS = 200_000, 64
 #: Summaries that one task merges.
-FAN = 64
+FAN = 8
 #: Characters whose class is the same here and in the library (a test compares each); texts with others are cut by the library.
 _PLAIN = re.compile("[\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞]*")
 #: Fixed value: the tokenizer file's pattern, with letters and numbers as ``re`` spells them for plain characters.
