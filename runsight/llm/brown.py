@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1))
+    out = np.maximum(x, 1.0)
+    np.log(out, out=out)
+    out *= x
+    return out
 
 
 def likelihood(matrix: np.ndarray) -> float:
@@ -92,12 +96,16 @@ def _entries(side: np.ndarray, own: np.ndarray, other: np.ndarray, twice: np.nda
     base = table[:classes].T[j]
     inside = j == own[word]
     base[inside] -= other[word[inside], :classes]
-    base[np.arange(len(word)), own[word]] -= n - inside * twice[word]  # twice was taken off twice
+    place = np.arange(len(word)), own[word]
+    base[place] -= n - inside * twice[word]  # twice was taken off twice
+    logs = _xlogx(table[:classes]).T[j]  # of base, where it is the table's
+    logs[inside] = _xlogx(base[inside])
+    logs[place] = _xlogx(base[place])
     added = base + (n - inside * twice[word])[:, None]
     out = np.zeros((len(side), classes))
     if len(word):
         starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        out[word[starts]] = np.add.reduceat(_xlogx(added) - _xlogx(base), starts)
+        out[word[starts]] = np.add.reduceat(_xlogx(added) - logs, starts)
     return out
 
 
@@ -136,43 +144,24 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, ma
 _ENTRY = np.dtype([("side", "u1"), ("n", "<u4"), ("near", "<i8")])  # side 0: the word after, 1: the word before
 
 
-class Codes(dict):
-    """Numbers of words in a task; ``codes``: below ``hot`` by rank, the end token's is ``hot``, others below 0 by a hash."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.codes = ranks, []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        code = self.ranks.get(word)
-        self.codes.append(tail_code(word) if code is None else code)
-        return n
-
-
 def tail_code(word: bytes) -> int:
     return -1 - (xxhash.xxh64_intdigest(word) >> 1)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, n) by code, in portions: word b follows a so often."""
-    codes, held, n = Codes(ranks), [], 0
-
-    def portion() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-        of = np.array(codes.codes, dtype=np.int64)
-        return of[pairs >> 32], of[pairs & 0xFFFFFFFF], counts
-
+def _portions(batches: Iterator[pa.RecordBatch], fresh, number) -> Iterator[tuple]:
+    """(what ``fresh`` gave, ids of neighbouring words as first << 32 | second) in portions; ``number`` gives the ids of words."""
+    index, held, n = fresh(), [], 0
     for batch in batches:
         for text in texts_of(batch):
             own = [END, *lower_bytes(text).split(), END]
-            ids = np.fromiter(map(codes.__getitem__, own), dtype=np.int64, count=len(own))
+            ids = np.fromiter(number(index, own), dtype=np.int64, count=len(own))
             held.append(ids[:-1] << 32 | ids[1:])
             n += len(ids)
             if n > 10 * _FLUSH:
-                yield portion()
-                codes, held, n = Codes(ranks), [], 0
+                yield index, np.concatenate(held)
+                index, held, n = fresh(), [], 0
     if held:
-        yield portion()
+        yield index, np.concatenate(held)
 
 
 def hot_pairs(docs: DataFrame, ranks) -> DataFrame:
@@ -181,9 +170,11 @@ def hot_pairs(docs: DataFrame, ranks) -> DataFrame:
     arrow = arrow_schema(docs, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, n in _pairs(batches, ranks.value):
-            both = (a >= 0) & (b >= 0)
-            yield from pieces(pa.RecordBatch.from_pydict({"a": a[both].astype(np.int32), "b": b[both].astype(np.int32), "n": n[both]}, schema=arrow))
+        none = len(ranks.value)  # rare words
+        for _, pairs in _portions(batches, lambda: ranks.value.get, lambda get, words: map(get, words, repeat(none))):
+            pairs = pairs[(pairs >> 32 < none) & (pairs & 0xFFFFFFFF < none)]
+            pairs, n = np.unique(pairs, return_counts=True)
+            yield from pieces(pa.RecordBatch.from_pydict({"a": (pairs >> 32).astype(np.int32), "b": (pairs & 0xFFFFFFFF).astype(np.int32), "n": n}, schema=arrow))
 
     counted = docs.select("text").mapInArrow(run, schema).groupBy("a", "b").agg(F.sum("n").alias("n"))
     sides = counted.select(F.inline(F.array(
@@ -198,7 +189,12 @@ def tail_pairs(docs: DataFrame, ranks) -> DataFrame:
     arrow = arrow_schema(docs, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, n in _pairs(batches, ranks.value):
+        rank = ranks.value.get
+        for index, pairs in _portions(batches, lambda: defaultdict(count().__next__), lambda index, words: map(index.__getitem__, words)):
+            codes = np.fromiter((tail_code(w) if (k := rank(w)) is None else k for w in index), dtype=np.int64, count=len(index))
+            a, b = codes[pairs >> 32], codes[pairs & 0xFFFFFFFF]
+            pairs, n = np.unique(pairs[(a < 0) | (b < 0)], return_counts=True)
+            a, b = codes[pairs >> 32], codes[pairs & 0xFFFFFFFF]
             one, two = a < 0, b < 0
             entry = np.zeros(int(one.sum() + two.sum()), dtype=_ENTRY)
             entry["side"][one.sum():] = 1
@@ -230,17 +226,26 @@ def moved(matrix: np.ndarray, own: np.ndarray, to: np.ndarray, after: np.ndarray
     """Change the class matrix by moves of words whose neighbours stay."""
     i = np.arange(len(own))
     after, before = after.copy(), before.copy()
-    np.subtract.at(matrix, own, after)
-    np.subtract.at(matrix.T, own, before)
+    matrix -= _by_class(after, own, len(matrix)) + _by_class(before, own, len(matrix)).T
     np.add.at(matrix, (own, own), twice)
     for side in (after, before):
         side[i, own] -= twice
         side[i, to] += twice
-    np.add.at(matrix, to, after)
-    np.add.at(matrix.T, to, before)
+    matrix += _by_class(after, to, len(matrix)) + _by_class(before, to, len(matrix)).T
     np.subtract.at(matrix, (to, to), twice)
 
 
+def _by_class(rows: np.ndarray, cls: np.ndarray, width: int) -> np.ndarray:
+    """Sums of rows of one class."""
+    out = np.zeros((width, rows.shape[1]))
+    if len(cls):
+        order = np.argsort(cls, kind="stable")
+        own = cls[order]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[starts]] = np.add.reduceat(rows[order], starts)
+    return out
+
+
 def _summed(rows: int, width: int, row: np.ndarray, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.bincount(row * width + cls, weights=n, minlength=rows * width).reshape(rows, width)
 
@@ -539,7 +544,7 @@ def classed(counts: DataFrame, state: Exchange, ranks) -> DataFrame:
     return written(out, "word-classes")
 
 
-_SCORED = "row long, doc_id long, held_out boolean, classes binary, n_known long, logs double, inner double, rest array<struct<word:binary,at:array<int>>>"
+_SCORED = "row long, doc_id long, held_out boolean, classes binary, n_known long, logs double, inner double, rest array<struct<word:binary,at:int>>"
 _TOTALS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -555,23 +560,28 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         classes_of = np.append(m.word_class, -1)
         for batch in batches:
             out = {f: [] for f in schema.names}
+            rare, places, ends = [], [], [0]
             for text in texts_of(batch):
                 words = lower_bytes(text).split()
-                ids = np.fromiter((m.index.get(w, none) for w in words), dtype=np.int64, count=len(words))
+                ids = np.fromiter(map(m.index.get, words, repeat(none)), dtype=np.int64, count=len(words))
                 classes = np.full(len(words) + 2, m.end, dtype="<i2")
                 classes[1:-1] = classes_of[ids]
-                rest: dict = {}
-                for i in np.flatnonzero(ids == none).tolist():
-                    rest.setdefault(words[i], []).append(i + 1)
+                other = np.flatnonzero(ids == none)
+                rare += [words[i] for i in other.tolist()]
+                places.append(other + 1)
+                ends.append(len(rare))
                 inside = ids[ids != none]
                 out["row"].append(row)
                 out["classes"].append(classes.tobytes())
                 out["n_known"].append(len(inside) + m.end_known)
                 out["logs"].append(float(m.count_log[inside].sum()))
                 out["inner"].append(float(m.class_log[m.word_class[inside]].sum()))
-                out["rest"].append([{"word": w, "at": at} for w, at in rest.items()])
                 row += 1
             out["doc_id"], out["held_out"] = batch.column("doc_id"), batch.column("held_out")
+            kind = schema.field("rest").type
+            at = pa.array(np.concatenate(places).astype(np.int32)) if places else pa.array([], pa.int32())
+            entries = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), at], fields=list(kind.value_type))
+            out["rest"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries, type=kind)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     small_batches(docs.sparkSession)
@@ -581,23 +591,28 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def add(batch) -> dict:
         m: Model = shared.value
-        out = {f: [] for f in ("n_tokens", "n_known", "base_score", "score")}
-        columns = (batch.column(c).to_pylist() for c in ("classes", "n_known", "logs", "inner", "rest"))
-        for data, known, logs, inner, rest in zip(*columns):
-            classes = np.frombuffer(data, dtype="<i2").copy()
-            total = len(classes) - 2
-            for r in rest or []:
-                k = m.classes + ending(r["word"]) if r["c"] is None else r["class"]
-                classes[r["at"]] = k
-                inner += len(r["at"]) * float(m.class_log[k])
-                if r["c"] is not None:
-                    logs += len(r["at"]) * math.log10(r["c"] + 1)
-                    known += len(r["at"])
-            out["n_tokens"].append(total + 1)
-            out["n_known"].append(known)
-            out["base_score"].append(logs - total * m.base_log + m.end_base)
-            out["score"].append(float(m.transition[classes[:-1], classes[1:]].sum()) + logs - inner)
-        return out | {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "train_tokens": [m.total] * batch.num_rows}
+        data = batch.column("classes")
+        ends = np.cumsum([len(x) // 2 for x in data.to_pylist()])
+        classes = np.frombuffer(b"".join(data.to_pylist()), dtype="<i2").copy()
+        starts = ends - np.diff(ends, prepend=0)
+        known, logs, inner = (batch.column(c).to_numpy().astype(t) for c, t in (("n_known", np.int64), ("logs", float), ("inner", float)))
+        column = batch.column("rest")
+        flat = column.flatten()
+        row = np.repeat(np.arange(len(column)), column.fill_null([]).value_lengths().to_numpy())
+        c, k = flat.field("c").fill_null(0).to_numpy(), flat.field("class").fill_null(-1).to_numpy().copy()
+        for i in np.flatnonzero(k < 0).tolist():  # unseen in training
+            k[i] = m.classes + ending(flat.field("word")[i].as_py())
+        classes[starts[row] + flat.field("at").to_numpy()] = k
+        n = len(column)
+        inner += np.bincount(row, weights=m.class_log[k], minlength=n)
+        logs += np.bincount(row, weights=np.log10(c + 1.0), minlength=n)
+        known += np.bincount(row[c > 0], minlength=n)
+        steps = np.append(m.transition[classes[:-1], classes[1:]], 0.0)
+        steps[ends - 1] = 0.0  # no step from one text to the next
+        total = ends - starts - 2
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "train_tokens": [m.total] * batch.num_rows,
+                "n_tokens": total + 1, "n_known": known, "base_score": logs - total * m.base_log + m.end_base,
+                "score": np.add.reduceat(steps, starts) + logs - inner}
 
     totals = per_batch(scored.drop("rest").join(rest, "row", "left"), add, _TOTALS)
     return totals.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
