@@ -34,6 +34,8 @@ from runsight.operators.ordering import global_rank
 
 #: Children of a node, and levels that one builder builds: at most 3**6 = 729 nodes in, 1,093 in its log.
 FAN, LEVELS = 3, 6
+#: Sources whose first places are sent to all tasks.
+MOST_SOURCES = 100_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -153,8 +155,8 @@ def build(nodes: DataFrame, levels: int, carried: tuple[str, ...] = ()) -> list[
     width = FAN ** levels
     while True:
         own = F.struct("at", "digest", *carried)  # a builder has at most ``width`` of them
-        builders = (nodes.withColumn("builder", F.floor(F.col("at") / width)).groupBy("key", "builder")
-                    .agg(F.array_sort(F.collect_list(own)).alias("own"), F.max("nodes").alias("nodes")))
+        builders = (nodes.withColumn("builder", F.floor(F.col("at") / width)).repartition("key", "builder")  # never by key alone
+                    .groupBy("key", "builder").agg(F.array_sort(F.collect_list(own)).alias("own"), F.max("nodes").alias("nodes")))
 
         def run(batch: pa.RecordBatch, carried=carried) -> dict:
             out = {k: [] for k in ("leaves", "top", "root", "log", *carried)}
@@ -225,7 +227,9 @@ class Manifest:
             F.coalesce(F.concat(F.lit("1"), source), F.lit("0")).alias("key"), "doc_id", leaf(*map(F.col, FIELDS)).alias("digest"),
             (F.lit(None).cast("string") if claimed is None else claimed).alias("claimed")), "leaves")  # no text from here on
         ranked = global_rank(rows, ["key", "doc_id", "digest"], "place")
-        first = ranked.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("nodes"))  # a row for each source
+        first = written(ranked.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("nodes")), "firsts")  # a row for each source
+        if first.count() <= MOST_SOURCES:  # else a source has few rows, and the join is left to Spark
+            first = F.broadcast(first)
         leaves = ranked.join(first, "key").withColumn("at", F.col("place") - F.col("first"))
         self.tiers = build(leaves, levels, ("doc_id", "claimed"))
         self.sources = written(global_rank(roots(self.tiers, levels), ["key"], "place").select(
