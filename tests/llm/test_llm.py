@@ -329,6 +329,21 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(data.filter("false"), items).count() == 0
 
 
+def test_no_leak_is_left_out(spark):
+    """Items of one template whose values repeat differently; texts of one id, and items of one id, whose values differ."""
+    text = "Today Anna bought {} red apples and {} green pears, and later she sold {} small plums in the market"
+    items = spark.createDataFrame([(1, text.format(3, 3, 3)), (2, text.format(3, 4, 5)), (3, text.format(8, 7, 9)), (4, text.format(6, 6, 6)),
+                                   (5, "The dog ran 5 km in 6 days over the old hills"), (5, "The dog ran 7 km in 9 days over the old hills")],
+                                  "item_id long, text string")
+    data = spark.createDataFrame([(10, text.format(3, 4, 5)), (11, text.format(2, 2, 2)), (12, text.format(8, 7, 9)),
+                                  (13, text.format(3, 4, 5)), (13, text.format(9, 8, 7).replace("Anna", "Zoe")),
+                                  (14, "The dog ran 1 km in 2 days over the old hills")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(data, items).collect()}
+    assert {k: r["members"] for k, r in got.items()} == {
+        (10, 2): [2, 3], (11, 1): [1, 4], (11, 2): [2, 3], (12, 2): [2, 3], (13, 2): [2, 3], (14, 5): [5]}
+    assert all(r["coverage"] == 1.0 for r in got.values()) and got[10, 2]["verbatim"] and not got[12, 2]["verbatim"]
+
+
 # --- quality ---------------------------------------------------------------
 
 def plain_quality(text: str | None) -> tuple:
