@@ -103,7 +103,7 @@ def read_impact_mapping(t):
 @query("read_log_bodies", "SELECT md5(concat(text, chr(10))) AS content, count(*) AS n FROM documents GROUP BY 1")
 def read_log_bodies(t):
     path = scratch(t.spark, "bodies")
-    t.table("documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    writers.write_bodies(t.table("documents").select("text"), path)
     bodies = readers.read_log_bodies(t.spark, path)
     return bodies.groupBy(F.md5("body").alias("content")).agg(F.count_distinct("test_id").alias("n"))
 

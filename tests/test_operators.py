@@ -74,6 +74,18 @@ def test_json_readers(spark, tmp_path):
     assert readers.read_log_bodies(spark, str(tmp_path / "logs")).first().asDict() == {"test_id": "t7", "body": "ERROR: x\nmore"}
 
 
+def test_bodies_are_files_that_tasks_write(spark, tmp_path, monkeypatch):
+    texts = ["one", "", "two\nlines \u00e9", "one", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    path = writers.write_bodies(df, f"file:{tmp_path}/bodies")
+    assert len(list((tmp_path / "bodies").iterdir())) == len(texts)  # and no checksum files
+    bodies = readers.read_log_bodies(spark, path).collect()
+    assert sorted(r["body"] for r in bodies) == sorted((t or "") + "\n" for t in texts) and len({r["test_id"] for r in bodies}) == len(texts)
+    assert readers.read_log_bodies(spark, writers.write_bodies(df.limit(0), f"{tmp_path}/none")).count() == 0
+    monkeypatch.setattr(writers, "_folder", lambda path: (_ for _ in ()).throw(writers.pa.ArrowInvalid("no such scheme")))
+    assert readers.read_log_bodies(spark, writers.write_bodies(df, str(tmp_path / "other"))).count() == len(texts)
+
+
 def test_write_and_read_back(spark, tmp_path):
     df = spark.range(5).withColumn("name", F.lit("x"))
     for fmt in ("parquet", "csv"):
