@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runsight.functions.columns import word_set
 from runsight.operators import ordering, setjoin
-from runsight.session import cut
+from runsight.session import cut, stored
 
 # --- fixed values -----------------------------------------------------------
 # Error texts; case-sensitive, searched over several lines (m), "\n" being the only line end (d).
@@ -213,14 +213,12 @@ def assign_patterns(items: DataFrame, threshold: float = SIMILARITY) -> DataFram
     """
     words = word_set(F.col("error_text"))
     # a text without words resembles nothing, not even its copies
-    key = F.when(F.size("_words") == 0, F.concat(F.lit("#"), F.col("item").cast("string"))).otherwise(
-        F.sha2(F.array_join("_words", " "), 256)
-    )
-    items = cut(items.withColumn("_words", words).withColumn("_key", key))
-    nodes = items.groupBy("_key", "forced").agg(
-        F.min("item").alias("id"), F.first("_words").alias("tokens")
-    )
-    nodes = cut(nodes)
+    key = F.transform(F.array(words), lambda w: F.when(F.size(w) == 0, F.concat(F.lit("#"), F.col("item").cast("string")).cast("binary")).otherwise(
+        F.unhex(F.sha2(F.array_join(w, " "), 256))))[0]
+    items = stored(items.withColumn("_key", key))
+    # words are taken again from one text of each node: as arrays they are several times as large
+    nodes = items.groupBy("_key", "forced").agg(F.min("item").alias("id"), F.min_by("error_text", "item").alias("_text"))
+    nodes = stored(nodes.select("_key", "forced", "id", word_set(F.col("_text")).alias("tokens")))
     leaders, near = setjoin.leader_edges(nodes.select("id", "tokens", F.col("forced").alias("fixed")), threshold)
     owner = (
         near.where("leader < id").join(leaders.withColumnRenamed("leader", "id"), "id", "left_anti")
@@ -233,7 +231,7 @@ def assign_patterns(items: DataFrame, threshold: float = SIMILARITY) -> DataFram
     placed = items.join(resolved, ["_key", "forced"])
     # every forced text is a pattern of its own
     pattern = F.when(F.col("forced"), F.col("item")).otherwise(F.col("pattern_id"))
-    return placed.withColumn("pattern_id", pattern).drop("_key", "_words")
+    return placed.withColumn("pattern_id", pattern).drop("_key")
 
 
 def error_patterns(assigned: DataFrame) -> DataFrame:

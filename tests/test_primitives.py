@@ -167,3 +167,13 @@ def test_a_family_costs_a_comparison_for_each_member(spark):
     df = spark.range(3000).select("id", F.array(*[F.lit(f"w{k}") for k in range(20)], F.col("id").cast("string")).alias("tokens"), F.lit(False).alias("fixed"))
     leaders, edges = setjoin.leader_edges(df, 0.8)
     assert [r["leader"] for r in leaders.collect()] == [0] and edges.count() == 2999
+
+
+def test_join_keys_are_numbers_that_sets_share(spark):
+    """Words go through one shuffle only, and elements of one set alone through none."""
+    df = spark.createDataFrame([(i, ["common", f"own{i}", f"other{i}", *(["pair"] if i < 2 else [])]) for i in range(6)], "id long, tokens array<string>")
+    sets, keys = setjoin._prepared(df, 0.4, 100)
+    assert dict(sets.dtypes)["tokens"] == "array<int>" and dict(keys.dtypes)["key"] == "bigint"
+    assert sorted(r["id"] for r in keys.select("id").collect()) == [0, 1]
+    leaders, edges = setjoin.leader_edges(df.withColumn("fixed", F.lit(False)), 0.4)
+    assert sorted(r["leader"] for r in leaders.collect()) == [0, 1, 2, 3, 4, 5] and edges.count() == 0
