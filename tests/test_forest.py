@@ -141,3 +141,13 @@ def test_poisson_weights():
 def test_no_rows(table):
     with pytest.raises(ValueError):
         ForestClassifier("features", "y").fit(table[0].filter("false"))
+
+
+def test_only_tried_features_are_split():
+    """Others are looked at where none of the tried ones can be split."""
+    x = np.array([[0, 1, 5], [1, 0, 5], [2, 1, 5], [3, 0, 5]], dtype=float)
+    y, w, node = np.array([0, 0, 1, 1]), np.ones(4), np.zeros(4, dtype=np.int64)
+    order = [np.argsort(x[:, f], kind="stable") for f in range(3)]
+    for rank, found in (([0, 1, 2], [True, False, False]), ([2, 1, 0], [False, True, False])):
+        gain, _ = forest.best_splits(x, y, w, node, 1, order, Options(max_features=1), np.array([[2.0, 2.0]]), np.array([rank]))
+        assert np.isfinite(gain[0]).tolist() == found
