@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runsight.operators import budget, ordering, scalars, setjoin
+from runsight.operators import bitproducts, budget, ordering, scalars, setjoin
 
 
 def frame(spark, rows, schema):
@@ -128,6 +128,43 @@ def test_correlated_pairs(spark, monkeypatch, threshold, hot, runs, words):
     assert want and got == {k: pytest.approx(v) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("runs,words,group,at_once", [(30, 64, 16, 20), (300, 64, 8192, 32768), (300, 1, 16, 20), (90, 64, 50, 7)])
+def test_correlated_leaders_as_in_sequence(spark, monkeypatch, runs, words, group, at_once):
+    """Groups, rounds and tiles cut anywhere, and the way by prefixes, give the pairs and leaders of the sequential rule."""
+    monkeypatch.setattr(setjoin, "WORDS", words)
+    for name, value in (("GROUP", group), ("AT_ONCE", at_once), ("TILE", 8), ("WIDE", 16)):
+        monkeypatch.setattr(bitproducts, name, value)
+    rng = np.random.default_rng(runs + group)
+    base = rng.random((5, runs)) < rng.choice([0.1, 0.5, 0.9], (5, 1))
+    vectors = {tuple(v) for v in (base[np.arange(70) % 5] ^ (rng.random((70, runs)) < 0.06)).astype(int)}
+    vectors = [v for v in vectors if 0 < sum(v) < runs]
+    ids = rng.permutation(1000)[:len(vectors)].tolist()
+    r = np.corrcoef(np.array(vectors))
+    near = {(f"t{a}", f"t{b}") for i, a in enumerate(ids) for j, b in enumerate(ids) if i != j and r[i, j] > 0.6 + 1e-12}
+    leaders = []
+    for t in sorted(f"t{i}" for i in ids):
+        if not any((l, t) in near for l in leaders):
+            leaders.append(t)
+    cells = frame(spark, [(f"t{i}", k) for i, v in zip(ids, vectors) for k, x in enumerate(v) if x], "id string, run long")
+    maps = setjoin.bitmaps(cells, spark.range(runs).withColumnRenamed("id", "run"))
+    one = frame(spark, [(f"t{i}",) for i in ids], "id string")
+    got = [(x["leader"], x["id"]) for x in setjoin.correlated_leaders(maps, one, 0.6).collect()]
+    assert len(got) == len(set(got)) and set(got) == {p for p in near if p[0] in leaders} and got
+    pairs = [(x["a"], x["b"]) for x in setjoin.correlated_pairs(maps, one, 0.6).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {p for p in near if p[0] < p[1]}
+
+
+def test_correlated_vectors_without_pairs_of_prefixes(spark):
+    """3,000 different vectors of 30 runs, which all share rare runs, meet in a few tasks and not in joined rows."""
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(1, 2 ** 30 - 1, 3000))
+    df = frame(spark, [(int(i), [int(w)], int(w).bit_count()) for i, w in enumerate(words)], "id long, words array<long>, s long")
+    bits = ((words[:, None] >> np.arange(30)) & 1).astype(float)
+    r = np.corrcoef(bits)
+    got = {(x["a"], x["b"]): x["r"] for x in bitproducts.pairs(df, 30, 0.7, group=700).collect()}
+    assert set(got) == {(i, j) for i, j in zip(*np.nonzero(r > 0.7 + 1e-12)) if i < j and r[i, j] < 1 - 1e-12}
+
+
 def test_equal_vectors_have_one_first(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "WORDS", 1)
     sets = {1: {0, 150}, 2: {0, 150}, 3: {0}, 4: {150}, 5: {0, 150}, 6: {0}}
