@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 from runsight.operators import metrics
 from runsight.operators.clean import numeric_columns, vector_stages
-from runsight.operators.forest import ForestClassifier
+from runsight.operators.forest import ForestClassifier, Options, Parts, part_scores
 from runsight.operators.kernel import Nystrom
-from runsight.operators.linear import Group, logistic_scores
+from runsight.operators.linear import Group, logistic_scores, scales
 from runsight.operators.network import NetworkClassifier
 from runsight.operators.ordering import global_rank
 from runsight.operators.scalars import scalar_stats
@@ -296,6 +296,16 @@ def learning_curve(
         n = [sum(counts.get((f, float(size)), 0) for f in range(folds) if f != k) for size, k in choices]
         found = logistic_scores(ready, [Group(k, float(size)) for size, k in choices],
                                 [[(1.0 / (p["C"] * max(m, 1)), p["penalty"] == "l1")] for m in n])[:, 0, ::-1]
+    elif kind == "decision_tree":  # likewise
+        p = {**DEFAULTS[kind], **(params or {})}
+        ready = _arrays(rows, columns, share)
+        x = F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan"))))
+        ready = ready.withColumn("x", x)
+        medians = None
+        if not ready.where(F.exists("x", F.isnan)).isEmpty():
+            medians = scales(ready, [Group(k, float(size)) for size, k in choices], ready.select(F.size("x")).first()[0]).median
+        parts = Parts(tuple(k for _, k in choices), tuple(float(size) for size, _ in choices), medians)
+        found = part_scores(ready, Options(trees=len(choices), bootstrap=False, criterion=p["criterion"], parts=parts, **_tree_args(p)))[:, ::-1]
     else:
         with ThreadPool(parallelism) as pool:
             found = pool.map(score, choices, chunksize=1)
