@@ -28,7 +28,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsight.session import cut
+from runsight.session import cut, spread
 
 #: A table of at most this size is sent to all tasks whole.
 LOCAL_BYTES = 64 << 20
@@ -533,7 +533,7 @@ class ForestClassifier(Estimator):
 
     def _fit(self, dataset: DataFrame) -> ForestModel:
         x = vector_to_array(self.features)
-        rows = cut(dataset.select(x.alias("x"), F.col(self.label).cast("int").alias("y")))
+        rows = cut(spread(dataset.select(x.alias("x"), F.col(self.label).cast("int").alias("y"))))
         n, width, classes = rows.agg(F.count("*"), F.max(F.size("x")), F.max("y") + 1).first()
         if not n:
             raise ValueError("no rows to learn from")

@@ -9,7 +9,7 @@ from runsight.operators import knn, models, schedule
 from runsight.operators.split import stratified_split as split_rows
 from runsight.plans.registry import query
 from runsight.plans.shape import rounded
-from runsight.session import cut, scratch
+from runsight.session import cut, scratch, spread
 
 COLUMNS = ("execution_time", "hour_of_day", "churn", "suite_no")
 
@@ -21,7 +21,7 @@ def _embedded(t):
 
 
 def _split(t):
-    split = cut(split_rows(_embedded(t).withColumn("features", array_to_vector("array")), "y", "vec_id"))
+    split = cut(spread(split_rows(_embedded(t).withColumn("features", array_to_vector("array")), "y", "vec_id")))
     return split.where(~F.col("is_test")), split.where("is_test")
 
 
@@ -134,7 +134,7 @@ def compare_models(t):
 
 
 def _tree(t):
-    split = cut(split_rows(_frame(t), "y", "event_id"))
+    split = cut(spread(split_rows(_frame(t), "y", "event_id")))
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
     return models.train_model(train, "decision_tree", {}, COLUMNS), test
 

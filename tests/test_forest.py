@@ -176,3 +176,13 @@ def test_learning_curve_of_trees_in_few_jobs(spark, monkeypatch, local_bytes, lo
     want = whole.first()
     assert curve[-1]["test_mean"] == pytest.approx(want["mean_test_score"], abs=near) and curve[-1]["test_sd"] == pytest.approx(want["std_test_score"], abs=near)
     assert curve[-1]["train_mean"] == pytest.approx(want["mean_train_score"], abs=near) and curve[0]["test_mean"] <= curve[-1]["test_mean"] + 0.1
+
+
+def test_rows_of_trees_are_spread_over_the_cores(spark, monkeypatch):
+    """Rows that a shuffle left in one partition are counted and dealt by as many tasks as there are cores."""
+    seen = []
+    levels = forest.upper_levels
+    monkeypatch.setattr(forest, "upper_levels", lambda rows, *a: seen.append(rows.rdd.getNumPartitions()) or levels(rows, *a))
+    df = spark.range(400).select(F.array(F.rand(1), F.rand(2)).alias("a"), (F.col("id") % 2).alias("y")).coalesce(1)
+    ForestClassifier("v", "y", trees=2, local_bytes=0, local_rows=50).fit(df.select(array_to_vector("a").alias("v"), "y"))
+    assert seen == [spark.sparkContext.defaultParallelism]
