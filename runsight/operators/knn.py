@@ -4,23 +4,25 @@ Training rows are put into cells around centres (Lu et al. 2012), and a cell int
 a ring of a bounded number of rows. Distances to the centres bound a query's k-th neighbour from above, and the rows of a
 ring from below. A query is first compared with the ring it lies in, which gives a close k-th distance, and then only with
 the rings that can hold a nearer row. A ring is sent once for as many queries as it may have rows, so what is shuffled is
-linear in training rows and compared queries. The number of cells grows with the data.
+linear in training rows and compared queries. Cells have many rows, because with many dimensions nearly all rings can hold a
+nearer row, and each query is sent to them; inside a ring products of matrices leave few rows to compare.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.operators.ordering import rank_within
-from runsight.session import cut
+from runsight.session import cut, spread
 
 #: Rows of a block, rows of a cell that decide the number of cells, and bounds on what is sent to all tasks.
-BLOCK_ROWS, CELL_ROWS = 20_000, 2_000
+BLOCK_ROWS, CELL_ROWS = 20_000, 10_000
 MAX_CELLS, MAX_BLOCKS = 2_048, 200_000
 
 
@@ -28,6 +30,39 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0))
 
 
+def _nearest(queries: np.ndarray, points: np.ndarray, k: int):
+    """(query, place, distance) of each query's k nearest points, ties by place; exact.
+
+    One product of matrices gives squared distances up to rounding; the points that these leave in question are compared exactly.
+    """
+    if not len(points):
+        return
+    k = min(k, len(points))
+    middle = points.mean(axis=0)
+    p = points - middle
+    pp = (p * p).sum(axis=1)
+    step = max(1, 1_000_000 // len(points))
+    for i in range(0, len(queries), step):
+        q = queries[i:i + step] - middle
+        qq = (q * q).sum(axis=1)
+        rough = qq[:, None] + pp - 2 * (q @ p.T)
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        room = 1e-12 * p.shape[1] * (qq + pp.max()) + 1e-300
+        row, place = np.nonzero(rough <= (kth + 2 * room)[:, None])
+        for at in range(0, len(row), 100_000):  # whole queries
+            lo = at if at == 0 else int(np.searchsorted(row, row[at], side="left"))
+            hi = len(row) if at + 100_000 >= len(row) else int(np.searchsorted(row, row[at + 100_000], side="left"))
+            if lo == hi:
+                continue
+            own, points_of = row[lo:hi], place[lo:hi]
+            d = np.sqrt(np.maximum(((queries[i + own] - points[points_of]) ** 2).sum(axis=1), 0.0))
+            order = np.lexsort((points_of, d, own))
+            own, points_of, d = own[order], points_of[order], d[order]
+            first = np.searchsorted(own, own, side="left")
+            best = np.arange(len(own)) - first < k
+            yield own[best] + i, points_of[best], d[best]
+
+
 def _in_steps(a: np.ndarray, b: np.ndarray):
     """(rows of a, their distances to b), some at a time."""
     step = max(1, 2_000_000 // max(1, b.size))
@@ -97,14 +132,9 @@ def _compared(blocks: DataFrame, asked: DataFrame, k: int, block_rows: int) -> D
         if t.empty or q.empty:
             return pd.DataFrame({"qid": [], "id": [], "y": [], "distance": []})
         t = t.sort_values("id")
-        points, ids, ys, out = np.stack(t["features"]), t["id"].to_numpy(), t["y"].to_numpy(), []
-        for rows, d in _in_steps(np.stack(q["features"]), points):
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({
-                "qid": np.repeat(q["qid"].to_numpy()[rows], order.shape[1]), "id": ids[order].ravel(),
-                "y": ys[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel(),
-            }))
-        return pd.concat(out)
+        ids, ys, names = t["id"].to_numpy(), t["y"].to_numpy(), q["qid"].to_numpy()
+        return pd.concat([pd.DataFrame({"qid": names[row], "id": ids[place], "y": ys[place], "distance": d})
+                          for row, place, d in _nearest(np.stack(q["features"]), np.stack(t["features"]), k)])
 
     names = ("cell", "block", "part")
     return left.select(*names, "id", "features", "y").groupBy(*names).cogroup(right.select(*names, "qid", "features").groupBy(*names)).applyInPandas(
@@ -128,7 +158,7 @@ def knn_neighbours(
     if n == 0:
         return ready.select(F.col("id").alias("qid"), "id", "y", F.lit(0.0).alias("distance"))
     block_rows = max(block_rows, -(-n // MAX_BLOCKS))
-    centres = _centres(ready, cells or min(MAX_CELLS, max(16, math.isqrt(n), n // CELL_ROWS)))
+    centres = _centres(ready, cells or min(MAX_CELLS, max(16, n // CELL_ROWS)))
     blocks = _blocks(ready, centres, block_rows)
     rings = _Rings(blocks, centres, k)
 
@@ -140,21 +170,29 @@ def knn_neighbours(
             own[rows], bound[rows] = rings.first(d)
         return pd.DataFrame({"cell": rings.cell[own].astype(np.int32), "block": rings.block[own].astype(np.int32), "bound": bound})
 
-    @F.pandas_udf("array<struct<cell:int,block:int>>")
-    def others(features: pd.Series, bound: pd.Series, cell: pd.Series, block: pd.Series) -> pd.Series:
-        points, out = np.stack(features.to_numpy()), []
-        c, b = cell.to_numpy(), block.to_numpy()
-        for rows, d in _in_steps(points, rings.centres):
-            reach = rings.reachable(d, bound.to_numpy()[rows])
-            reach &= (rings.cell != c[rows][:, None]) | (rings.block != b[rows][:, None])
-            out += [[{"cell": int(rings.cell[i]), "block": int(rings.block[i])} for i in np.flatnonzero(r)] for r in reach]
-        return pd.Series(out)
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other rings of each query, some queries at a time: a query may reach every ring."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            c, b, bound = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "block", "bound"))
+            for rows, d in _in_steps(points, rings.centres):
+                reach = rings.reachable(d, bound[rows])
+                reach &= (rings.cell != c[rows][:, None]) | (rings.block != b[rows][:, None])
+                row, ring = np.nonzero(reach)
+                for at in range(0, len(row), 20_000):
+                    own, to = pa.array(row[at:at + 20_000] + rows.start), ring[at:at + 20_000]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("qid").take(own), batch.column("features").take(own),
+                        pa.array(rings.cell[to].astype(np.int32)), pa.array(rings.block[to].astype(np.int32))], ["qid", "features", "cell", "block"])
 
     asked = cut(queries.select("qid", "features").withColumn("_f", first("features")).select("qid", "features", "_f.*"))
     near = cut(_compared(blocks, asked.drop("bound"), k, block_rows))
     kth = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("kth"))
     bounded = asked.join(kth, "qid", "left").withColumn("bound", F.least("bound", "kth"))
-    more = cut(bounded.select("qid", "features", F.inline(others("features", "bound", "cell", "block"))))
+    asking = bounded.select("qid", F.col("features").cast("array<double>").alias("features"), "cell", "block", "bound")
+    more = cut(spread(asking).mapInArrow(others, "qid long, features array<double>, cell int, block int"))
     return _best(near.unionByName(_compared(blocks, more, k, block_rows)), k)
 
 

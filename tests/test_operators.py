@@ -418,3 +418,29 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch):
             assert call.call_args.args[3] == {}
         if name == "train_many":
             assert set(call.call_args.args[2]) == set(model_queries.models.MODEL_TYPES) - {"dummy", "knn"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_by_products_is_exact(seed):
+    """Far from the origin, where products lose digits, and with ties, the same neighbours as by differences."""
+    rng = np.random.default_rng(seed)
+    points = (rng.integers(0, 4, (500, 3)) if seed else rng.normal(size=(500, 3))) + 1e6 * seed
+    asked = points[::7] + 0.25
+    got = {}
+    for row, place, d in knn._nearest(asked, points, 5):
+        for r, p, x in zip(row.tolist(), place.tolist(), d.tolist()):
+            got.setdefault(r, []).append((x, p))
+    whole = np.sqrt(((asked[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    assert got == {i: sorted((float(x), p) for p, x in enumerate(row))[:5] for i, row in enumerate(whole)}
+
+
+def test_knn_sends_each_query_to_few_rings(spark, monkeypatch):
+    """In many dimensions every ring is reachable, so there are few of them: queries are not copied hundreds of times."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(9_000, 12)).tolist()
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(x)], "id long, features array<double>, y int")
+    asked, compared = spark.createDataFrame([(i, v) for i, v in enumerate(x) if i % 50 == 0], "qid long, features array<double>"), []
+    whole = knn._compared
+    monkeypatch.setattr(knn, "_compared", lambda blocks, a, *rest: compared.append(a.count()) or whole(blocks, a, *rest))
+    assert knn.knn_neighbours(df, asked, 3).count() == 3 * 180
+    assert sum(compared) <= 20 * 180
