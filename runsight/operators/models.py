@@ -271,7 +271,7 @@ def permutation_importance(
     other = ranked.select(F.col("_i").alias("_partner"), *[F.col(c).alias(f"_o_{c}") for c in columns])
     paired = ranked.withColumn("_p", plans).withColumn(
         "_partner", F.pmod(F.col("_p.a").cast("decimal(19,0)") * F.col("_i") + F.col("_p.b"), F.lit(n)).cast("long") + 1
-    ).join(other, "_partner")
+    ).join(other.hint("merge"), "_partner")  # as long as the input, whatever its size is estimated at
     variants = paired.withColumn("_feature", F.explode(F.array(*[F.lit(c) for c in columns]))).withColumns({
         c: F.when(F.col("_feature") == c, F.col(f"_o_{c}")).otherwise(F.col(c)) for c in columns
     }).select(key, "y", "_feature", F.col("_p.r").alias("_r"), *columns)
