@@ -25,24 +25,21 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsight.llm.common import arrow_schema, drop_written, lower_bytes, per_batch, pieces, small_batches, texts_of, written
+from runsight.llm.common import arrow_schema, drop_written, per_batch, pieces, small_batches, written
+from runsight.llm.words import Ranks, Words, of_keys
 
 #: Classes of words unseen in training, by their last two bytes.
 ENDINGS = 16
-#: The end token as a word: no word holds a blank.
-END = b" "
-_FLUSH = 300_000  # different words, or token pairs times ten, that a task gathers before it sends their counts
+_FLUSH = 300_000  # different long words, or tokens times ten, that a task gathers before it sends their counts
 #: Words that a task moves before it looks at its matrix again, and tasks of a round (of bounded size: hot words squared).
 _BLOCK, _TASKS = 64, 24
 
@@ -59,19 +56,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over whole texts, counted per task before the shuffle."""
     schema = arrow_schema(docs, "word binary, n long")
 
-    def send(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())}, schema=schema)
+    def send(keys: list[np.ndarray], others: Counter) -> Iterator[pa.RecordBatch]:
+        found, n = np.unique(np.concatenate(keys), return_counts=True)
+        known = found > 0  # others have key 0
+        yield from pieces(pa.RecordBatch.from_arrays([of_keys(found[known]), pa.array(n[known])], schema=schema))
+        yield from pieces(pa.RecordBatch.from_pydict({"word": list(others), "n": list(others.values())}, schema=schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        keys, others, size = [], Counter(), 0
         for batch in batches:
-            for text in texts_of(batch):
-                counts.update(lower_bytes(text).split())
-                if len(counts) > _FLUSH:
-                    yield send(counts)
-                    counts = Counter()
-        if counts:
-            yield send(counts)
+            words = Words(batch.column("text"))
+            keys.append(words.key)
+            others.update(words.at(words.other))
+            size += len(words)
+            if size > 10 * _FLUSH or len(others) > _FLUSH:
+                yield from send(keys, others)
+                keys, others, size = [], Counter(), 0
+        if keys:
+            yield from send(keys, others)
 
     small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
@@ -142,45 +144,61 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, twice: float, ma
 # --- pairs of neighbouring words ---------------------------------------------
 
 _ENTRY = np.dtype([("side", "u1"), ("n", "<u4"), ("near", "<i8")])  # side 0: the word after, 1: the word before
+_NEAR = np.dtype([("near", "<i4"), ("n", "<i8")])
 
 
-def tail_code(word: bytes) -> int:
-    return -1 - (xxhash.xxh64_intdigest(word) >> 1)
-
-
-def _portions(batches: Iterator[pa.RecordBatch], fresh, number) -> Iterator[tuple]:
-    """(what ``fresh`` gave, ids of neighbouring words as first << 32 | second) in portions; ``number`` gives the ids of words."""
-    index, held, n = fresh(), [], 0
+def _portions(batches: Iterator[pa.RecordBatch], number) -> Iterator[np.ndarray]:
+    """The texts of portions of batches as ids of their words, each text between end tokens. ``number`` gives a batch's ids, with
+    one end token after each text, and the end token."""
+    held, n = [], 0
     for batch in batches:
-        for text in texts_of(batch):
-            own = [END, *lower_bytes(text).split(), END]
-            ids = np.fromiter(number(index, own), dtype=np.int64, count=len(own))
-            held.append(ids[:-1] << 32 | ids[1:])
-            n += len(ids)
-            if n > 10 * _FLUSH:
-                yield index, np.concatenate(held)
-                index, held, n = fresh(), [], 0
+        ids, end = number(Words(batch.column("text")))
+        held = held or [np.array([end])]
+        held.append(ids)
+        n += len(ids)
+        if n > 10 * _FLUSH:
+            yield np.concatenate(held)
+            held, n = [], 0
     if held:
-        yield index, np.concatenate(held)
+        yield np.concatenate(held)
 
 
 def hot_pairs(docs: DataFrame, ranks) -> DataFrame:
-    """(w, entries): per frequent word its neighbours that are frequent words or the end, at most two for each of those."""
+    """(w, after, before, n_after, n_before): per frequent word its neighbours that are frequent words or the end, packed, at most
+    one for each of those on a side, and their sums."""
     schema = "a int, b int, n long"
     arrow = arrow_schema(docs, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = len(ranks.value)  # rare words
-        for _, pairs in _portions(batches, lambda: ranks.value.get, lambda get, words: map(get, words, repeat(none))):
-            pairs = pairs[(pairs >> 32 < none) & (pairs & 0xFFFFFFFF < none)]
-            pairs, n = np.unique(pairs, return_counts=True)
+        end = len(ranks.value)
+        none = end + 1  # rare words
+        for ids in _portions(batches, lambda words: (words.joined(ranks.value.of(words, none), end), end)):
+            a, b = ids[:-1], ids[1:]
+            at = (a < none) & (b < none)
+            pairs, n = np.unique(a[at] << 32 | b[at], return_counts=True)
             yield from pieces(pa.RecordBatch.from_pydict({"a": (pairs >> 32).astype(np.int32), "b": (pairs & 0xFFFFFFFF).astype(np.int32), "n": n}, schema=arrow))
 
+    def pack(batch: pa.RecordBatch) -> dict:
+        column = batch.column("entries")
+        row, flat = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()), column.flatten()
+        side, near, n = (flat.field(f).to_numpy() for f in ("side", "near", "n"))
+        out = {"w": batch.column("w")}
+        for s, name in enumerate(("after", "before")):
+            at = side == s
+            entry = np.empty(int(at.sum()), dtype=_NEAR)
+            entry["near"], entry["n"] = near[at], n[at]
+            cuts = np.cumsum(np.bincount(row[at], minlength=len(column)))
+            out[name] = [x.tobytes() for x in np.split(entry, cuts[:-1])]
+            out[f"n_{name}"] = np.bincount(row[at], weights=n[at], minlength=len(column)).astype(np.int64)
+        return out
+
+    small_batches(docs.sparkSession)
     counted = docs.select("text").mapInArrow(run, schema).groupBy("a", "b").agg(F.sum("n").alias("n"))
     sides = counted.select(F.inline(F.array(
         F.struct(F.col("a").alias("w"), F.lit(0).alias("side"), F.col("b").alias("near"), "n"),
         F.struct(F.col("b").alias("w"), F.lit(1).alias("side"), F.col("a").alias("near"), "n"))))
-    return sides.groupBy("w").agg(F.collect_list(F.struct("side", "near", "n")).alias("entries")).repartition(_TASKS, "w")
+    listed = sides.groupBy("w").agg(F.collect_list(F.struct("side", "near", "n")).alias("entries")).repartition(_TASKS, "w")
+    return per_batch(listed, pack, "w int, after binary, before binary, n_after long, n_before long")
 
 
 def tail_pairs(docs: DataFrame, ranks) -> DataFrame:
@@ -188,36 +206,41 @@ def tail_pairs(docs: DataFrame, ranks) -> DataFrame:
     schema = "w long, entries binary"
     arrow = arrow_schema(docs, schema)
 
+    def number(words: Words) -> tuple[np.ndarray, int]:
+        own = ranks.value.of(words, -1)
+        return words.joined(np.where(own < 0, words.codes(), own), len(ranks.value)), len(ranks.value)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks.value.get
-        for index, pairs in _portions(batches, lambda: defaultdict(count().__next__), lambda index, words: map(index.__getitem__, words)):
-            codes = np.fromiter((tail_code(w) if (k := rank(w)) is None else k for w in index), dtype=np.int64, count=len(index))
-            a, b = codes[pairs >> 32], codes[pairs & 0xFFFFFFFF]
-            pairs, n = np.unique(pairs[(a < 0) | (b < 0)], return_counts=True)
-            a, b = codes[pairs >> 32], codes[pairs & 0xFFFFFFFF]
-            one, two = a < 0, b < 0
-            entry = np.zeros(int(one.sum() + two.sum()), dtype=_ENTRY)
-            entry["side"][one.sum():] = 1
-            entry["near"], entry["n"] = np.concatenate((b[one], a[two])), np.concatenate((n[one], n[two]))
-            word = np.concatenate((a[one], b[two]))
-            order = np.argsort(word, kind="stable")
-            word, entry = word[order], entry[order]
+        for ids in _portions(batches, number):
+            code, at = np.unique(ids, return_inverse=True)
+            rare = np.searchsorted(code, 0)  # their codes are negative, so they come first
+            a, b = at[:-1], at[1:]
+            one, two = a < rare, b < rare
+            cells, n = np.unique(np.concatenate((a[one] << 32 | b[one], b[two] << 32 | 1 << 31 | a[two])), return_counts=True)
+            word, entry = cells >> 32, np.empty(len(cells), dtype=_ENTRY)
+            entry["side"], entry["n"], entry["near"] = cells >> 31 & 1, n, code[cells & 0x7FFFFFFF]
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, dtype=np.int64)
             offsets = np.append(starts, len(word)).astype(np.int32) * _ENTRY.itemsize
             packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entry.tobytes())])
-            yield from pieces(pa.RecordBatch.from_arrays([pa.array(word[starts], type=pa.int64()), packed], schema=arrow))
+            yield from pieces(pa.RecordBatch.from_arrays([pa.array(code[word[starts]], type=pa.int64()), packed], schema=arrow))
 
+    small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, schema).groupBy("w").agg(F.collect_list("entries").alias("entries"))
 
 
+def _packed(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(row, entries) of a column of packed entries."""
+    if not len(column):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, dtype=np.uint8)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // kind.itemsize), np.frombuffer(data.tobytes(), dtype=kind)
+
+
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, entries) of a column of lists of packed entries."""
-    flat = column.flatten()
-    offsets = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset:flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, dtype=np.int32)
-    data = np.frombuffer(flat.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]] if len(flat) else np.zeros(0, dtype=np.uint8)
-    entries = np.frombuffer(data.tobytes(), dtype=_ENTRY)
-    row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
-    return np.repeat(row, np.diff(offsets) // _ENTRY.itemsize), entries
+    part, entries = _packed(column.flatten(), _ENTRY)
+    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())[part], entries
 
 
 # --- exchange ----------------------------------------------------------------
@@ -250,6 +273,10 @@ def _summed(rows: int, width: int, row: np.ndarray, cls: np.ndarray, n: np.ndarr
     return np.bincount(row * width + cls, weights=n, minlength=rows * width).reshape(rows, width)
 
 
+#: Rows of a sweep: a rare word's class (n: whether it moved), the class before a rare word, counts of a cell of ``near``.
+_CLASS, _NEXT, _CELL = 0, 1, 2
+
+
 class Exchange:
     """The state: classes of the frequent words, what is known of rare ones, and the class matrix.
 
@@ -275,20 +302,18 @@ class Exchange:
 
     def _hot_sums(self) -> np.ndarray:
         out = np.zeros((2, self.n))
-        each = F.col("entries")
-        sums = [F.aggregate(F.filter(each, lambda x, s=s: x["side"] == s), F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias(f"s{s}") for s in (0, 1)]
-        for r in self.hot.select("w", *sums).collect():  # a row for each frequent word
-            out[:, r["w"]] = r["s0"], r["s1"]
+        for r in self.hot.select("w", "n_after", "n_before").collect():  # a row for each frequent word
+            out[:, r["w"]] = r["n_after"], r["n_before"]
         return out
 
     def _sides(self, batch: pa.RecordBatch, of: np.ndarray, near: np.ndarray):
         """Words of a batch of frequent words, their neighbours by class, and how often each follows itself."""
-        word, column = batch.column("w").to_numpy(), batch.column("entries")
-        row, flat = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()), column.flatten()
-        side, other, n = (flat.field(f).to_numpy() for f in ("side", "near", "n"))
-        out = [_summed(len(word), self.width, row[side == s], of[other[side == s]], n[side == s]) + near[s, word] for s in (0, 1)]
-        same = (side == 0) & (other == word[row])
-        return word, out[0], out[1], np.bincount(row[same], weights=n[same], minlength=len(word))
+        word, out = batch.column("w").to_numpy(), []
+        for s, name in enumerate(("after", "before")):
+            row, entry = _packed(batch.column(name), _NEAR)
+            out.append(_summed(len(word), self.width, row, of[entry["near"]], entry["n"]) + near[s, word])
+        same = entry["near"] == word[row]
+        return word, out[0], out[1], np.bincount(row[same], weights=entry["n"][same], minlength=len(word))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k in ("classes", "end", "rest", "width", "n")}
@@ -301,16 +326,14 @@ class Exchange:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, of = np.zeros((width, width)), shared.value
             for batch in batches:
-                word, column = batch.column("w").to_numpy(), batch.column("entries")
-                row, flat = np.repeat(word, column.value_lengths().to_numpy()), column.flatten()
-                first = flat.field("side").to_numpy() == 0
-                own += _summed(width, width, of[row[first]], of[flat.field("near").to_numpy()[first]], flat.field("n").to_numpy()[first])
+                row, entry = _packed(batch.column("after"), _NEAR)
+                own += _summed(width, width, of[batch.column("w").to_numpy()[row]], of[entry["near"]], entry["n"])
             ca, cb = np.nonzero(own)
             yield pa.RecordBatch.from_pydict({"ca": ca, "cb": cb, "n": own[ca, cb].astype(np.int64)}, schema=schema)
 
         schema = arrow_schema(self.hot, "ca int, cb int, n long")
         out = self.inner.copy()
-        for r in self.hot.mapInArrow(run, "ca int, cb int, n long").toArrow().to_pylist():  # the classes squared, for each of _TASKS
+        for r in self.hot.select("w", "after").mapInArrow(run, "ca int, cb int, n long").toArrow().to_pylist():  # the classes squared, for each of _TASKS
             out[r["ca"], r["cb"]] += r["n"]
         np.add.at(out, of, self.near[0])
         np.add.at(out.T, of, self.near[1])
@@ -362,13 +385,14 @@ class Exchange:
             changed = np.flatnonzero(of != first).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"w": changed, "to": of[changed].astype(np.int32), "task": [task] * len(changed)}, schema=schema)
 
-        return self.hot.mapInArrow(run, "w int, to int, task int").toArrow()  # at most the frequent words
+        return self.hot.select("w", "after", "before").mapInArrow(run, "w int, to int, task int").toArrow()  # at most the frequent words
 
     def _least(self) -> float:
         return 1e-9 + 1e-14 * abs(self.value)  # below is noise of the sums
 
     def sweep(self, share: float = 1.0) -> None:
-        """Move every rare word to its best class, or the given share of them; classes go to ``words``."""
+        """Move every rare word to its best class, or the given share of them; classes go to ``words``. What the classes add up to
+        is worked out in the same pass, so that neighbours are neither read nor shuffled again."""
         rows, known = self.tail, self.words is not None
         if known:
             rows = rows.join(self.words, "w").join(self._tail_classes(), "w", "left")
@@ -377,6 +401,7 @@ class Exchange:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, matrix = shared.value[0], shared.value[1].copy()
+            held, held_n = [], 0  # cells of frequent neighbours
             for whole in batches:
                 for batch in pieces(whole, 10 * _BLOCK):
                     word, (row, entry) = batch.column("w").to_numpy(), _unpacked(batch.column("entries"))
@@ -399,15 +424,36 @@ class Exchange:
                     if share < 1:
                         go &= (word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.float64) < share * 2 ** 32
                     moved(matrix, own[go], to[go], *(x[go] for x in (*sides, twice)))
-                    yield pa.RecordBatch.from_pydict({"w": word, "class": np.where(go, to, own).astype(np.int32), "gains": go}, schema=schema)
-
-        schema = arrow_schema(self.tail, "w long, class int, gains boolean")
+                    own = np.where(go, to, own)
+                    yield rows_of(_CLASS, word, own, go)
+                    at = (entry["side"] == 0) & (near < 0)
+                    yield rows_of(_NEXT, near[at], own[row[at]], n[at])
+                    at = near >= 0
+                    # a rare word before (side 1 of the rare one) is what its neighbour has after it
+                    held.append((((1 - entry["side"][at].astype(np.int64)) << 32 | near[at]) * width + own[row[at]], n[at]))
+                    held_n += len(held[-1][0])
+                    if held_n > 10 * _FLUSH:
+                        yield from cells(held)
+                        held, held_n = [], 0
+            if held:
+                yield from cells(held)
+
+        def rows_of(kind: int, w: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"kind": np.full(len(w), kind, dtype=np.int8), "w": w, "class": cls.astype(np.int32), "n": n.astype(np.int64)}, schema=schema)
+
+        def cells(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            cell, n = (np.concatenate(x) for x in zip(*held))
+            found, at = np.unique(cell, return_inverse=True)
+            yield from pieces(rows_of(_CELL, found, np.zeros(len(found)), np.bincount(at, weights=n)))
+
+        columns = "kind byte, w long, class int, n long"
+        schema = arrow_schema(self.tail, columns)
         small_batches(self.spark)
         before, old = (self.words, self.near, self.inner, self.matrix, self.value), self.words
-        self.words = written(rows.mapInArrow(run, "w long, class int, gains boolean"), "classes")
-        self.gaining = self.words.filter("gains").count()
-        self.words = self.words.drop("gains")
-        self._tail_sums()
+        found = written(rows.mapInArrow(run, columns), "classes")
+        self.words = found.filter(F.col("kind") == _CLASS).select("w", "class")
+        self.gaining = found.filter((F.col("kind") == _CLASS) & (F.col("n") > 0)).count()
+        self._tail_sums(found)
         self.matrix = self.class_matrix(self.of)
         self.value = likelihood(self.matrix)
         if known and self.value <= before[4]:  # moves of all tasks together did not gain
@@ -435,43 +481,17 @@ class Exchange:
         return (self._tail_tail().join(near, "near").groupBy("w", "side", "class").agg(F.sum("n").alias("n"))
                 .groupBy("w").agg(F.collect_list(F.struct("side", "class", "n")).alias("tails")))
 
-    def _tail_sums(self) -> None:
+    def _tail_sums(self, found: DataFrame) -> None:
         """What the classes of rare words add to the class matrix and to the neighbours of frequent words."""
-        near = self.words.select(F.col("w").alias("near"), F.col("class").alias("cb"))
-        pairs = self._tail_tail().filter("side = 0").join(near, "near").join(self.words, "w").groupBy("class", "cb").agg(F.sum("n").alias("n"))
+        near = self.words.select("w", F.col("class").alias("cb"))
+        pairs = found.filter(F.col("kind") == _NEXT).join(near, "w").groupBy("class", "cb").agg(F.sum("n").alias("n"))
         self.inner = np.zeros((self.width, self.width))
         for r in pairs.collect():  # classes squared
             self.inner[r["class"], r["cb"]] = r["n"]
-        width = self.width
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def send() -> Iterator[pa.RecordBatch]:
-                cell, n = (np.concatenate(x) for x in zip(*held))
-                cells, at = np.unique(cell, return_inverse=True)
-                yield from pieces(pa.RecordBatch.from_pydict({"cell": cells, "n": np.bincount(at, weights=n).astype(np.int64)}, schema=schema))
-
-            size = 0
-            for batch in batches:
-                row, entry = _unpacked(batch.column("entries"))
-                at = entry["near"] >= 0
-                # a rare word before (side 1 of the rare one) is what its neighbour has after it
-                cell = ((1 - entry["side"][at].astype(np.int64)) << 32 | entry["near"][at]) * width + batch.column("class").to_numpy()[row[at]]
-                held.append((cell, entry["n"][at].astype(np.float64)))
-                size += len(cell)
-                if size > 10 * _FLUSH:
-                    yield from send()
-                    held, size = [], 0
-            if size:
-                yield from send()
-
-        schema = arrow_schema(self.tail, "cell long, n long")
-        small_batches(self.spark)
-        sums = self.tail.join(self.words, "w").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        cell, n = (sums.column(c).to_numpy() for c in ("cell", "n"))  # two for each frequent word and class
-        self.near = np.zeros((2, self.n, width))
-        self.near[cell // width >> 32, (cell // width) & 0xFFFFFFFF, cell % width] = n
+        sums = found.filter(F.col("kind") == _CELL).groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+        cell, n = (sums.column(c).to_numpy() for c in ("w", "n"))  # two for each frequent word and class
+        self.near = np.zeros((2, self.n, self.width))
+        self.near[cell // self.width >> 32, (cell // self.width) & 0xFFFFFFFF, cell % self.width] = n
 
 
 class Model:
@@ -479,7 +499,7 @@ class Model:
 
     def __init__(self, words: list[bytes], counts: list[int], word_class: list[int], classes: int, matrix: np.ndarray,
                  tokens: list[int], types: list[int], total: int, vocabulary: int, ends: int):
-        self.index = dict(zip(words, range(len(words))))
+        self.index = Ranks(words)
         self.total = total
         self.base_log = math.log10(total + vocabulary + 1)
         self.end_base = math.log10(ends + 1) - self.base_log
@@ -500,7 +520,7 @@ def train(docs: DataFrame, classes: int = 64, hot: int = 10_000, head: int = 300
     n, ends = n or 0, training.count()
     top = counts.orderBy(F.desc("c"), "word").limit(hot).toArrow()  # at most ``hot`` rows
     words = top.column("word").to_pylist()
-    ranks = docs.sparkSession.sparkContext.broadcast(dict(zip(words, range(len(words)))) | {END: len(words)})
+    ranks = docs.sparkSession.sparkContext.broadcast(Ranks(words))
     state = Exchange(written(hot_pairs(training, ranks), "hot-pairs"), written(tail_pairs(training, ranks), "tail-pairs"),
                      np.append(top.column("c").to_numpy(), ends).astype(float), n + ends, classes)
     state.exchange_hot(least_gain, rounds)
@@ -532,10 +552,10 @@ def classed(counts: DataFrame, state: Exchange, ranks) -> DataFrame:
     of = state.spark.sparkContext.broadcast(state.of)
 
     def run(batch: pa.RecordBatch) -> dict:
-        own = batch.column("word").to_pylist()
-        codes = [ranks.value.get(w) for w in own]
-        return {"word": batch.column("word"), "c": batch.column("c"), "known": [None if k is None else int(of.value[k]) for k in codes],
-                "w": [tail_code(w) if k is None else k for w, k in zip(own, codes)]}
+        own = Words(batch.column("word"))  # one in each row
+        at = ranks.value.of(own, -1)
+        return {"word": batch.column("word"), "c": batch.column("c"), "known": pa.array(of.value[at].astype(np.int32), mask=at < 0),
+                "w": np.where(at < 0, own.codes(), at)}
 
     coded = per_batch(counts, run, "word binary, c long, known int, w long")
     out = coded.filter("known IS NOT NULL").select("word", "c", F.col("known").alias("class"))
@@ -558,30 +578,25 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         none = len(m.index)
         classes_of = np.append(m.word_class, -1)
+        class_log, count_log = np.append(m.class_log[m.word_class], 0.0), np.append(m.count_log, 0.0)
         for batch in batches:
-            out = {f: [] for f in schema.names}
-            rare, places, ends = [], [], [0]
-            for text in texts_of(batch):
-                words = lower_bytes(text).split()
-                ids = np.fromiter(map(m.index.get, words, repeat(none)), dtype=np.int64, count=len(words))
-                classes = np.full(len(words) + 2, m.end, dtype="<i2")
-                classes[1:-1] = classes_of[ids]
-                other = np.flatnonzero(ids == none)
-                rare += [words[i] for i in other.tolist()]
-                places.append(other + 1)
-                ends.append(len(rare))
-                inside = ids[ids != none]
-                out["row"].append(row)
-                out["classes"].append(classes.tobytes())
-                out["n_known"].append(len(inside) + m.end_known)
-                out["logs"].append(float(m.count_log[inside].sum()))
-                out["inner"].append(float(m.class_log[m.word_class[inside]].sum()))
-                row += 1
+            words, n = Words(batch.column("text")), batch.num_rows
+            ids, text = m.index.of(words, none), np.repeat(np.arange(n), words.counts)
+            starts = np.cumsum(words.counts) - words.counts
+            other = np.flatnonzero(ids == none)
+            classes = np.full(len(ids) + 2 * n, m.end, dtype="<i2")
+            classes[np.arange(len(ids)) + 2 * text + 1] = classes_of[ids]
+            edges = (np.append(0, np.cumsum(words.counts + 2)) * 2).astype(np.int32)
+            out = {"row": row + np.arange(n), "n_known": np.bincount(text[ids != none], minlength=n) + m.end_known,
+                   "classes": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(classes.tobytes())]),
+                   "logs": np.bincount(text, weights=count_log[ids], minlength=n), "inner": np.bincount(text, weights=class_log[ids], minlength=n)}
+            row += n
             out["doc_id"], out["held_out"] = batch.column("doc_id"), batch.column("held_out")
             kind = schema.field("rest").type
-            at = pa.array(np.concatenate(places).astype(np.int32)) if places else pa.array([], pa.int32())
-            entries = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), at], fields=list(kind.value_type))
-            out["rest"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries, type=kind)
+            at = pa.array((other - starts[text[other]] + 1).astype(np.int32))
+            entries = pa.StructArray.from_arrays([pa.array(words.at(other), pa.binary()), at], fields=list(kind.value_type))
+            ends = np.append(0, np.cumsum(np.bincount(text[other], minlength=n))).astype(np.int32)
+            out["rest"] = pa.ListArray.from_arrays(pa.array(ends), entries, type=kind)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     small_batches(docs.sparkSession)
