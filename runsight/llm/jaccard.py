@@ -7,7 +7,7 @@ below a node, and pairs that survive are verified on the sets themselves.
 The join is dealt out by the same grouping: two sets with Jaccard similarity of at least ``at_least`` percent differ in
 few shingles, so if shingles are split over more groups than that, some group holds the same shingles in both. Sets
 meet in blocks, one for each group's content. A set also meets larger ones on the level of the smaller; sets with so
-many empty groups that the argument fails meet on their first shingles as well (prefix filter). Equal sets are one.
+many empty groups that the argument fails meet on their first shingles as well (prefix filter). Of equal sets one meets others.
 
 First, each member of a block is compared with the block's first one, which finds the bulk of the links and their
 groups. Blocks whose members are not of one group then are searched with an R-tree for pairs from different groups.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsight.llm.common import (
-    arrow_schema, bit_filter, filter_place, key_groups, lower_bytes, passes, per_batch, small_batches, texts_of, written,
+    arrow_schema, bit_filter, drop_written, filter_place, key_groups, lower_bytes, may_be_in, passes, per_batch, small_batches, texts_of, written,
 )
 from runsight.llm.components import components
 
@@ -116,6 +116,17 @@ def count_vector(own: np.ndarray) -> np.ndarray:
     return np.bincount(((own & np.uint64(0xFFFFFFFF)) * np.uint64(GROUPS) >> np.uint64(32)).astype(np.int64), minlength=GROUPS)
 
 
+def packed(vector: np.ndarray) -> bytes:
+    """A byte for each count, or four where one is too large for that."""
+    return vector.astype("u1" if vector.max() < 256 else "<u4").tobytes()
+
+
+def unpacked(vectors: list[bytes]) -> np.ndarray:
+    if all(len(v) == GROUPS for v in vectors):
+        return np.frombuffer(b"".join(vectors), dtype="u1").reshape(-1, GROUPS).astype("<u4")
+    return np.stack([np.frombuffer(v, dtype="u1" if len(v) == GROUPS else "<u4").astype("<u4") for v in vectors])
+
+
 def needed(a, b, at_least: int):
     """Least overlap of linked sets of sizes a and b: p / (100 + p) of both, rounded up."""
     return -(-(at_least * (a + b)) // (100 + at_least))
@@ -164,7 +175,7 @@ def fingerprints(docs: DataFrame, width: int, at_least: int) -> DataFrame:
         return {
             "doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets],
             "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-            "vector": [count_vector(s).astype("<u4").tobytes() for s in sets],
+            "vector": [packed(count_vector(s)) for s in sets],
             "blocks": [block_keys(s, levels) for s in sets],
         }
 
@@ -217,7 +228,9 @@ def block_members(rows: DataFrame) -> DataFrame:
     # the block's start stands for itself, also if its task held it alone and no other row names it as a node
     joined = (found.filter("edge").join(border.filter("k > 1"), "block")
               .select("block", "node", F.col("start").alias("first")).distinct())
-    return found.filter("not edge").select("block", "node", "first").union(joined)
+    members = written(found.filter("not edge").select("block", "node", "first").union(joined), "members")
+    drop_written(found)
+    return members
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, at_least: int, per_task: int = 500) -> DataFrame:
@@ -268,7 +281,7 @@ def bounded(pairs: DataFrame, vectors: DataFrame, at_least: int) -> DataFrame:
     va, vb = (vectors.select(F.col("node").alias(k), F.col("vector").alias(f"v{k}")) for k in "ab")
 
     def run(batch) -> dict:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, GROUPS) for c in ("va", "vb"))
+        a, b = (unpacked(batch.column(c).to_pylist()) for c in ("va", "vb"))
         sums = (x.sum(axis=1, dtype=np.int64) for x in (np.minimum(a, b), a, b))
         ok = next(sums) >= needed(next(sums), next(sums), at_least)
         return {c: batch.column(c).to_numpy()[ok] for c in ("a", "b")}
@@ -292,7 +305,7 @@ def across_groups(members: DataFrame, vectors: DataFrame, groups: DataFrame, at_
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_groups(batches, ["block", "i", "j"]):
-            points = np.frombuffer(b"".join(group.column("vector").to_pylist()), dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
+            points = unpacked(group.column("vector").to_pylist()).astype(np.int64)
             node, label, part = (group.column(c).to_numpy() for c in ("node", "component", "own"))
             within = group.column("i")[0] == group.column("j")[0]
             tree, a, b = RTree(points), [], []
@@ -304,7 +317,8 @@ def across_groups(members: DataFrame, vectors: DataFrame, groups: DataFrame, at_
             if a:
                 yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
 
-    dealt = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not fewer for few bytes: searching takes the time
+    dealt = rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j")
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
@@ -313,13 +327,15 @@ def link_groups(docs: DataFrame, width: int = 4, at_least: int = 85) -> DataFram
     prints = written(fingerprints(docs, width, at_least), "prints")
     equal = prints.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
     light = written(prints.select("doc_id", "n_shingles", "digest").join(equal, "digest", "left").drop("digest"), "sets-alike")
-    copies = light.filter("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("as"))
-    members = block_members(prints.filter("doc_id IS NOT NULL").select(F.explode("blocks").alias("block"), F.col("doc_id").alias("node")))
-    for column in ("node", "first"):  # equal sets are one
-        members = (members.join(copies, members[column] == copies["doc_id"], "left").withColumn(column, F.coalesce("as", column)).drop("doc_id", "as"))
-    members = written(members.distinct(), "members")
-    vectors = prints.select(F.col("doc_id").alias("node"), "vector").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # copies of a set stay out of blocks; the few that a full filter lets through link with their node there as any near copy does
+    nodes = bit_filter(light.filter("doc_id = node").select(F.xxhash64("node")))
+    alone = prints.filter("doc_id IS NOT NULL").filter(may_be_in(nodes, prints, F.xxhash64("doc_id")))
+    members = block_members(alone.select(F.explode("blocks").alias("block"), F.col("doc_id").alias("node")))
+    met = members.select("node").distinct()
+    vectors = (prints.select(F.col("doc_id").alias("node"), "vector").filter(may_be_in(bit_filter(met.select(F.xxhash64("node"))), prints, F.xxhash64("node")))
+               .join(met, "node", "left_semi").dropDuplicates(["node"]))
     vectors = written(vectors, "vectors")
+    drop_written(prints)
     stars = members.filter("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
     links = verified(bounded(stars, vectors, at_least), docs, width, at_least)
     rest = across_groups(members, vectors, components(links), at_least)
