@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runsight.functions.columns import word_set
 from runsight.operators import ordering, setjoin
-from runsight.session import cut, stored
+from runsight.session import cut, drop_stored, stored, tidy
 
 # --- fixed values -----------------------------------------------------------
 # Error texts; case-sensitive, searched over several lines (m), "\n" being the only line end (d).
@@ -185,12 +185,15 @@ def keyword_fallback(logs: DataFrame) -> DataFrame:
 
 def categorize_error(text: Column) -> Column:
     """First category with a word in the text, else the exception's name, else ``other``."""
-    lower = F.lower(text)
-    expr = F
-    for name, words in CATEGORIES.items():
-        expr = expr.when(reduce(lambda a, b: a | b, [lower.contains(w) for w in words]), F.lit(name))
     named = F.lower(F.regexp_extract(text, r"([A-Za-z0-9_.]+)(Exception|Error)", 0))
-    return expr.when(named != "", named).otherwise(F.lit("other"))
+
+    def category(lower: Column) -> Column:
+        expr = F
+        for name, words in CATEGORIES.items():
+            expr = expr.when(reduce(lambda a, b: a | b, [lower.contains(w) for w in words]), F.lit(name))
+        return expr.when(named != "", named).otherwise(F.lit("other"))
+
+    return F.transform(F.array(F.lower(text)), category)[0]  # lowers the text once
 
 
 def error_items(logs: DataFrame) -> DataFrame:
@@ -199,9 +202,12 @@ def error_items(logs: DataFrame) -> DataFrame:
     rest = keyword_fallback(logs).drop("error_type").withColumns(
         {"regex_no": F.lit(len(ERROR_REGEXES)), "match_no": F.lit(0), "forced": F.lit(True)}
     )
-    return ordering.global_rank(
-        matched.unionByName(rest), ["seq", "test_id", "regex_no", "match_no"], "item"
-    )
+    with tidy(logs.sparkSession):
+        # written before they are ranked: a sort by ranges reads its input twice
+        found = stored(matched.unionByName(rest))
+        ranked = ordering.global_rank(found, ["seq", "test_id", "regex_no", "match_no"], "item")
+        drop_stored(found)
+        return ranked
 
 
 def assign_patterns(items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -209,8 +215,13 @@ def assign_patterns(items: DataFrame, threshold: float = SIMILARITY) -> DataFram
 
     ``items``: unique ordered ``item``, ``error_text``, ``forced``, and any other columns.
     Texts with equal word sets get equal answers, so they are one node of the similarity
-    graph however often they occur. Forced texts start a pattern without being compared.
+    graph however often they occur. Forced texts start a pattern without being compared. The result is written.
     """
+    with tidy(items.sparkSession):
+        return _assigned(items, threshold)
+
+
+def _assigned(items: DataFrame, threshold: float) -> DataFrame:
     words = word_set(F.col("error_text"))
     # a text without words resembles nothing, not even its copies
     key = F.transform(F.array(words), lambda w: F.when(F.size(w) == 0, F.concat(F.lit("#"), F.col("item").cast("string")).cast("binary")).otherwise(
@@ -231,7 +242,9 @@ def assign_patterns(items: DataFrame, threshold: float = SIMILARITY) -> DataFram
     placed = items.join(resolved, ["_key", "forced"])
     # every forced text is a pattern of its own
     pattern = F.when(F.col("forced"), F.col("item")).otherwise(F.col("pattern_id"))
-    return placed.withColumn("pattern_id", pattern).drop("_key")
+    out = stored(placed.withColumn("pattern_id", pattern).drop("_key"))
+    drop_stored(items, nodes)
+    return out
 
 
 def error_patterns(assigned: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from runsight.functions.columns import jaccard, word_set
 from runsight.operators import rootcause
 from runsight.plans.registry import query
 from runsight.plans.shape import rounded
-from runsight.session import cut
 
 # the same patterns where look-ahead to the end of the line is written as the end of the line
 _REGEXES = [
@@ -118,7 +117,7 @@ typed AS (SELECT p.*, error_text AS pattern, CASE WHEN forced THEN 'generic_erro
 
 
 def _assigned(t):
-    return cut(rootcause.assign_patterns(rootcause.error_items(_logs(t))))
+    return rootcause.assign_patterns(rootcause.error_items(_logs(t)))
 
 
 @query("error_patterns", _PATTERNS + """
